@@ -6,8 +6,9 @@ history of a key in one task:
 * "top k per key" is written as ``row_number() <= k``, which Spark turns into a
   group limit that runs before the shuffle;
 * previous values and running numbers are computed inside ``(key, chunk)`` groups, where
-  ``chunk`` is a function of the ordering column that never decreases along it (a year
-  of a date, say). One small row per chunk then carries the result across its border.
+  ``chunk`` is a function of the ordering column that never decreases along it (the year
+  or month of a date, say). One small row per chunk then carries the result across its
+  border.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -38,63 +39,64 @@ def latest_per_key(df: DataFrame, key: Sequence[str], by: str, tie: Sequence[str
     return top_per_key(df, key, [F.col(c).desc_nulls_last() for c in (by, *tie)])
 
 
-def _attach(rows: DataFrame, per_chunk: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join of one row per chunk to its rows; NULL keys match each other."""
-    side = per_chunk.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    match = reduce(Column.__and__, [rows[c].eqNullSafe(side[f"_r_{c}"]) for c in on])
-    return rows.join(side, match, "left").drop(*[f"_r_{c}" for c in on])
+def _grouped(df: DataFrame, key: Sequence[str], chunk: Column) -> DataFrame:
+    # One struct column holds key and chunk: it compares equal on NULL fields, and a window and
+    # a join on it need the same partitioning.
+    return df.withColumn("_group", F.struct(*key, chunk.alias("_chunk")))
+
+
+def _ascending(order: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def _across_chunks(key: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*[F.col("_group")[c] for c in key]).orderBy(
+        F.col("_group")["_chunk"].asc_nulls_last())
 
 
 def previous(df: DataFrame, columns: dict[str, str], key: Sequence[str], order: Sequence[str],
              chunk: Column) -> DataFrame:
     """Add the value of the preceding row: ``columns`` maps source to output names.
 
-    The first row of a key gets NULL.
+    The first row of a key gets NULL. Select the columns needed before the call: both uses
+    of the shuffled rows then read the same shuffle.
     """
-    rows = df.withColumn("_chunk", chunk)
-    ordering = [F.col(c).asc_nulls_last() for c in order]
-    inside = Window.partitionBy(*key, "_chunk").orderBy(*ordering)
-    source = F.struct(*[F.col(c).alias(out) for c, out in columns.items()])
-
-    last_rows = top_per_key(rows, [*key, "_chunk"],
-                            [F.col(c).desc_nulls_first() for c in order])
-    across = Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_last())
-    carried = last_rows.select(*key, "_chunk", F.lag(source).over(across).alias("_carried"))
-
+    rows = _grouped(df, key, chunk)
+    inside = Window.partitionBy("_group").orderBy(*_ascending(order))
     lagged = rows.withColumns({
         **{out: F.lag(c).over(inside) for c, out in columns.items()},
         "_position": F.row_number().over(inside),
+        "_ends_chunk": F.lead(F.lit(1)).over(inside).isNull(),
     })
+    last_row = F.struct(*df.columns)
+    carried = lagged.filter("_ends_chunk").select(
+        "_group", F.lag(last_row).over(_across_chunks(key)).alias("_carried"))
     opens_chunk = F.col("_position") == 1
     return (
-        _attach(lagged, carried, [*key, "_chunk"])
+        lagged.join(carried, "_group", "left")
         .withColumns({
-            out: F.when(opens_chunk, F.col("_carried")[out]).otherwise(F.col(out))
-            for out in columns.values()
+            out: F.when(opens_chunk, F.col("_carried")[c]).otherwise(F.col(out))
+            for c, out in columns.items()
         })
-        .drop("_chunk", "_position", "_carried")
+        .drop("_group", "_position", "_ends_chunk", "_carried")
     )
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column,
              name: str = "row_number") -> DataFrame:
     """Add the 1-based position of every row within its key."""
-    rows = df.withColumn("_chunk", chunk)
-    ordering = [F.col(c).asc_nulls_last() for c in order]
-    inside = Window.partitionBy(*key, "_chunk").orderBy(*ordering)
-    across = (
-        Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    rows = _grouped(df, key, chunk)
+    inside = Window.partitionBy("_group").orderBy(*_ascending(order))
+    earlier = _across_chunks(key).rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        rows.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
-        .select(*key, "_chunk", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_before"))
+        rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+        .select("_group", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     )
-    placed = rows.withColumn("_position", F.row_number().over(inside))
     return (
-        _attach(placed, before, [*key, "_chunk"])
+        rows.withColumn("_position", F.row_number().over(inside))
+        .join(before, "_group", "left")
         .withColumn(name, F.col("_position") + F.col("_before"))
-        .drop("_chunk", "_position", "_before")
+        .drop("_group", "_position", "_before")
     )
 
 

@@ -46,16 +46,17 @@ def enrich_left(left: DataFrame, right: DataFrame, on: Sequence[str],
     return lhs.join(rhs, match, "left").drop(*[f"_r_{c}" for c in on])
 
 
-def left_join_many(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def left_join_many(left: DataFrame, right: DataFrame, on: str,
+                   keys: DataFrame | None = None) -> DataFrame:
     """Left join to a side in which one key may own a large share of the rows.
 
     An outer join can only be split on its preserved side. The matching rows therefore come
     from an inner join, which Spark splits on either side, and the others from an anti-join
-    against the distinct keys.
+    against the distinct keys. ``keys`` may name a cheaper frame with the same keys.
     """
-    matched = left.join(right, on)
-    keys = right.select(on).distinct()
-    return matched.unionByName(left.join(keys, on, "left_anti"), allowMissingColumns=True)
+    known = (right if keys is None else keys).select(on).distinct()
+    unmatched = left.join(known, on, "left_anti")
+    return left.join(right, on).unionByName(unmatched, allowMissingColumns=True)
 
 
 def first_match(left: DataFrame, dimension: DataFrame, on: str) -> DataFrame:

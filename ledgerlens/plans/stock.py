@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -91,8 +91,14 @@ def terminations(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- status history
 
 
-def _year(column: str) -> Column:
-    return F.substring(column, 1, 4)
+def _dated(history: DataFrame, *columns: str) -> DataFrame:
+    """The history with a real date; snapshots are one a day at most, so a year is a safe chunk."""
+    return history.select("agreement_code", parse_date(F.col("dateat")).alias("day"), *columns)
+
+
+def _without(history: DataFrame, bad_dates: Iterable[dt.date]) -> DataFrame:
+    bad = _iso(bad_dates)
+    return history.filter(~F.col("dateat").isin(*bad)) if bad else history
 
 
 def _iso(days: Iterable[dt.date]) -> list[str]:
@@ -106,15 +112,12 @@ def insurance_writeoffs(history: DataFrame, since: dt.date,
     Bad snapshots are dropped after the previous status is taken, so they still serve as
     the previous status of the next snapshot.
     """
-    lagged = previous(history.select("agreement_code", "dateat", "status"),
-                      {"status": "previous_status"}, ["agreement_code"], ["dateat"],
-                      _year("dateat"))
-    entered = entered_state(lagged, V.INSURANCE_SHORTFALL).filter(
-        F.col("dateat") >= since.isoformat())
-    bad = _iso(bad_dates)
-    if bad:
-        entered = entered.filter(~F.col("dateat").isin(*bad))
-    return entered.select("agreement_code", parse_date(F.col("dateat")).alias("insurance_date"))
+    lagged = previous(_dated(history, "status"), {"status": "previous_status"},
+                      ["agreement_code"], ["day"], F.year("day"))
+    entered = entered_state(lagged, V.INSURANCE_SHORTFALL).filter(F.col("day") >= F.lit(since))
+    for bad in bad_dates:
+        entered = entered.filter(F.col("day") != F.lit(bad))
+    return entered.select("agreement_code", F.col("day").alias("insurance_date"))
 
 
 def arrears_ladder(arrears: Column, payment: Column, status: Column) -> Column:
@@ -135,24 +138,20 @@ def status_ladder(history: DataFrame, snapshots: tuple[dt.date, dt.date]) -> Dat
     chosen = history.filter(F.col("dateat").isin(*_iso(snapshots)))
     newest_first = [F.col("dateat").desc_nulls_last()]
     pair = top_per_key(chosen, ["agreement_code"], newest_first, k=2, rank="_rank")
-    # two rows per agreement are left at most: newest, and the one before it
-    before = F.max(F.when(F.col("_rank") == 2, F.struct("status", "arrears_value")))
-    now = F.max(F.when(F.col("_rank") == 1, F.struct(
-        "dateat", "status", "arrears_value", "payment", "capital_outstanding",
-        "contract_date_ms")))
-    joined = pair.groupBy("agreement_code").agg(now.alias("now"), before.alias("before"))
-    return joined.select(
-        F.last_day(F.date_sub(parse_date(F.col("now.dateat")), 10)).alias("report_month"),
-        epoch_ms_to_date(F.col("now.contract_date_ms")).alias("contract_date"),
-        "agreement_code",
-        F.col("now.status").alias("status"),
-        F.col("now.arrears_value").alias("arrears_value"),
-        F.col("before.status").alias("previous_status"),
-        F.col("before.arrears_value").alias("previous_arrears_value"),
-        F.col("now.capital_outstanding").alias("capital_outstanding"),
-        arrears_ladder(F.col("now.arrears_value"), F.col("now.payment"), F.col("now.status"))
+    # two rows per agreement are left at most: the newest, and the one before it
+    older = Window.partitionBy("agreement_code").orderBy(*newest_first)
+    latest = pair.withColumns({
+        "previous_status": F.lead("status").over(older),
+        "previous_arrears_value": F.lead("arrears_value").over(older),
+    }).filter(F.col("_rank") == 1)
+    return latest.select(
+        F.last_day(F.date_sub(parse_date(F.col("dateat")), 10)).alias("report_month"),
+        epoch_ms_to_date(F.col("contract_date_ms")).alias("contract_date"),
+        "agreement_code", "status", "arrears_value", "previous_status", "previous_arrears_value",
+        "capital_outstanding",
+        arrears_ladder(F.col("arrears_value"), F.col("payment"), F.col("status"))
         .alias("current_arrears"),
-        arrears_ladder(F.col("before.arrears_value"), F.col("now.payment"), F.col("before.status"))
+        arrears_ladder(F.col("previous_arrears_value"), F.col("payment"), F.col("previous_status"))
         .alias("previous_arrears"),
     )
 
@@ -163,16 +162,13 @@ def crystallisation(history: DataFrame, bad_dates: Iterable[dt.date] = ()) -> Da
     Bad snapshots are dropped before anything else. ``crystalised_date`` counts days since
     2000-01-01; ``dups_check`` and ``dups_check2`` above 1 mean that sums mix several events.
     """
-    bad = _iso(bad_dates)
-    clean = history.filter(~F.col("dateat").isin(*bad)) if bad else history
-    lagged = previous(
-        clean.select("agreement_code", "dateat", "status", "arrears_value", "capital_outstanding"),
-        {"status": "previous_status", "capital_outstanding": "previous_balance"},
-        ["agreement_code"], ["dateat"], _year("dateat"))
+    clean = _dated(_without(history, bad_dates), "status", "arrears_value", "capital_outstanding")
+    lagged = previous(clean, {"status": "previous_status", "capital_outstanding": "previous_balance"},
+                      ["agreement_code"], ["day"], F.year("day"))
 
     now, before = F.col("status"), F.col("previous_status")
     balance, arrears = F.col("previous_balance"), F.col("arrears_value")
-    day = F.datediff(parse_date(F.col("dateat")), F.lit(TRANSITION_EPOCH))
+    day = F.datediff("day", F.lit(TRANSITION_EPOCH))
     crystalised = now.isin(*V.CRYSTALISED) & ~before.isin(*V.CRYSTALISED)
     shortfall_after_repo = (now == V.REPO_SHORTFALL) & (before == V.REPO)
     written_off = (now == V.WRITTEN_OFF) & (before != V.WRITTEN_OFF)
@@ -190,15 +186,13 @@ def crystallisation(history: DataFrame, bad_dates: Iterable[dt.date] = ()) -> Da
     per_status = lagged.groupBy("agreement_code", "status").agg(
         *[column.alias(name) for name, column in sums.items()],
         F.count("previous_status").alias("_with_previous"),
-        F.min(F.struct("dateat", "arrears_value", "previous_status")).alias("_first"))
-    sale = (
-        now.isin(V.REPO_SHORTFALL, V.VT_CRYSTALISED)
-        & F.col("_first.previous_status").isNotNull()
-    )
+        F.min_by("arrears_value", "day").alias("_first_arrears"),
+        F.min_by(before.isNotNull(), "day").alias("_first_has_previous"))
+    sale = now.isin(V.REPO_SHORTFALL, V.VT_CRYSTALISED) & F.col("_first_has_previous")
     return (
         per_status.groupBy("agreement_code")
         .agg(*[F.sum(name).alias(name) for name in sums],
-             sum_if(sale, F.col("_first.arrears_value")).alias("shortfall_balance"),
+             sum_if(sale, F.col("_first_arrears")).alias("shortfall_balance"),
              tally(sale).alias("dups_check2"),
              F.sum("_with_previous").alias("_with_previous"))
         .filter(F.col("_with_previous") > 0).drop("_with_previous")
@@ -257,13 +251,13 @@ def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date
         .alias("crystalised_from"),
         crystalised_to.alias("crystalised_to"),
         (crystalised_to - F.col("shortfall_balance")).alias("net_sale_amount"))
+    writeoffs = insurance_writeoffs(t["status_history"], insurance_since, bad)
     rows = (
-        ladder.join(closures, "agreement_code", "left")
+        left_join_many(ladder, exit_events(t), "agreement_code", t["settlements_and_defaults"])
+        .join(closures, "agreement_code", "left")
         .join(changes, "agreement_code", "left")
+        .join(writeoffs, "agreement_code", "left")
     )
-    writeoffs = insurance_writeoffs(t["status_history"], insurance_since, bad)
-    rows = left_join_many(rows, writeoffs, "agreement_code")
-    rows = left_join_many(rows, exit_events(t), "agreement_code")
     month, kind = F.col("report_month"), F.col("type")
 
     def by_month_end(column: str) -> Column:

@@ -174,19 +174,21 @@ def _exact_round2(column: str) -> str:
     return f"CAST(sum({column}) * 200 + count({column}) AS BIGINT) // (2 * count({column})) / 100.0"
 
 
-def _profile_select(measure: str) -> str:
+def _profile_select(measure: str, whole=n) -> str:
     by_value = measure == "value"
     weight = "total_finance_amount" if by_value else "1"
+    counted = x if by_value else whole
     incomes = "income BETWEEN 0 AND 150000"
     return "SELECT CAST(last_day(contract_date) AS VARCHAR) AS month_end, " + columns(
-        x("sum(total_finance_amount)" if by_value else "count(DISTINCT agreement_code)", "nb_total"),
+        counted("sum(total_finance_amount)" if by_value else "count(DISTINCT agreement_code)",
+                "nb_total"),
         x("sum(current_retail_value)", "retail_value"),
-        x("sum(term)", "term"),
+        whole("sum(term)", "term"),
         x(_exact_round2("age"), "cust_age_avg"),
-        x(total(incomes, "income" if by_value else "1"), "gross_income"),
+        whole(total(incomes, "income" if by_value else "1"), "gross_income"),
         x("avg(age_months)" if by_value else "avg(nullif(age_months, 0))", "avg_car_age"),
         x("floor(100 * avg(mileage)) / 100", "avg_mileage"),
-        *[x(total(cond, weight), name) for name, cond in PROFILE_CONDITIONS.items()],
+        *[counted(total(cond, weight), name) for name, cond in PROFILE_CONDITIONS.items()],
     ) + " FROM rows GROUP BY 1"
 
 
@@ -211,7 +213,7 @@ def new_business_vals(t):
 
 @query("new_business_vols_age_from_dob",
        _profile_rows(AGE_FROM_BIRTH) + "SELECT CAST(last_day(contract_date) AS VARCHAR) AS month_end, "
-       + columns(*[x(total(cond, "1"), name) for name, cond in PROFILE_CONDITIONS.items()
+       + columns(*[n(total(cond, "1"), name) for name, cond in PROFILE_CONDITIONS.items()
                    if name.startswith("cust_age")]) + " FROM rows GROUP BY 1")
 def new_business_vols_age_from_dob(t):
     ages = [name for name in PROFILE_CONDITIONS if name.startswith("cust_age")]
@@ -219,8 +221,8 @@ def new_business_vols_age_from_dob(t):
 
 
 @query("new_business_stack", _profile_rows(STORED_AGE)
-       + f"SELECT 'volume' AS measure, * FROM ({_profile_select('volume')}) v "
-       + f"UNION ALL SELECT 'value', * FROM ({_profile_select('value')}) v")
+       + f"SELECT 'volume' AS measure, * FROM ({_profile_select('volume', x)}) v "
+       + f"UNION ALL SELECT 'value', * FROM ({_profile_select('value', x)}) v")
 def new_business_stack(t):
     return origination.new_business_stack(t, CALENDAR.rep_month_start, CALENDAR.rep_month_end)
 

@@ -8,6 +8,8 @@ value is integer or decimal arithmetic, so engines agree to the last digit.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import Tables
@@ -279,7 +281,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders"""),
     "applicant": (("orders",), """
         SELECT 'A' || CAST(o_orderkey AS STRING) AS id,
-               CASE WHEN o_orderkey % 45 <> 0 THEN CAST(18 + (o_orderkey * 31) % 62 AS INT) END
+               CASE WHEN o_orderkey % 45 <> 0 THEN CAST(18 + (o_orderkey * 37) % 62 AS INT) END
                  AS current_age,
                DATE '1925-01-01' + CAST((o_orderkey * 97) % 18000 AS INT) AS date_of_birth
         FROM orders"""),
@@ -411,8 +413,8 @@ class DriverTables(Tables):
 
 
 def run_select(spark: SparkSession, select: str, frames: dict[str, DataFrame]) -> DataFrame:
-    """Run a SELECT whose table names are bound to DataFrames."""
+    """Run a SELECT whose table names stand for DataFrames."""
     for name, frame in frames.items():
         frame.createOrReplaceTempView(f"ledgerlens_{name}")
-    bound = ", ".join(f"{name} AS (SELECT * FROM ledgerlens_{name})" for name in frames)
-    return spark.sql(f"WITH {bound} {select}")
+        select = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 ledgerlens_{name} AS {name}", select)
+    return spark.sql(select)
