@@ -37,8 +37,8 @@ def epoch_ms_to_date(millis: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """ISO text to a date; text that is not a date becomes NULL."""
-    return F.try_to_date(text, "yyyy-MM-dd")
+    """ISO text ``yyyy-MM-dd`` to a date; any other text becomes NULL."""
+    return F.when(F.length(text) == 10, text).try_cast("date")
 
 
 def vintage_label(day: Column) -> Column:

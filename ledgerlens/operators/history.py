@@ -55,31 +55,42 @@ def _across_chunks(key: Sequence[str]) -> WindowSpec:
 
 
 def previous(df: DataFrame, columns: dict[str, str], key: Sequence[str], order: Sequence[str],
-             chunk: Column) -> DataFrame:
-    """Add the value of the preceding row: ``columns`` maps source to output names.
+             chunk: Column, kept: Column | None = None,
+             kept_columns: dict[str, str] | None = None) -> DataFrame:
+    """Add values of the preceding row: ``columns`` maps source to output names.
 
-    The first row of a key gets NULL. Select the columns needed before the call: both uses
-    of the shuffled rows then read the same shuffle.
+    The first row of a key gets NULL. ``kept_columns`` come from the last preceding row that
+    meets ``kept`` instead. Select the columns needed before the call: rows and carried rows
+    then come from one shuffle.
     """
+    skipping = kept_columns or {}
+    row = F.struct(*df.columns)
     rows = _grouped(df, key, chunk)
     inside = Window.partitionBy("_group").orderBy(*_ascending(order))
-    lagged = rows.withColumns({
+    found = {
         **{out: F.lag(c).over(inside) for c, out in columns.items()},
-        "_position": F.row_number().over(inside),
-        "_ends_chunk": F.lead(F.lit(1)).over(inside).isNull(),
-    })
-    last_row = F.struct(*df.columns)
-    carried = lagged.filter("_ends_chunk").select(
-        "_group", F.lag(last_row).over(_across_chunks(key)).alias("_carried"))
-    opens_chunk = F.col("_position") == 1
-    return (
-        lagged.join(carried, "_group", "left")
-        .withColumns({
-            out: F.when(opens_chunk, F.col("_carried")[c]).otherwise(F.col(out))
-            for c, out in columns.items()
-        })
-        .drop("_group", "_position", "_ends_chunk", "_carried")
-    )
+        "_first": F.lag(F.lit(1)).over(inside).isNull(),
+        "_last": F.lead(F.lit(1)).over(inside).isNull(),
+    }
+    if skipping:
+        wanted = F.when(kept, F.struct(*skipping))
+        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+        found["_kept"] = F.last(wanted, ignorenulls=True).over(earlier)
+    seen = rows.withColumns(found)
+
+    across = _across_chunks(key)
+    carry = {"_carried": F.lag(row).over(across)}
+    if skipping:
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        carry["_carried_kept"] = F.last(F.coalesce(wanted, "_kept"), ignorenulls=True).over(before)
+    carried = seen.filter("_last").withColumns(carry).select("_group", *carry)
+    joined = seen.join(carried, "_group", "left").withColumns({
+        out: F.when(F.col("_first"), F.col("_carried")[c]).otherwise(F.col(out))
+        for c, out in columns.items()})
+    if skipping:
+        found_kept = F.coalesce("_kept", "_carried_kept")
+        joined = joined.withColumns({out: found_kept[c] for c, out in skipping.items()})
+    return joined.select(*df.columns, *columns.values(), *skipping.values())
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column,
@@ -115,7 +126,8 @@ def lag_by_column(df: DataFrame, value: str, offset: str, key: Sequence[str], or
     return rows.join(target, match, "left").drop("_at", "_t_at", *[f"_t_{c}" for c in key])
 
 
-def entered_state(with_previous: DataFrame, state: str, status: str = "status",
-                  previous_status: str = "previous_status") -> DataFrame:
-    """Rows that moved into ``state``; a first row has no previous status and never counts."""
-    return with_previous.filter((F.col(status) == state) & (F.col(previous_status) != state))
+def entered_state(state: str, status: Column | str = "status",
+                  previous_status: Column | str = "previous_status") -> Column:
+    """The row moved into ``state``; a first row has no previous status and never counts."""
+    now, before = (F.col(c) if isinstance(c, str) else c for c in (status, previous_status))
+    return (now == state) & (before != state)

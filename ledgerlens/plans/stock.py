@@ -91,35 +91,10 @@ def terminations(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- status history
 
 
-def _dated(history: DataFrame, *columns: str) -> DataFrame:
-    """The history with a real date; snapshots are one a day at most, so a year is a safe chunk."""
-    return history.select("agreement_code", parse_date(F.col("dateat")).alias("day"), *columns)
-
-
-def _without(history: DataFrame, bad_dates: Iterable[dt.date]) -> DataFrame:
-    bad = _iso(bad_dates)
-    return history.filter(~F.col("dateat").isin(*bad)) if bad else history
-
-
 def _iso(days: Iterable[dt.date]) -> list[str]:
     return [d.isoformat() for d in days]
 
 
-def insurance_writeoffs(history: DataFrame, since: dt.date,
-                        bad_dates: Iterable[dt.date] = ()) -> DataFrame:
-    """Entries into the insurance-shortfall status from ``since`` on.
-
-    Bad snapshots are dropped after the previous status is taken, so they still serve as
-    the previous status of the next snapshot.
-    """
-    lagged = previous(_dated(history, "status"), {"status": "previous_status"},
-                      ["agreement_code"], ["day"], F.year("day"))
-    entered = entered_state(lagged, V.INSURANCE_SHORTFALL).filter(F.col("day") >= F.lit(since))
-    for bad in bad_dates:
-        entered = entered.filter(F.col("day") != F.lit(bad))
-    return entered.select("agreement_code", F.col("day").alias("insurance_date"))
-
-
 def arrears_ladder(arrears: Column, payment: Column, status: Column) -> Column:
     """Payments in arrears: 6 (or more) down to 1, 0.1 for less than one, 0, or -1 if not live.
 
@@ -156,22 +131,41 @@ def status_ladder(history: DataFrame, snapshots: tuple[dt.date, dt.date]) -> Dat
     )
 
 
-def crystallisation(history: DataFrame, bad_dates: Iterable[dt.date] = ()) -> DataFrame:
-    """Balances around the status changes that end a loan, one row per agreement.
+def status_changes(history: DataFrame, bad_dates: Iterable[dt.date] = (),
+                   insurance_since: dt.date | None = None) -> DataFrame:
+    """What the status history says about the end of each loan, one row per agreement.
 
-    Bad snapshots are dropped before anything else. ``crystalised_date`` counts days since
-    2000-01-01; ``dups_check`` and ``dups_check2`` above 1 mean that sums mix several events.
-    """
-    clean = _dated(_without(history, bad_dates), "status", "arrears_value", "capital_outstanding")
-    lagged = previous(clean, {"status": "previous_status", "capital_outstanding": "previous_balance"},
-                      ["agreement_code"], ["day"], F.year("day"))
+    Balances around the status changes that end a loan, and the dates it entered the
+    insurance-shortfall status. Bad snapshots are treated in two ways, as reported. For the
+    balances they do not exist. For the insurance dates they are only dropped afterwards, so
+    they still serve as the previous status of the next snapshot.
 
-    now, before = F.col("status"), F.col("previous_status")
-    balance, arrears = F.col("previous_balance"), F.col("arrears_value")
+    ``crystalised_date`` counts days since 2000-01-01; ``dups_check`` and ``dups_check2``
+    above 1 mean that sums mix several events. ``has_previous`` is false for agreements
+    without any change to look at.
+    """
+    rows = history.select("agreement_code", parse_date(F.col("dateat")).alias("day"), "status",
+                          "arrears_value", "capital_outstanding")
+    bad = [F.lit(day) for day in bad_dates]
+    # snapshots are one a day at most, so a year of one agreement is small
+    by_year = (["agreement_code"], ["day"], F.year("day"))
+    balances = {"status": "status_before", "capital_outstanding": "balance_before"}
+    if bad:
+        kept = ~F.col("day").isin(*bad)
+        rows = previous(rows, {"status": "any_status_before"}, *by_year, kept, balances)
+    else:
+        kept = F.lit(True)
+        rows = previous(rows, balances, *by_year).withColumn("any_status_before", F.col("status_before"))
+
+    now, before, balance = F.col("status"), F.col("status_before"), F.col("balance_before")
+    arrears = F.col("arrears_value")
     day = F.datediff("day", F.lit(TRANSITION_EPOCH))
-    crystalised = now.isin(*V.CRYSTALISED) & ~before.isin(*V.CRYSTALISED)
-    shortfall_after_repo = (now == V.REPO_SHORTFALL) & (before == V.REPO)
-    written_off = (now == V.WRITTEN_OFF) & (before != V.WRITTEN_OFF)
+    crystalised = kept & now.isin(*V.CRYSTALISED) & ~before.isin(*V.CRYSTALISED)
+    shortfall_after_repo = kept & (now == V.REPO_SHORTFALL) & (before == V.REPO)
+    written_off = kept & entered_state(V.WRITTEN_OFF, now, before)
+    insured = kept & entered_state(V.INSURANCE_SHORTFALL, now, "any_status_before")
+    if insurance_since is not None:
+        insured = insured & (F.col("day") >= F.lit(insurance_since))
     sums = {
         "dups_check": tally(crystalised),
         "crystalised_date": sum_if(crystalised, day),
@@ -183,20 +177,35 @@ def crystallisation(history: DataFrame, bad_dates: Iterable[dt.date] = ()) -> Da
         "crystalised_from3": sum_if(written_off, balance),
     }
     # per agreement and status first, so that the first day in a status is an aggregate too
-    per_status = lagged.groupBy("agreement_code", "status").agg(
+    insured_day = F.when(insured, F.col("day")).alias("_insured")
+    kept_day = F.when(kept, F.col("day"))
+    parts = rows.groupBy("agreement_code", "status", insured_day).agg(
         *[column.alias(name) for name, column in sums.items()],
-        F.count("previous_status").alias("_with_previous"),
-        F.min_by("arrears_value", "day").alias("_first_arrears"),
-        F.min_by(before.isNotNull(), "day").alias("_first_has_previous"))
+        F.min_by("arrears_value", kept_day).alias("_first_arrears"),
+        F.min_by(before.isNotNull(), kept_day).alias("_first_has_previous"),
+        F.max(kept & before.isNotNull()).alias("_has_previous"))
+    # only the insurance status is split by day, and no first day is wanted for it
     sale = now.isin(V.REPO_SHORTFALL, V.VT_CRYSTALISED) & F.col("_first_has_previous")
-    return (
-        per_status.groupBy("agreement_code")
-        .agg(*[F.sum(name).alias(name) for name in sums],
-             sum_if(sale, F.col("_first_arrears")).alias("shortfall_balance"),
-             tally(sale).alias("dups_check2"),
-             F.sum("_with_previous").alias("_with_previous"))
-        .filter(F.col("_with_previous") > 0).drop("_with_previous")
-    )
+    return parts.groupBy("agreement_code").agg(
+        *[F.sum(name).alias(name) for name in sums],
+        sum_if(sale, F.col("_first_arrears")).alias("shortfall_balance"),
+        tally(sale).alias("dups_check2"),
+        F.max("_has_previous").alias("has_previous"),
+        # distinct days: no more than the calendar has
+        F.collect_set("_insured").alias("insurance_dates"))
+
+
+def insurance_writeoffs(history: DataFrame, since: dt.date,
+                        bad_dates: Iterable[dt.date] = ()) -> DataFrame:
+    """Dates from ``since`` on at which loans entered the insurance-shortfall status."""
+    return status_changes(history, bad_dates, since).select(
+        "agreement_code", F.explode("insurance_dates").alias("insurance_date"))
+
+
+def crystallisation(history: DataFrame, bad_dates: Iterable[dt.date] = ()) -> DataFrame:
+    """Balances around the status changes that end a loan (see ``status_changes``)."""
+    return status_changes(history, bad_dates).filter("has_previous").drop(
+        "has_previous", "insurance_dates")
 
 
 # ---------------------------------------------------------------- stock position
@@ -239,24 +248,22 @@ def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date
 
     A loan with several exits or write-offs has several rows, as reported.
     """
-    bad = list(bad_dates)
     ladder = status_ladder(t["status_history"],
                            (calendar.snapshot_start, calendar.snapshot_end))
     closures = closures_at_term(t, calendar.as_of).select("agreement_code", "contract_end_date")
-    changes = crystallisation(t["status_history"], bad)
     crystalised_to = F.coalesce("crystalised_to", "crystalised_to2")
-    changes = changes.select(
-        "agreement_code", "shortfall_balance",
+    changes = status_changes(t["status_history"], bad_dates, insurance_since).select(
+        "agreement_code", "insurance_dates", "shortfall_balance",
         F.coalesce("crystalised_from", "crystalised_from2", "crystalised_from3")
         .alias("crystalised_from"),
         crystalised_to.alias("crystalised_to"),
         (crystalised_to - F.col("shortfall_balance")).alias("net_sale_amount"))
-    writeoffs = insurance_writeoffs(t["status_history"], insurance_since, bad)
     rows = (
         left_join_many(ladder, exit_events(t), "agreement_code", t["settlements_and_defaults"])
         .join(closures, "agreement_code", "left")
         .join(changes, "agreement_code", "left")
-        .join(writeoffs, "agreement_code", "left")
+        .select("*", F.explode_outer("insurance_dates").alias("insurance_date"))
+        .drop("insurance_dates")
     )
     month, kind = F.col("report_month"), F.col("type")
 

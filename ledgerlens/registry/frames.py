@@ -429,7 +429,7 @@ def lag_dynamic(t):
 def entered(t):
     history = t["event_history"].select("agreement_code", "dateat", "status")
     lagged = previous(history, {"status": "previous_status"}, ["agreement_code"], ["dateat"], _week())
-    return entered_state(lagged, V.REPO).select("agreement_code", "dateat")
+    return lagged.filter(entered_state(V.REPO)).select("agreement_code", "dateat")
 
 
 # ---------------------------------------------------------------- set operators

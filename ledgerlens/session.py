@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sizes known while planning are estimates, far too low after an explode: trust them for
+    # tiny tables only. Sizes measured between stages may decide on larger broadcasts.
+    "spark.sql.autoBroadcastJoinThreshold": "512KB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -36,20 +36,17 @@ def _money(expression: str) -> str:
 
 # Spark generates the month ends of each agreement's life instead of a range join.
 TIMELINE_BASE_SPARK = """
-    SELECT b.agreement_code, b.contract_date, b.date, b.total_finance_amount, b.m,
-           b.m - (year(b.contract_date) * 12 + month(b.contract_date)) AS mob,
-           ((b.agreement_code % 1009 + 1) * (b.m % 1013) * ((b.m + b.agreement_code) % 97 + 1))
+    SELECT agreement_code, contract_date, date, total_finance_amount, m, mob,
+           ((agreement_code % 1009 + 1) * (m % 1013) * ((m + agreement_code) % 97 + 1))
              % 10007 % 100 AS h
-    FROM (SELECT agreement_code, contract_date, total_finance_amount, date,
-                 year(date) * 12 + month(date) AS m
+    FROM (SELECT agreement_code, contract_date, total_finance_amount, mob, first_month + mob AS m,
+                 last_day(add_months(contract_date, mob)) AS date
           FROM (SELECT agreement_code, contract_date, total_finance_amount,
-                       last_day(first_day) AS date
-                FROM loan_agreements
-                LATERAL VIEW explode(sequence(trunc(contract_date, 'MM'),
-                                              date_add(contract_date, 600),
-                                              INTERVAL 1 MONTH)) AS first_day)
-          WHERE date BETWEEN contract_date AND date_add(contract_date, 600)) b
-    JOIN month_ends ON month_end = b.date
+                       year(contract_date) * 12 + month(contract_date) AS first_month
+                FROM loan_agreements) la
+          LATERAL VIEW explode(sequence(0, 20)) AS mob) b
+    JOIN month_ends ON month_end = date
+    WHERE date <= date_add(contract_date, 600)
 """
 
 TIMELINE_BASE_ANSI = """
@@ -409,9 +406,16 @@ class DriverTables(Tables):
         if name == "timeline_base":
             # one row per calendar month: small by nature, whatever the number of orders
             frames["month_ends"] = frames["month_ends"].hint("broadcast")
+            frames["loan_agreements"] = spread(frames["loan_agreements"], "agreement_code")
         return run_select(self.spark, select, frames)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for rows that are about to multiply, if a few small files hold them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def run_select(spark: SparkSession, select: str, frames: dict[str, DataFrame]) -> DataFrame:
     """Run a SELECT whose table names stand for DataFrames."""
     for name, frame in frames.items():
