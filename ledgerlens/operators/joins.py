@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +35,6 @@ def snapshot_compare(df: DataFrame, key: str, later: dt.date, baseline: dt.date,
     return on_date(df, later, date_column).join(before, key, "left")
 
 
-def enrich_left(left: DataFrame, right: DataFrame, on: Sequence[str],
-                suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Left merge in which NULL keys match NULL keys and clashing columns get suffixes."""
-    clash = (set(left.columns) & set(right.columns)) - set(on)
-    lhs = left.withColumnsRenamed({c: c + suffixes[0] for c in clash})
-    rhs = right.withColumnsRenamed({c: c + suffixes[1] for c in clash} | {c: f"_r_{c}" for c in on})
-    match = reduce(Column.__and__, [lhs[c].eqNullSafe(rhs[f"_r_{c}"]) for c in on])
-    return lhs.join(rhs, match, "left").drop(*[f"_r_{c}" for c in on])
-
-
 def left_join_many(left: DataFrame, right: DataFrame, on: str,
                    keys: DataFrame | None = None) -> DataFrame:
     """Left join to a side in which one key may own a large share of the rows.
@@ -59,6 +48,18 @@ def left_join_many(left: DataFrame, right: DataFrame, on: str,
     return left.join(right, on).unionByName(unmatched, allowMissingColumns=True)
 
 
+def enrich_left(left: DataFrame, right: DataFrame, on: Sequence[str],
+                suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """Left merge in which NULL keys match NULL keys and clashing columns get suffixes."""
+    clash = (set(left.columns) & set(right.columns)) - set(on)
+    # a struct of NULLs equals a struct of NULLs
+    key = F.struct(*on)
+    lhs = left.withColumn("_key", key).withColumnsRenamed({c: c + suffixes[0] for c in clash})
+    rhs = right.withColumn("_key", key).drop(*on).withColumnsRenamed(
+        {c: c + suffixes[1] for c in clash})
+    return left_join_many(lhs, rhs, "_key").drop("_key")
+
+
 def first_match(left: DataFrame, dimension: DataFrame, on: str) -> DataFrame:
     """Left join to a dimension whose exact duplicate rows are removed first."""
     return left.join(dimension.distinct(), on, "left")

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import enrich_left, on_date
+from ..operators.joins import enrich_left, left_join_many, on_date
 
 Tables = Mapping[str, DataFrame]
 
@@ -57,10 +57,7 @@ def keeper_match_by_vin(vehicles: DataFrame, t: Tables, day: dt.date,
 def keeper_match_by_registration(vehicles: DataFrame, t: Tables, day: dt.date) -> DataFrame:
     """Distinct rows of the list with the portfolio data of their registration."""
     listed = vehicles.select("VRM", "VIN").distinct()
-    portfolio = portfolio_at(t, day, listed.withColumnRenamed("VRM", "registration"),
-                             "registration").drop("vin")
-    return (
-        listed.join(portfolio, listed["VRM"] == portfolio["registration"], "left")
-        .drop("registration")
-        .orderBy(F.col("VRM").asc_nulls_last())
-    )
+    wanted = listed.withColumnRenamed("VRM", "registration")
+    portfolio = portfolio_at(t, day, wanted, "registration").drop("vin").withColumnRenamed(
+        "registration", "VRM")
+    return left_join_many(listed, portfolio, "VRM").orderBy(F.col("VRM").asc_nulls_last())

@@ -160,9 +160,12 @@ def declined_applications(applications: DataFrame, report_date: dt.date,
 
 
 def fca_weekly(t: Tables, report_date: dt.date, committed: Sequence[str],
-               lookback_days: int = WEEK) -> DataFrame:
-    """The 32 metrics of the weekly report, side by side in report order."""
+               lookback_days: int = WEEK, history_from: dt.date | None = None) -> DataFrame:
+    """The 32 metrics of the weekly report, side by side in report order.
+
+    ``history_from``: see ``missed_not_cured``.
+    """
     facility = facility_totals(facility_rows(t, report_date, committed, lookback_days))
-    missed = missed_not_cured(t["loan_timeline"], report_date)
+    missed = missed_not_cured(t["loan_timeline"], report_date, history_from=history_from)
     declined = declined_applications(t["applications"], report_date, lookback_days)
     return side_by_side(facility, missed, declined).select(*V.WEEKLY_METRICS)

@@ -55,8 +55,9 @@ def life_event(t: Tables, actions: DataFrame, day: str) -> DataFrame:
         "agreement_code", "status", parse_date(F.col("dateat")).alias("dt"))
     linked = (
         actions.withColumn(day, F.to_date("created_at")).drop("created_at")
-        .join(contacts, "contact_id", "left").join(loans, "account_id", "left")
+        .join(contacts, "contact_id", "left")
     )
+    linked = left_join_many(linked, loans, "account_id")
     match = (linked["loan"] == history["agreement_code"]) & (linked[day] == history["dt"])
     return linked.join(history, match, "left").drop("loan", "account_id")
 
