@@ -9,15 +9,18 @@ miss every table with a chance of 5 in a million, and less the more alike they a
 Exact copies are one node from the start. Candidates come in two steps, so that no group is
 expanded into all its pairs: first every text meets the smallest one of each key of the first
 collection, if they share one of the second too; verified links are contracted to components; then
-only tables in which several components still meet give pairs, between different components alone.
+only texts at keys where several components still meet are compared further, between different
+components alone, by an exact prefix filter on their sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -110,6 +113,62 @@ def _near_size(percent: int):
     return 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
 
 
+LENGTH_STEP = 1.03      # sets are compared between classes of sizes, each larger by this factor
+
+
+def _across_parts(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs from different parts that may reach the similarity: an exact prefix filter.
+
+    ``sets`` has ``node``, ``grams`` and ``part``. If two sets are that similar, they share one of
+    their first few shingles in any common order; here the rarest come first, and how many count
+    follows from both sizes. So a text that differs from all others in enough places meets none,
+    however large the group whose other words it shares. At each meeting place the rows of the
+    largest part are compared with those of other parts only.
+    """
+    share = percent / (100 + percent)       # of both sizes together that must be common
+
+    def prefix(size, other):                # how many of the first shingles can be the first match
+        return F.floor(size - F.ceil(share * (size + other) - 1e-6)) + 1
+
+    rows = sets.select("node", "part", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(common, "gram").withColumn("place", F.row_number().over(
+        Window.partitionBy("node").orderBy("df", "gram")))
+    shared = Window.partitionBy("node")
+    placed = ranked.withColumn("place", F.col("place") + F.col("n") - F.count("*").over(shared)) \
+        .where(F.col("place") <= prefix(F.col("n"), F.col("n") * (percent / 100)))
+    steps = math.ceil(math.log(100 / percent) / math.log(LENGTH_STEP)) + 1
+    level = F.floor(F.log(F.col("n")) / math.log(LENGTH_STEP) + 1e-9).cast("int")
+
+    def least(of):                          # smallest size in a class
+        return F.greatest(F.pow(F.lit(LENGTH_STEP), of) - 1e-6, F.lit(1.0))
+
+    roles = placed.withColumn("level", level).withColumn(
+        "step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn(
+        "small", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "low", F.when(F.col("small"), F.col("level")).otherwise(F.col("level") - F.col("step"))) \
+        .withColumn("partner", F.when(F.col("small"), F.col("level") + F.col("step")).otherwise(F.col("low"))) \
+        .where(F.col("place") <= prefix(F.col("n"), least(F.col("partner")))) \
+        .select("gram", "low", "step", "small", "node", "part", "n", "place")
+    at = ["gram", "low", "step"]
+    per_part = roles.groupBy(*at, "part").agg(F.count("*").alias("c"))
+    mixed_places = per_part.groupBy(*at).agg(
+        F.max(F.struct("c", "part")).alias("most"), F.count("*").alias("parts")) \
+        .where("parts > 1").select(*at, F.col("most.part").alias("main"))
+    meet = roles.join(mixed_places, at)
+    minor = meet.where("part <> main").select(
+        *at, F.col("small").alias("su"), F.col("node").alias("u"), F.col("part").alias("pu"),
+        F.col("n").alias("nu"), F.col("place").alias("iu"))
+    other = meet.select(
+        *at, F.col("small").alias("sv"), F.col("node").alias("v"), F.col("part").alias("pv"),
+        F.col("n").alias("nv"), F.col("place").alias("iv"))
+    needed = F.ceil(share * (F.col("nu") + F.col("nv")) - 1e-6)
+    pairs = minor.join(other, at).where(
+        (F.col("su") != F.col("sv")) & (F.col("pu") != F.col("pv")) & _near_size(percent)
+        & (1 + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv")) >= needed))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       size: int = 5, percent: int = 80, bands: int = 18,
                       rows: int = 3) -> DataFrame:
@@ -143,25 +202,16 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = stored(_verified(pairs, _sets(docs, id_col, text_col, size, ids), percent), "links")
     joined = stored(components(links), "components")
 
-    # step two: tables in which several components still meet
+    # step two: keys at which several components still meet
     part = F.coalesce("component", "node").alias("part")
     members = met.select("key", "node").join(joined, "node", "left").select("key", "node", part)
     open_keys = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")) \
         .where("p <> q").select("key")
-    open_rows = members.join(open_keys, "key").join(side, "node").select(
-        "node", "part", "n_shingles", F.explode("b").alias("other"), "key").select(
-        "node", "part", "n_shingles", F.xxhash64("key", "other").alias("cell"))
-    cells = open_rows.groupBy("cell").agg(F.min("part").alias("p"), F.max("part").alias("q")) \
-        .where("p <> q").select("cell")
-    rows_left = stored(open_rows.join(cells, "cell"), "cells")
-    more = rows_left.toDF("cell", "u", "pu", "nu").join(rows_left.toDF("cell", "v", "pv", "nv"), "cell") \
-        .where((F.col("pu") < F.col("pv")) & _near_size(percent)).select("u", "v").distinct()
-    tested = pairs.union(pairs.select("v", "u"))
-    more = stored(more.join(tested, ["u", "v"], "left_anti"), "pairs")
+    left = stored(members.join(open_keys, "key").select("node", "part").distinct(), "open")
+    sets = stored(_sets(docs, id_col, text_col, size, left.select("node")), "sets")
+    more = stored(_across_parts(sets.join(left, "node"), percent), "pairs")
     if not more.isEmpty():
-        ids = more.select(F.col("u").alias("node")).union(
-            more.select(F.col("v").alias("node"))).distinct()
-        extra = _verified(more, _sets(docs, id_col, text_col, size, ids), percent)
+        extra = _verified(more, sets, percent)
         joined = stored(components(links.union(extra)), "components")
 
     classes = copies.join(joined, "node", "left").select(
