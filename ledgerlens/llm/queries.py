@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_network, license_scan, main_text, near_duplicates, quality_rules, secret_spans
+from . import (
+    byte_network, license_scan, main_text, mixing, near_duplicates, quality_rules, secret_spans)
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +88,47 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+@query("op6_source_mix", r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
+                      '[^\x20\x09-\x0D]+')) AS size,
+                      md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))))
+                          AS h FROM documents),
+    s AS (SELECT source, sum(size) AS source_size,
+                 (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+          FROM d GROUP BY source),
+    o AS (SELECT *, 3 * source_size AS lim, sum(source_size) OVER () AS total,
+                 sum(weight) OVER () AS all_weight,
+                 row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS k FROM s),
+    p AS (SELECT *, CAST(total - coalesce(sum(lim) OVER w, 0) AS DOUBLE)
+                    / CAST(all_weight - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
+          FROM o WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    v AS (SELECT coalesce(min_by(level, k), 0) AS level FROM p WHERE NOT weight * level > lim),
+    t AS (SELECT source, source_size, CASE WHEN weight * v.level > lim THEN CAST(lim AS DOUBLE)
+                 ELSE v.level * weight END AS target FROM p, v),
+    e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+          FROM t),
+    c AS (SELECT d.source, d.doc_id, d.size, h, e.source_size, e.target, e.whole,
+                 e.target - e.whole * e.source_size AS need,
+                 sum(d.size) OVER (PARTITION BY d.source
+                                   ORDER BY h, CAST(doc_id AS VARCHAR), d.size) AS done
+          FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+    g AS (SELECT *, done <= need AS fits,
+                 need - coalesce(max(CASE WHEN done <= need THEN done END)
+                                 OVER (PARTITION BY source), 0) AS gap FROM c),
+    n AS (SELECT *, row_number() OVER (
+                     PARTITION BY source, NOT fits AND size > 0 AND abs(size - gap) < gap
+                     ORDER BY abs(size - gap), h, CAST(doc_id AS VARCHAR), size) = 1
+                 AND NOT fits AND size > 0 AND abs(size - gap) < gap AS filler FROM g)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+           CAST(size * (whole + CASE WHEN need > 0 AND (fits OR filler) THEN 1 ELSE 0 END)
+                AS BIGINT) AS taken
+    FROM n""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixture(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target",
+                        (F.col("size") * F.col("repeats")).alias("taken"))
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans.secret_spans(table(spark, sf_dir, "documents"))

@@ -23,7 +23,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _RNG = np.random.default_rng(1_789)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]                       # A-Z hash as a-z
-_SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+#: Bytes that separate words: white space, or all ASCII but letters and digits.
+SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+NO_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64)) | 1
 _STEPS = _RNG.integers(0, 1 << 64, 32, dtype=np.uint64) | np.uint64(1)
 PIECE = 1 << 20
@@ -42,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.up = _powers.down = np.empty(0, np.uint64)
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(column: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in a column, A-Z as a-z, and where each text ends.
 
     Returns the hashes one after the other and n + 1 bounds: those of text k are
@@ -58,7 +60,7 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
     ends = ends - ends[0]
-    blank = _SPACE[raw]
+    blank = separators[raw]
     first = np.ones(len(raw) + 1, bool)             # does a word that stands here start here?
     first[1:-1] = blank[:-1]
     first[ends] = True
