@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_network, license_scan, main_text, mixing, near_duplicates, quality_rules, secret_spans)
+    backoff, byte_network, factor_machine, license_scan, main_text, mixing, near_duplicates,
+    quality_rules, secret_spans, string_tiling)
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"),
+                                      table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_source_mix", r"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
                       '[^\x20\x09-\x0D]+')) AS size,
@@ -129,6 +136,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+@query("op7_backoff_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = factor_machine.quality_scores(table(spark, sf_dir, "documents"),
+                                          table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans.secret_spans(table(spark, sf_dir, "documents"))
