@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import held_out, over_arrow
+from .text import held_out, over_arrow, through_arrow
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -192,32 +193,24 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return sorted((r[0], r[1]) for r in chosen.collect() if LETTER.search(r[0]))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang", per_lang: int = 500, chars: int = 768,
-             network: Network | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row: id, ``lang_pred`` and ``score``, and the columns named in ``keep``.
-
-    Without a ``network`` one is trained on pieces of about ``per_lang`` labelled texts of each
-    language, never of held-out ids. Every byte of a text counts. A null text, one without a
-    letter, and every text if no labels could be learned, is ``und`` with score 0. Repeated rows
-    give repeated results.
-    """
+def _predictor(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int,
+               chars: int, network: Network | None):
+    """A function from a column of texts to their languages and scores."""
     if network is None:
         sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang, chars)
         network = train([t.encode() for t, _ in sample], [lang for _, lang in sample])
-    spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    sent = spark.sparkContext.broadcast(network)    # a few tens of kilobytes, whatever the input
+    # a few tens of kilobytes, whatever the input
+    sent = docs.sparkSession.sparkContext.broadcast(network)
     scorers: dict[int, Scorer] = {}
 
-    def run(batch):
+    def predict(column: list[str | None]) -> tuple[list[str], list[float]]:
         if not scorers:
             scorers[0] = Scorer(sent.value)
-        column = batch.column(batch.num_columns - 1).to_pylist()
         langs, n = scorers[0].net.langs, len(column)
         predicted, score = [UNKNOWN] * n, [0.0] * n
         known = [k for k, text in enumerate(column) if langs and text and LETTER.search(text)]
         at = 0
-        while at < len(known):      # a bounded number of bytes at a time, or one long text
+        while at < len(known):      # a bounded number of characters at a time, or one long text
             stop, size = at, 0
             while stop < len(known) and (stop == at or size + len(column[known[stop]]) < 1 << 20):
                 size += len(column[known[stop]])
@@ -226,8 +219,38 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for k, c, s in zip(known[at:stop], code.tolist(), p.tolist()):
                 predicted[k], score[k] = langs[c], min(1.0, s)
             at = stop
-        return [*batch.columns[:-1], predicted, score]
+        return predicted, score
+
+    return predict
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             lang_col: str = "lang", per_lang: int = 500, chars: int = 768,
+             network: Network | None = None) -> DataFrame:
+    """One row per row: id, ``lang_pred`` and ``score``.
+
+    Without a ``network`` one is trained on pieces of about ``per_lang`` labelled texts of each
+    language, never of held-out ids. Every byte of a text counts. A null text, one without a
+    letter, and every text if no labels could be learned, is ``und`` with score 0. Repeated rows
+    give repeated results.
+    """
+    predict = _predictor(docs, id_col, text_col, lang_col, per_lang, chars, network)
+
+    def run(batch):
+        return batch.column(0), *predict(batch.column(1).to_pylist())
+
+    return over_arrow(docs.select(id_col, text_col),
+                      f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double", run)
+
+
+def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               lang_col: str = "lang", per_lang: int = 500, chars: int = 768,
+               network: Network | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language ``identify`` can tell, with all their columns."""
+    predict = _predictor(docs, id_col, text_col, lang_col, per_lang, chars, network)
+
+    def known(batch):
+        found = predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())[0]
+        return batch.filter(pa.array([lang != UNKNOWN for lang in found], pa.bool_()))
 
-    names = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double"
-    return over_arrow(docs.select(*names, F.col(text_col).alias("_text")), schema, run)
+    return through_arrow(docs, known)

@@ -26,22 +26,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source", seed: int = 17) -> DataFrame:
-    """``docs`` with ``_size`` (words), ``_source`` and ``_hash``, the place in the seeded order.
+    """``docs`` with ``__size`` (words), ``__source`` and ``__hash``, the place in the seeded order.
 
     A document without id takes its place from its text.
     """
     name = F.coalesce(F.col(id_col).cast("string"),
                       F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     return docs.withColumns({
-        "_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint"),
-        "_source": F.col(source_col),
-        "_hash": F.md5(F.concat(F.lit(f"{seed}:"), name)),
+        "__size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint"),
+        "__source": F.col(source_col),
+        "__hash": F.md5(F.concat(F.lit(f"{seed}:"), name)),
     })
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
     """Add ``rank``, from 0, by code point with null last; no task needs all sources."""
-    placed = stored(sources.orderBy(F.col("_source").asc_nulls_last()).withColumn(
+    placed = stored(sources.orderBy(F.col("__source").asc_nulls_last()).withColumn(
         "at", F.monotonically_increasing_id()), "sources")
     part = F.shiftright("at", 33)
     parts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
@@ -49,16 +49,16 @@ def _ranked(sources: DataFrame) -> DataFrame:
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before.alias("before"))        # a row per partition
     return placed.withColumn("part", part).join(F.broadcast(parts), "part").select(
-        "_source", "source_size", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
+        "__source", "source_size", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
         .alias("rank"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """One row per source: ``_source``, ``source_size``, ``rank``, ``weight``, ``target``.
+    """One row per source: ``__source``, ``source_size``, ``rank``, ``weight``, ``target``.
 
     Each round of the loop clamps the sources above their limit and reads back three sums.
     """
-    ranked = _ranked(sizes.groupBy("_source").agg(F.sum("_size").alias("source_size")))
+    ranked = _ranked(sizes.groupBy("__source").agg(F.sum("__size").alias("source_size")))
     weight = F.element_at(F.array(*map(F.lit, weights)),
                           (F.col("rank") % len(weights) + 1).cast("int")).cast("bigint")
     sources = stored(ranked.withColumn("weight", weight), "weights")
@@ -79,7 +79,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 def _cut(rows: DataFrame, key: str) -> DataFrame:
     """Per source, the first ``key`` whose running sum passes what is needed, and the sum before."""
-    sums = rows.groupBy("rank", key).agg(F.sum("_size").alias("s"), F.first("need").alias("need"))
+    sums = rows.groupBy("rank", key).agg(F.sum("__size").alias("s"), F.first("need").alias("need"))
     done = F.sum("s").over(Window.partitionBy("rank").orderBy(key))
     sums = sums.withColumn("done", done).where("done > need")
     return sums.groupBy("rank").agg(F.min_by(key, key).alias(f"cut_{key}"),
@@ -99,16 +99,16 @@ def plan(sizes: DataFrame, id_col: str, weights: tuple[int, ...] = WEIGHTS,
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
         .otherwise(F.lit(0))).withColumn(
         "need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    rows = _with_source(sizes, found.select("_source", "rank", "need"), found).select(
-        "rank", "need", F.col("_size"), F.substring("_hash", 1, DIGITS).alias("b1"),
-        F.substring("_hash", DIGITS + 1, DIGITS).alias("b2"),
-        F.struct(F.col("_hash").alias("hash"), F.col(id_col).cast("string").alias("id"),
-                 F.col("_size").alias("size")).alias("place"))
+    rows = _with_source(sizes, found.select("__source", "rank", "need"), found).select(
+        "rank", "need", F.col("__size"), F.substring("__hash", 1, DIGITS).alias("b1"),
+        F.substring("__hash", DIGITS + 1, DIGITS).alias("b2"),
+        F.struct(F.col("__hash").alias("hash"), F.col(id_col).cast("string").alias("id"),
+                 F.col("__size").alias("size")).alias("place"))
     first = _cut(rows, "b1")
     inside = rows.drop("need").join(first, "rank").where("b1 = cut_b1")
     second = _cut(inside, "b2")
     inside = inside.drop("need").join(second, "rank").where("b2 = cut_b2")
-    done = F.sum("_size").over(Window.partitionBy("rank").orderBy("place"))
+    done = F.sum("__size").over(Window.partitionBy("rank").orderBy("place"))
     fits = F.col("done") <= F.col("need")
     ends = stored(inside.withColumn("done", done).groupBy("rank").agg(
         F.max(F.when(fits, F.col("place"))).alias("cut"),
@@ -117,28 +117,28 @@ def plan(sizes: DataFrame, id_col: str, weights: tuple[int, ...] = WEIGHTS,
     start = F.substring("place.hash", 1, 2 * DIGITS)
     few = found.count() <= FEW_SOURCES
     rest = rows.join(F.broadcast(ends) if few else ends, "rank").where(
-        (F.col("_size") > 0) & (start >= F.col("cell"))
+        (F.col("__size") > 0) & (start >= F.col("cell"))
         & ~F.coalesce(F.col("place") <= F.col("cut"), F.lit(False))
-        & (F.abs(F.col("_size") - F.col("gap")) < F.col("gap")))
+        & (F.abs(F.col("__size") - F.col("gap")) < F.col("gap")))
     fillers = rest.groupBy("rank").agg(F.min_by(
-        "place", F.struct(F.abs(F.col("_size") - F.col("gap")), "place")).alias("filler"))
+        "place", F.struct(F.abs(F.col("__size") - F.col("gap")), "place")).alias("filler"))
     return stored(found.join(ends.drop("gap"), "rank", "left").join(fillers, "rank", "left").select(
-        "_source", "source_size", "target", F.col("whole").cast("bigint").alias("whole"),
+        "__source", "source_size", "target", F.col("whole").cast("bigint").alias("whole"),
         (F.col("need") > 0).alias("more"), "cell", "cut", "filler"), "mix")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame, counted: DataFrame) -> DataFrame:
     few = counted.count() <= FEW_SOURCES
-    named = sources.withColumnRenamed("_source", "_named")
+    named = sources.withColumnRenamed("__source", "_named")
     return rows.join(F.broadcast(named) if few else named,
-                     F.col("_source").eqNullSafe(F.col("_named"))).drop("_named")
+                     F.col("__source").eqNullSafe(F.col("_named"))).drop("_named")
 
 
 def repeated(rows: DataFrame, mix: DataFrame, id_col: str) -> DataFrame:
     """Add ``source_size``, ``target`` and ``repeats`` to rows that ``sized`` made."""
-    place = F.struct(F.col("_hash").alias("hash"), F.col(id_col).cast("string").alias("id"),
-                     F.col("_size").alias("size"))
-    start = F.substring("_hash", 1, 2 * DIGITS)
+    place = F.struct(F.col("__hash").alias("hash"), F.col(id_col).cast("string").alias("id"),
+                     F.col("__size").alias("size"))
+    start = F.substring("__hash", 1, 2 * DIGITS)
     # without a cell the whole source fits into what is needed
     extra = F.col("more") & (F.col("cell").isNull() | (start < F.col("cell")) | F.coalesce(
         place <= F.col("cut"), F.lit(False)) | F.coalesce(place == F.col("filler"), F.lit(False)))
@@ -156,18 +156,23 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     results, sources without words the target 0. Rows alike in id and size are repeated alike.
     """
     sizes = stored(sized(docs.select(id_col, text_col, source_col), id_col, text_col, source_col,
-                         seed).select(id_col, "_size", "_source", "_hash"), "sizes")
+                         seed).select(id_col, "__size", "__source", "__hash"), "sizes")
     found = repeated(sizes, plan(sizes, id_col, weights, max_epochs), id_col)
-    return found.select(id_col, F.col("_size").alias("size"), "source_size", "target", "repeats")
+    return found.select(id_col, F.col("__size").alias("size"), "source_size", "target", "repeats")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
                max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """The mix itself: every row as often as ``mixture`` repeats it, numbered by ``repetition``."""
-    rows = sized(docs, id_col, text_col, source_col, seed)
-    sizes = stored(rows.select(id_col, "_size", "_source", "_hash"), "sizes")
-    found = repeated(rows, plan(sizes, id_col, weights, max_epochs), id_col)
+    """The mix itself: every row as often as ``mixture`` repeats it, numbered by ``repetition``.
+
+    A column of that name in ``docs`` gives way.
+    """
+    rows = sized(docs, id_col, text_col, source_col, seed).select(
+        F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__id"), "__size", "__source",
+        "__hash")
+    sizes = stored(rows.drop("__row"), "sizes")
+    found = repeated(rows, plan(sizes, "__id", weights, max_epochs), "__id")
     return found.where("repeats > 0").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).cast("bigint")
-        .alias("repetition"))
+        *(F.col("__row")[c].alias(c) for c in docs.columns if c != "repetition"),
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats"))).alias("repetition"))

@@ -229,13 +229,14 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Of rows that repeat a kept id one stays.
     """
     classes = stored(duplicate_classes(docs, id_col, text_col, **parameters), "classes")
-    dropped = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    few = dropped.count() <= BROADCAST_ROWS
-    key = F.col(id_col).cast("bigint") == F.col("_id")
-    kept = docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
-    repeated = stored(classes.where("doc_id = component_id").groupBy(
-        F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "repeated")
-    if repeated.isEmpty():
+    dropped = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    number = docs[id_col].cast("bigint")
+    kept = docs.join(dropped, number == dropped["doc_id"], "left_anti")
+    again = stored(classes.where("doc_id = component_id").groupBy("doc_id").count().where(
+        "count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
         return kept
-    return kept.join(repeated, key, "left_anti").union(
-        kept.join(repeated, key, "left_semi").dropDuplicates([id_col]))
+    return kept.join(again, number == again["doc_id"], "left_anti").union(
+        kept.join(again, number == again["doc_id"], "left_semi").dropDuplicates([id_col]))

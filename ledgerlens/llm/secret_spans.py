@@ -13,9 +13,10 @@ import re
 from functools import lru_cache
 from math import log2
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import over_arrow
+from .text import over_arrow, through_arrow
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -147,6 +148,8 @@ def joined(spans) -> str:
 
 def redacted(text: str, spans, mark: str) -> str:
     """Replace the union of the spans by ``mark``, once for each stretch."""
+    if not spans:
+        return text
     parts, at = [], 0
     merged: list[list[int]] = []
     for start, end, _ in in_order(spans):
@@ -163,25 +166,36 @@ def redacted(text: str, spans, mark: str) -> str:
 SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
+def all_spans(text: str | None, min_bits: float) -> list[tuple[int, int, str]]:
+    return in_order(base_spans(text) + guessed_spans(text, min_bits)) if text else []
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_bits: float = 36.0, mark: str = "[secret]") -> DataFrame:
-    """One row per row: id, ``spans`` (start, end, kind) and the text with the spans replaced.
+                 min_bits: float = 36.0) -> DataFrame:
+    """One row per row: id and ``spans`` (start, end, kind), in code points, end exclusive.
 
-    A null text has no spans and stays null; empty and very long texts, repeated rows and null ids
-    need no special case. Only the two named columns are read.
+    A null or empty text has no spans; very long texts, repeated rows and null ids need no special
+    case. Only the two named columns are read.
     """
-    kind = dict(docs.dtypes)[id_col]
-
     def scan(batch):
-        found, clean = [], []
-        for text in batch.column(1).to_pylist():
-            spans = in_order(base_spans(text) + guessed_spans(text, min_bits)) if text else []
-            found.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-            clean.append(redacted(text, spans, mark) if spans else text)
-        return batch.column(0), found, clean
+        return batch.column(0), [
+            [{"start": s, "end": e, "kind": k} for s, e, k in all_spans(text, min_bits)]
+            for text in batch.column(1).to_pylist()]
 
     return over_arrow(docs.select(id_col, text_col),
-                      f"`{id_col}` {kind}, spans {SPANS}, redacted string", scan)
+                      f"`{id_col}` {dict(docs.dtypes)[id_col]}, spans {SPANS}", scan)
+
+
+def redact(docs: DataFrame, text_col: str = "text", min_bits: float = 36.0,
+           mark: str = "[secret]") -> DataFrame:
+    """The rows of ``docs`` with every stretch of secret spans in the text replaced by ``mark``."""
+    def clean(batch):
+        at = batch.schema.get_field_index(text_col)
+        texts = [redacted(text, all_spans(text, min_bits), mark) if text else text
+                 for text in batch.column(at).to_pylist()]
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.types[at]))
+
+    return through_arrow(docs, clean)
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NO_ALNUM, gram_hashes, hashed_words, over_arrow
+from .text import NO_ALNUM, gram_hashes, hashed_words, over_arrow, through_arrow
 
 BLOCK_CHARS = 16_000_000     # characters of test items that are sent to the executors at a time
 TABLE_BITS = 22              # bits of the table that rules out most words at one look
@@ -133,58 +133,64 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int):
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-CONTENT = ("item_id bigint, item_words bigint, matched_words bigint, coverage double, "
-           "n_tiles bigint, longest_tile bigint")
+def _found(seeds: Seeds, column: pa.Array, coverage: float) -> dict[int, list[tuple]]:
+    """Items found in each text of a column, by the number of the text."""
+    size = seeds.seed_words
+    hashes, bounds = hashed_words(column, NO_ALNUM)
+    grams = gram_hashes(hashes, size)
+    at = seeds.hits(grams)
+    text = np.searchsorted(bounds, at, "right") - 1
+    inside = at + size <= bounds[text + 1]      # a run that crosses the end of a text is none
+    at, text = at[inside], text[inside]
+    out = {}
+    for k in np.unique(text).tolist():
+        a, b = bounds[k], bounds[k + 1]
+        out[k] = _compared(seeds, hashes[a:b], grams[a:], at[text == k] - a, coverage)
+    return out
+
+
+def _sent(docs: DataFrame, bench: DataFrame, item_id_col: str, item_text_col: str,
+          seed_words: int, block_chars: int) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(Seeds(items, seed_words))
+            for items in _blocks(bench, item_id_col, item_text_col, block_chars)]
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = 5,
-                 coverage: float = 0.6, block_chars: int = BLOCK_CHARS,
-                 per_row: bool = False) -> DataFrame:
+                 coverage: float = 0.6, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs of document and test item whose ``coverage`` reaches the threshold.
 
     One row per row of ``docs`` and such item: id, item_id, item_words, matched_words, coverage,
-    n_tiles, longest_tile. With ``per_row`` instead the columns of ``docs`` and ``items``, the list
-    of such items, for every row. Null and empty texts match nothing, nor do items of fewer than
+    n_tiles, longest_tile. Null and empty texts match nothing, nor do items of fewer than
     ``seed_words`` words; repeated rows and items give repeated results.
     """
-    kinds = dict(docs.dtypes)
-    names = docs.columns if per_row else [id_col]
-    spark = docs.sparkSession
-    parts = []
-    frame = docs
-    blocks = [spark.sparkContext.broadcast(Seeds(items, seed_words))
-              for items in _blocks(bench, item_id_col, item_text_col, block_chars)]
-    for number, sent in enumerate(blocks):
-        def run(batch, sent=sent):
-            seeds = sent.value
-            column = batch.column(batch.schema.get_field_index("_text"))
-            hashes, bounds = hashed_words(column, NO_ALNUM)
-            grams = gram_hashes(hashes, seed_words)
-            at = seeds.hits(grams)
-            # a run that crosses the end of a text is none
-            text = np.searchsorted(bounds, at, "right") - 1
-            at, text = (x[at + seed_words <= bounds[text + 1]] for x in (at, text))
-            found: dict[int, list[tuple]] = {}
-            for k in np.unique(text).tolist():
-                a, b = bounds[k], bounds[k + 1]
-                found[k] = _compared(seeds, hashes[a:b], grams[a:], at[text == k] - a, coverage)
-            if per_row:
-                ids = [[r[0] for r in found.get(k, ())] for k in range(batch.num_rows)]
-                return [*(batch.column(k) for k in range(len(names))), ids]
+    schema = (f"`{id_col}` {dict(docs.dtypes)[id_col]}, item_id bigint, item_words bigint, "
+              "matched_words bigint, coverage double, n_tiles bigint, longest_tile bigint")
+
+    def pairs(sent):
+        def run(batch):
+            found = _found(sent.value, batch.column(1), coverage)
             rows = [k for k, v in found.items() for _ in v]
             columns = list(zip(*(r for v in found.values() for r in v))) or [[] for _ in range(6)]
             return [batch.column(0).take(pa.array(rows, pa.int64())), *columns]
 
-        if per_row:
-            schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", _items{number} array<bigint>"
-            frame = over_arrow(frame.select(*names, F.col(text_col).alias("_text")), schema, run)
-            names = [*names, f"_items{number}"]
-            kinds[names[-1]] = "array<bigint>"
-        else:
-            parts.append(over_arrow(docs.select(id_col, F.col(text_col).alias("_text")),
-                                    f"`{id_col}` {kinds[id_col]}, {CONTENT}", run))
-    if per_row:
-        lists = names[len(docs.columns):]
-        return frame.select(*docs.columns, F.concat(*lists).alias("items"))
-    return reduce(DataFrame.union, parts)
+        return over_arrow(docs.select(id_col, F.col(text_col).alias("text")), schema, run)
+
+    sent = _sent(docs, bench, item_id_col, item_text_col, seed_words, block_chars)
+    return reduce(DataFrame.union, map(pairs, sent))
+
+
+def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
+                   item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = 5,
+                   coverage: float = 0.6, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that ``contaminated`` pairs with no item, with all their columns."""
+    def without(frame, sent):
+        def run(batch):
+            column = batch.column(batch.schema.get_field_index(text_col))
+            found = _found(sent.value, column, coverage)
+            return batch.filter(pa.array([not found.get(k) for k in range(batch.num_rows)], pa.bool_()))
+
+        return through_arrow(frame, run)
+
+    return reduce(without, _sent(docs, bench, item_id_col, item_text_col, seed_words, block_chars),
+                  docs)

@@ -98,10 +98,6 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(gram_hashes(words, size))
 
 
-def texts(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def over_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Sequence[Sequence]],
                step: int = 512) -> DataFrame:
     """Map a DataFrame in small Arrow batches; ``rows`` returns one sequence per output column."""
@@ -119,6 +115,19 @@ def over_arrow(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], Sequ
     return df.mapInArrow(run, schema)
 
 
+def through_arrow(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch],
+                  step: int = 512) -> DataFrame:
+    """Filter or change rows in small Arrow batches; all columns go through as they are."""
+    importable(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                yield change(whole.slice(start, step))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
