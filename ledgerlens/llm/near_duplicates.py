@@ -143,13 +143,20 @@ def _across_parts(sets: DataFrame, percent: int) -> DataFrame:
     def least(of):                          # smallest size in a class
         return F.greatest(F.pow(F.lit(LENGTH_STEP), of) - 1e-6, F.lit(1.0))
 
+    # a text meets larger ones as the small side and smaller ones as the large side
+    every = F.sequence(F.lit(0), F.lit(steps))
+
+    def side(small):
+        step = 1 if small else -1
+        reached = F.filter(every, lambda k: F.col("place") <= prefix(
+            F.col("n"), least(F.col("level") + step * k)))
+        return F.transform(reached, lambda k: F.struct(
+            F.lit(small).alias("small"), k.alias("step"),
+            (F.col("level") if small else F.col("level") - k).alias("low")))
+
     roles = placed.withColumn("level", level).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn(
-        "small", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "low", F.when(F.col("small"), F.col("level")).otherwise(F.col("level") - F.col("step"))) \
-        .withColumn("partner", F.when(F.col("small"), F.col("level") + F.col("step")).otherwise(F.col("low"))) \
-        .where(F.col("place") <= prefix(F.col("n"), least(F.col("partner")))) \
-        .select("gram", "low", "step", "small", "node", "part", "n", "place")
+        "role", F.explode(F.concat(side(True), side(False)))).select(
+        "gram", "role.low", "role.step", "role.small", "node", "part", "n", "place")
     at = ["gram", "low", "step"]
     per_part = roles.groupBy(*at, "part").agg(F.count("*").alias("c"))
     mixed_places = per_part.groupBy(*at).agg(
