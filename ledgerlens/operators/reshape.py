@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,18 +21,25 @@ def month_pivot(df: DataFrame, key: str, value: str, months: Mapping[str, dt.dat
     )
 
 
-def transpose_metrics(df: DataFrame, columns: Sequence[str], type_name: str = "decimal(38,2)") -> DataFrame:
+def transpose_metrics(df: DataFrame, columns: Sequence[str], type_name: str = "double") -> DataFrame:
     """One wide row to ``metric, value`` rows, in one common type."""
     wide = df.select(*[F.col(c).cast(type_name).alias(c) for c in columns])
     return wide.unpivot([], list(columns), "metric", "value")
 
 
 def side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Put one-row frames with different columns next to each other, without a cross join."""
-    stacked = one_row[0]
-    for frame in one_row[1:]:
-        stacked = stacked.unionByName(frame, allowMissingColumns=True)
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    """Put one-row frames with different columns next to each other, without a cross join.
+
+    A frame with a second row is an error, whichever columns are read.
+    """
+    names = [c for frame in one_row for c in frame.columns]
+    stacked = one_row[0].withColumn("_frame", F.lit(0))
+    for number, frame in enumerate(one_row[1:], 1):
+        stacked = stacked.unionByName(frame.withColumn("_frame", F.lit(number)), allowMissingColumns=True)
+    single = reduce(Column.__and__, [F.count(F.when(F.col("_frame") == k, 1)) <= 1
+                                     for k in range(len(one_row))])
+    return stacked.agg(*[F.when(single, F.max(c)).otherwise(F.raise_error(F.lit(
+        "side_by_side takes frames of one row"))).alias(c) for c in dict.fromkeys(names)])
 
 
 def with_total(df: DataFrame, keep: str, split: str, total_label: str) -> DataFrame:

@@ -22,8 +22,9 @@ DEFAULT_TYPES = (V.DEFAULT, V.VT_DEFAULT, V.VT)
 ARREARS_NUMBER = [((band,), number) for number, band in enumerate(V.ARREARS_BANDS, start=-1)]
 
 
-def month_name(day: dt.date) -> str:
-    return day.strftime("%b").lower()
+def month_column(kind: str, day: dt.date) -> str:
+    """``arr_2020_06``: no two months of any range share a name."""
+    return f"{kind}_{day:%Y_%m}"
 
 
 def ph_windows(forbearance: DataFrame) -> DataFrame:
@@ -57,11 +58,8 @@ def arrears_number(band: Column) -> Column:
     return lookup(band, ARREARS_NUMBER)
 
 
-def _month_columns(start: dt.date, end: dt.date, suffix: str) -> dict[str, dt.date]:
-    days = month_ends(start, end)
-    if len(days) > 12:
-        raise ValueError("month columns are named by month: at most twelve months")
-    return {f"{month_name(day)}_{suffix}": day for day in days}
+def _month_columns(start: dt.date, end: dt.date, kind: str) -> dict[str, dt.date]:
+    return {month_column(kind, day): day for day in month_ends(start, end)}
 
 
 def ph_arrears(windows: DataFrame, timeline: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
@@ -115,7 +113,7 @@ def ph_loan_table(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
 def ph_monthly(loan_table: DataFrame, cutoff: dt.date) -> DataFrame:
     """Seven outcomes of forbearance at a month-end ``cutoff``: volumes and values."""
     on = F.lit(cutoff)
-    balance, arrears = (F.col(f"{month_name(cutoff)}_{kind}") for kind in ("bal", "arr"))
+    balance, arrears = (F.col(month_column(kind, cutoff)) for kind in ("bal", "arr"))
     first_start, first_end = F.col("first_fb_start_date"), F.col("first_fb_end_date")
     reduced, extended = F.col("rmp_start_date"), F.col("add_ph_start_date")
     exit_day, exit_balance = F.col("sd_date"), F.col("sd_balance")

@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.history import latest_per_key
 from ..operators.joins import enrich_left, left_join_many, on_date
 
 Tables = Mapping[str, DataFrame]
@@ -46,9 +47,9 @@ def keeper_match_by_vin(vehicles: DataFrame, t: Tables, day: dt.date,
     """Every row of the list with the portfolio data of its VIN, both registrations side by side.
 
     Duplicates and NULL VINs of the list are kept, and NULL matches NULL. ``dedupe`` keeps
-    one row per VIN instead.
+    one row per VIN, the one with the largest registration, instead.
     """
-    listed = vehicles.dropDuplicates(["VIN"]) if dedupe else vehicles
+    listed = latest_per_key(vehicles, ["VIN"], "VRM") if dedupe else vehicles
     portfolio = portfolio_at(t, day, vehicles, "vin").withColumnsRenamed(
         {"registration": "VRM", "vin": "VIN"})
     return enrich_left(listed, portfolio, ["VIN"], ("_list", "_portfolio"))

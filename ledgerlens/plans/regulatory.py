@@ -112,18 +112,19 @@ def facility_totals(rows: DataFrame) -> DataFrame:
     return side_by_side(summed, distinct_balances)
 
 
-def missed_not_cured(timeline: DataFrame, report_date: dt.date, days: int = WEEK,
-                     history_from: dt.date | None = None) -> DataFrame:
+def missed_not_cured(timeline: DataFrame, report_date: dt.date, days: int = WEEK) -> DataFrame:
     """Loans that missed a payment due in the last days and have not caught up, one row.
 
     A loan's arrears are compared with the arrears held as many rows earlier as days have
     passed since its payment date. That offset is at most ``days`` here, so the newest
-    ``days + 1`` rows per agreement decide. ``history_from`` may bound the dates read: on a
-    timeline with a row for every day, ``report_date - days`` gives the same result.
+    ``days + 1`` rows per agreement decide. Only loans with a row on the report date and a recent
+    payment date are ranked: their keys come from one day of the timeline.
     """
-    seen = timeline.filter(F.col("date") <= F.lit(report_date))
-    if history_from is not None:
-        seen = seen.filter(F.col("date") >= F.lit(history_from))
+    candidates = timeline.filter(
+        (F.col("date") == F.lit(report_date)) & (F.col("days_since_last_payment_date") <= days)
+    ).select("agreement_code").distinct()
+    seen = timeline.filter(F.col("date") <= F.lit(report_date)).join(
+        candidates, "agreement_code", "left_semi")
     recent = top_per_key(
         seen.select("agreement_code", "date", "capital_balance", "arrears", "arrears_yesterday",
                     "days_since_last_payment_date"),
@@ -160,12 +161,9 @@ def declined_applications(applications: DataFrame, report_date: dt.date,
 
 
 def fca_weekly(t: Tables, report_date: dt.date, committed: Sequence[str],
-               lookback_days: int = WEEK, history_from: dt.date | None = None) -> DataFrame:
-    """The 32 metrics of the weekly report, side by side in report order.
-
-    ``history_from``: see ``missed_not_cured``.
-    """
+               lookback_days: int = WEEK) -> DataFrame:
+    """The 32 metrics of the weekly report, side by side in report order."""
     facility = facility_totals(facility_rows(t, report_date, committed, lookback_days))
-    missed = missed_not_cured(t["loan_timeline"], report_date, history_from=history_from)
+    missed = missed_not_cured(t["loan_timeline"], report_date)
     declined = declined_applications(t["applications"], report_date, lookback_days)
     return side_by_side(facility, missed, declined).select(*V.WEEKLY_METRICS)

@@ -21,6 +21,8 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+#: Derived tables that the checking SQL computes once.
+STORED = ("timeline_base", "loan_timeline", "status_history")
 
 
 def query(name: str, sql: str | None = None):
@@ -39,7 +41,8 @@ def with_sources(body: str) -> str:
     """Prefix a SELECT with the definitions of the derived tables it mentions."""
     words = set(re.findall(r"\w+", body))
     ctes = [
-        f"{name} AS ({TIMELINE_BASE_ANSI if name == 'timeline_base' else DERIVED[name][1]})"
+        f"{name} AS {'MATERIALIZED ' * (name in STORED)}"
+        f"({TIMELINE_BASE_ANSI if name == 'timeline_base' else DERIVED[name][1]})"
         for name in needed([n for n in DERIVED if n in words])
     ]
     body = body.strip()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import values as V
@@ -161,35 +163,34 @@ def last_day(t):
     return t["orders"].select("o_orderkey", F.last_day("o_orderdate").alias("month_end"))
 
 
-@query("report_calendar", """
-    SELECT CAST(month_end AS VARCHAR) AS as_of,
-           CAST(last_day(month_end - INTERVAL 3 MONTH) + 1 AS VARCHAR) AS prev_month_start,
-           CAST(last_day(month_end - INTERVAL 2 MONTH) AS VARCHAR) AS prev_month_end,
-           CAST(last_day(month_end - INTERVAL 2 MONTH) + 1 AS VARCHAR) AS rep_month_start,
-           CAST(last_day(month_end - INTERVAL 1 MONTH) AS VARCHAR) AS rep_month_end,
-           CAST(last_day(month_end - INTERVAL 2 MONTH) + 2 AS VARCHAR) AS snapshot_start,
-           CAST(last_day(month_end - INTERVAL 1 MONTH)
-                + CASE WHEN last_day(month_end - INTERVAL 1 MONTH) = DATE '1998-02-28' THEN 2
-                       ELSE 1 END AS VARCHAR) AS snapshot_end
-    FROM month_ends""")
-def report_calendar_dates(t):
-    as_of = F.col("month_end")
-
-    def back(months):
-        return F.last_day(F.add_months(as_of, -months))
+CALENDAR_DAYS = (dt.date(1997, 12, 1), *(dt.date(1998, month, 1) for month in range(1, 6)))
+BAD_SNAPSHOTS = (dt.date(1998, 2, 2), dt.date(1998, 3, 1))
 
-    bad = F.lit(dt.date(1998, 3, 1))
 
-    def snapshot_after(day):
-        following = F.date_add(day, 1)
-        return F.when(following == bad, F.date_add(day, 2)).otherwise(following)
-
-    rep_start = F.date_add(back(2), 1)
-    return t["month_ends"].select(
-        as_of.alias("as_of"), F.date_add(back(3), 1).alias("prev_month_start"),
-        back(2).alias("prev_month_end"), rep_start.alias("rep_month_start"),
-        back(1).alias("rep_month_end"), snapshot_after(rep_start).alias("snapshot_start"),
-        snapshot_after(back(1)).alias("snapshot_end"))
+@query("report_calendar", """
+    WITH c AS (SELECT m, o, last_day(m - to_months(o)) AS rep_end, last_day(m - to_months(o + 1)) AS prev_end,
+                      last_day(m - to_months(o + 2)) AS before
+               FROM (SELECT DISTINCT month_end + 1 AS m FROM month_ends
+                     WHERE month_end BETWEEN DATE '1997-11-30' AND DATE '1998-04-30') d,
+                    (VALUES (1), (2)) AS s(o)),
+    bad AS (SELECT list(CAST(b AS DATE)) AS days FROM (VALUES ('1998-02-02'), ('1998-03-01')) AS v(b))
+    SELECT CAST(m AS VARCHAR) AS as_of, CAST(o AS BIGINT) AS months_back,
+           CAST(before + 1 AS VARCHAR) AS prev_month_start, CAST(prev_end AS VARCHAR) AS prev_month_end,
+           CAST(prev_end + 1 AS VARCHAR) AS rep_month_start, CAST(rep_end AS VARCHAR) AS rep_month_end,
+           CAST(prev_end + 2 + CASE WHEN list_contains(days, prev_end + 2) THEN 1 ELSE 0 END AS VARCHAR)
+             AS snapshot_start,
+           CAST(rep_end + 1 + CASE WHEN list_contains(days, rep_end + 1) THEN 1 ELSE 0 END AS VARCHAR)
+             AS snapshot_end
+    FROM c, bad""")
+def report_calendar_dates(t):
+    """The library's calendar for the first of six months, one and two months back, two bad dates."""
+    frames = [
+        report_calendar(day, back, BAD_SNAPSHOTS).frame(t.spark).withColumn("months_back", F.lit(back))
+        for day in CALENDAR_DAYS for back in (1, 2)]
+    months = t["month_ends"].select(F.date_add("month_end", 1).alias("as_of"))
+    return months.join(reduce(DataFrame.unionByName, frames), "as_of").select(
+        "as_of", "months_back", "prev_month_start", "prev_month_end", "rep_month_start",
+        "rep_month_end", "snapshot_start", "snapshot_end")
 
 
 @query("shift_days", "SELECT o_orderkey, " + columns(

@@ -322,7 +322,7 @@ def select_distinct(t):
 
 @query("drop_duplicates", "SELECT VIN, max(VRM) AS VRM FROM vehicle_list WHERE VIN IS NOT NULL GROUP BY VIN")
 def drop_duplicates(t):
-    return t["vehicle_list"].filter(F.col("VIN").isNotNull()).dropDuplicates(["VIN"])
+    return latest_per_key(t["vehicle_list"].filter(F.col("VIN").isNotNull()), ["VIN"], "VRM")
 
 
 TRANSITIONS_SQL = """
@@ -376,7 +376,7 @@ def _year():
 
 
 def _week():
-    return F.weekofyear("dateat")
+    return F.date_trunc("week", "dateat")
 
 
 @query("first_in_state", """
@@ -406,13 +406,10 @@ def lag_previous(t):
 
 
 @query("lag_dynamic", """
-    WITH r AS (SELECT agreement_code, date, arrears_yesterday,
-                      coalesce(days_since_last_payment_date, 0) AS back,
-                      row_number() OVER (PARTITION BY agreement_code ORDER BY date) AS at
-               FROM loan_timeline)
-    SELECT a.agreement_code, CAST(a.date AS VARCHAR) AS date,
-           round(CAST(b.arrears_yesterday AS DOUBLE), 6) AS lagged
-    FROM r a LEFT JOIN r b ON b.agreement_code = a.agreement_code AND b.at = a.at - a.back""")
+    SELECT agreement_code, CAST(date AS VARCHAR) AS date,
+           round(CAST(lag(arrears_yesterday, CAST(coalesce(days_since_last_payment_date, 0) AS INT))
+                   OVER (PARTITION BY agreement_code ORDER BY date) AS DOUBLE), 6) AS lagged
+    FROM loan_timeline""")
 def lag_dynamic(t):
     rows = t["loan_timeline"].select("agreement_code", "date", "arrears_yesterday",
                                      "days_since_last_payment_date")

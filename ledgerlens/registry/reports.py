@@ -695,8 +695,9 @@ def forbearance_summary(t):
 # ---------------------------------------------------------------- payment holidays
 
 HOLIDAY_MONTHS = (dt.date(1998, 1, 31), dt.date(1998, 6, 30))
-MONTHS_SQL = {"jan": "1998-01-31", "feb": "1998-02-28", "mar": "1998-03-31", "apr": "1998-04-30",
-              "may": "1998-05-31", "jun": "1998-06-30"}
+MONTH_DAYS = ("1998-01-31", "1998-02-28", "1998-03-31", "1998-04-30",
+              "1998-05-31", "1998-06-30")
+MONTHS_SQL = {day[:7].replace("-", "_"): day for day in MONTH_DAYS}
 CUTOFF = MONTH
 HOLIDAY_KINDS = {"ph": "type IN ('Payment Holiday', 'Retrospective Payment Holiday')",
                  "rmp": "type = 'Payment Reduction'", "add_ph": "type = 'Additional Payment Holiday'"}
@@ -723,9 +724,9 @@ def _windows_sql() -> str:
 ARREARS_SQL = ("CASE payment_reduction_adjusted_arrears_status WHEN 'Up-to-Date' THEN -1 "
                "ELSE CAST(left(payment_reduction_adjusted_arrears_status, 1) AS INT) END")
 ARREARS_BY_MONTH = columns(*[
-    f"sum({ARREARS_SQL}) FILTER (WHERE date = DATE '{day}') AS {m}_arr" for m, day in MONTHS_SQL.items()])
+    f"sum({ARREARS_SQL}) FILTER (WHERE date = DATE '{day}') AS arr_{m}" for m, day in MONTHS_SQL.items()])
 BALANCE_BY_MONTH = columns(*[
-    f"sum(capital_balance) FILTER (WHERE date = DATE '{day}') AS {m}_bal" for m, day in MONTHS_SQL.items()])
+    f"sum(capital_balance) FILTER (WHERE date = DATE '{day}') AS bal_{m}" for m, day in MONTHS_SQL.items()])
 HOLIDAY_SQL = f"""
     WITH windows AS ({_windows_sql()}),
     before AS (SELECT w.agreement_code, {ARREARS_SQL} AS pre_arr FROM windows w
@@ -745,8 +746,8 @@ HOLIDAY_SQL = f"""
     loans AS (SELECT w.*, pre_arr, m.* EXCLUDE (agreement_code), type, sd_date, sd_balance
               FROM windows w LEFT JOIN before USING (agreement_code)
               LEFT JOIN monthly m USING (agreement_code) LEFT JOIN exits USING (agreement_code))"""
-ARREARS_OUT = [n(f"{m}_arr", f"{m}_arr") for m in MONTHS_SQL]
-BALANCES_OUT = [x(f"{m}_bal", f"{m}_bal") for m in MONTHS_SQL]
+ARREARS_OUT = [n(f"arr_{m}", f"arr_{m}") for m in MONTHS_SQL]
+BALANCES_OUT = [x(f"bal_{m}", f"bal_{m}") for m in MONTHS_SQL]
 
 
 @query("ph_windows", HOLIDAY_SQL + "SELECT agreement_code, " + columns(*[d(c, c) for c in (
@@ -788,14 +789,14 @@ ON = "DATE '1998-03-31'"
 STILL = f"coalesce(sd_date > {ON}, true)"
 DONE = (f"greatest(first_fb_end_date, add_ph_end_date, rmp_end_date) <= {ON} AND {STILL}")
 HOLIDAY_OUTCOMES = {
-    "ph": (f"first_fb_start_date <= {ON}", "greatest(mar_bal, sd_balance)"),
-    "first_ph": (f"{ON} >= first_fb_start_date AND {ON} < first_fb_end_date AND {STILL}", "mar_bal"),
+    "ph": (f"first_fb_start_date <= {ON}", "greatest(bal_1998_03, sd_balance)"),
+    "first_ph": (f"{ON} >= first_fb_start_date AND {ON} < first_fb_end_date AND {STILL}", "bal_1998_03"),
     "ext_ph": (f"first_fb_end_date <= {ON} AND {STILL} AND (add_ph_start_date IS NOT NULL OR "
                "rmp_start_date <> first_fb_start_date) AND "
                f"least(add_ph_start_date, rmp_start_date) <= {ON} AND "
-               f"greatest(add_ph_end_date, rmp_end_date) > {ON}", "mar_bal"),
-    "perf": (f"{DONE} AND mar_arr <= pre_arr", "mar_bal"),
-    "notperf": (f"{DONE} AND mar_arr > pre_arr", "mar_bal"),
+               f"greatest(add_ph_end_date, rmp_end_date) > {ON}", "bal_1998_03"),
+    "perf": (f"{DONE} AND arr_1998_03 <= pre_arr", "bal_1998_03"),
+    "notperf": (f"{DONE} AND arr_1998_03 > pre_arr", "bal_1998_03"),
     "def": (f"sd_date <= {ON} AND type <> 'Settlement'", "sd_balance"),
     "set": (f"sd_date <= {ON} AND type = 'Settlement'", "sd_balance"),
 }

@@ -39,14 +39,15 @@ TIMELINE_BASE_SPARK = """
     SELECT agreement_code, contract_date, date, total_finance_amount, m, mob,
            ((agreement_code % 1009 + 1) * (m % 1013) * ((m + agreement_code) % 97 + 1))
              % 10007 % 100 AS h
-    FROM (SELECT agreement_code, contract_date, total_finance_amount, mob, first_month + mob AS m,
-                 last_day(add_months(contract_date, mob)) AS date
-          FROM (SELECT agreement_code, contract_date, total_finance_amount,
-                       year(contract_date) * 12 + month(contract_date) AS first_month
+    FROM (SELECT agreement_code, contract_date, contract_end_date, total_finance_amount, mob,
+                 first_month + mob AS m, last_day(add_months(contract_date, mob)) AS date
+          FROM (SELECT agreement_code, contract_date, contract_end_date, total_finance_amount,
+                       year(contract_date) * 12 + month(contract_date) AS first_month,
+                       year(contract_end_date) * 12 + month(contract_end_date) AS final_month
                 FROM loan_agreements) la
-          LATERAL VIEW explode(sequence(0, 20)) AS mob) b
+          LATERAL VIEW explode(sequence(0, final_month - first_month)) AS mob) b
     JOIN month_ends ON month_end = date
-    WHERE date <= date_add(contract_date, 600)
+    WHERE date <= contract_end_date
 """
 
 TIMELINE_BASE_ANSI = """
@@ -57,7 +58,7 @@ TIMELINE_BASE_ANSI = """
     FROM (SELECT agreement_code, contract_date, total_finance_amount, month_end AS date,
                  year(month_end) * 12 + month(month_end) AS m
           FROM loan_agreements
-          JOIN month_ends ON month_end BETWEEN contract_date AND contract_date + 600) b
+          JOIN month_ends ON month_end BETWEEN contract_date AND contract_end_date) b
 """
 
 DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
@@ -176,7 +177,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
                      CASE WHEN l_linestatus = 'F' THEN 0 ELSE 2 END AS shift,
                      min(CAST(l_shipdate AS DATE)) AS first_ship,
                      CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DECIMAL(18,2)) AS amount
-              FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40
+              FROM lineitem WHERE l_returnflag = 'R'
               GROUP BY l_orderkey, l_linestatus) s"""),
     "forbearance": (("lineitem",), """
         SELECT l_orderkey AS agreement_code, """ + _pick("l_linenumber % 4", [
@@ -219,7 +220,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT l_orderkey AS agreement_code, """ + _pick("l_suppkey % 4", [
             "Retail", "Hospitality", "Transport", None]) + """ AS employment_industry, """
         + _pick("l_partkey % 3", ["Furloughed", "Redundant", "None"]) + """ AS employment_impact
-        FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 45"""),
+        FROM lineitem WHERE l_returnflag = 'N'"""),
     "applications": (("orders",), f"""
         SELECT o_orderkey AS application_id,
                CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 6 = 1 THEN 'DTC'
@@ -406,16 +407,11 @@ class DriverTables(Tables):
         if name == "timeline_base":
             # one row per calendar month: small by nature, whatever the number of orders
             frames["month_ends"] = frames["month_ends"].hint("broadcast")
-            frames["loan_agreements"] = spread(frames["loan_agreements"], "agreement_code")
+            # rows that multiply are dealt out first; adaptive execution joins small partitions
+            frames["loan_agreements"] = frames["loan_agreements"].repartition("agreement_code")
         return run_select(self.spark, select, frames)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for rows that are about to multiply, if a few small files hold them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def run_select(spark: SparkSession, select: str, frames: dict[str, DataFrame]) -> DataFrame:
     """Run a SELECT whose table names stand for DataFrames."""
     for name, frame in frames.items():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Mapping
 
@@ -152,8 +151,8 @@ class CatalogTables(Tables):
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Delimited file with a header line, under an explicit schema."""
-    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+    """Delimited file with a header line, under an explicit schema; a value that does not fit fails."""
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST")
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -166,16 +165,9 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for scratch tables: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
+    """Shared folder for scratch tables: ``spark.checkpoint.dir``, else one in the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="ledgerlens-")
-    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -14,6 +14,7 @@ from conftest import values
 from ledgerlens.operators import history as H
 from ledgerlens.operators import joins as J
 from ledgerlens.operators import reshape as R
+from ledgerlens.sources.tables import read_delimited
 
 DAY0 = dt.date(2018, 11, 20)
 SCHEMA = "k int, day date, s string"
@@ -178,3 +179,21 @@ def test_top_per_key_keeps_k(spark, k):
     df = spark.createDataFrame(history_rows(), SCHEMA)
     sizes = H.top_per_key(df, ["k"], [F.col("day").desc()], k).groupBy("k").count()
     assert max(n for _, n in values(sizes)) == k
+
+
+def test_previous_over_a_year_border_with_weeks(spark):
+    rows = [("a", "2024-01-03", "A"), ("a", "2024-02-07", "B"), ("a", "2025-01-02", "C")]
+    history = spark.createDataFrame(rows, "key string, dateat string, status string")
+    got = H.previous(history, {"status": "before"}, ["key"], ["dateat"], F.date_trunc("week", "dateat"))
+    assert values(got, "status", "before") == [("A", None), ("B", "A"), ("C", "B")]
+
+
+def test_side_by_side_rejects_a_second_row(spark):
+    with pytest.raises(Exception, match="one row"):
+        R.side_by_side(spark.range(2).selectExpr("id as a"), spark.range(1).selectExpr("8 as b")).collect()
+
+
+def test_delimited_input_fails_on_a_bad_value(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("a,b\n1,x\nbad,y\n")
+    with pytest.raises(Exception):
+        read_delimited(spark, str(tmp_path / "bad.csv"), "a int, b string").collect()

@@ -184,9 +184,9 @@ def test_windows_ignore_missing_kinds(spark):
         (1, b, c), (2, b, d), (3, a, c), (4, None, None)]
 
 
-def test_month_columns_are_limited_to_a_year():
-    with pytest.raises(ValueError):
-        holidays._month_columns(D(2020, 1, 31), D(2021, 1, 31), "bal")
+def test_month_columns_of_any_range_have_names_of_their_own():
+    months = holidays._month_columns(D(2020, 1, 31), D(2021, 6, 30), "bal")
+    assert len(months) == 18 and months["bal_2021_01"] == D(2021, 1, 31)
 
 
 def test_missed_not_cured_equals_the_general_lag(spark, t):
