@@ -12,8 +12,6 @@ n-grams travel as packed arrays, since rows of their own take twice the disk.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

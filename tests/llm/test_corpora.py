@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerlens.llm import backoff, mixing, near_duplicates, string_tiling
 from ledgerlens.llm.components import components
-from ledgerlens.llm.text import NO_ALNUM, gram_hashes, hashed_words
+from ledgerlens.llm.text import NO_ALNUM, hashed_words
 
 SF = "/root/testdata/sf0.001"
 
