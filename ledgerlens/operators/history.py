@@ -49,6 +49,11 @@ def _ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
+def _total(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> list[str]:
+    """The order, and the other columns to break its ties."""
+    return [*order, *[c for c in df.columns if c not in (*key, *order)]]
+
+
 def _across_chunks(key: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*[F.col("_group")[c] for c in key]).orderBy(
         F.col("_group")["_chunk"].asc_nulls_last())
@@ -60,13 +65,14 @@ def previous(df: DataFrame, columns: dict[str, str], key: Sequence[str], order:
     """Add values of the preceding row: ``columns`` maps source to output names.
 
     The first row of a key gets NULL. ``kept_columns`` come from the last preceding row that
-    meets ``kept`` instead. Select the columns needed before the call: rows and carried rows
-    then come from one shuffle.
+    meets ``kept`` instead. Rows that tie in ``order`` follow their other columns, so the
+    result does not vary; all columns must be of types that sort. Select the columns needed
+    before the call: rows and carried rows then come from one shuffle.
     """
     skipping = kept_columns or {}
-    row = F.struct(*df.columns)
+    row = F.struct(*dict.fromkeys([*columns, *skipping]))
     rows = _grouped(df, key, chunk)
-    inside = Window.partitionBy("_group").orderBy(*_ascending(order))
+    inside = Window.partitionBy("_group").orderBy(*_ascending(_total(df, key, order)))
     found = {
         **{out: F.lag(c).over(inside) for c, out in columns.items()},
         "_first": F.lag(F.lit(1)).over(inside).isNull(),
@@ -94,21 +100,31 @@ def previous(df: DataFrame, columns: dict[str, str], key: Sequence[str], order:
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column,
-             name: str = "row_number") -> DataFrame:
-    """Add the 1-based position of every row within its key."""
+             name: str = "row_number", from_end: str | None = None) -> DataFrame:
+    """Add the 1-based position of every row within its key, and ``from_end``, the one from its end.
+
+    Rows that tie in ``order`` follow their other columns.
+    """
     rows = _grouped(df, key, chunk)
-    inside = Window.partitionBy("_group").orderBy(*_ascending(order))
-    earlier = _across_chunks(key).rowsBetween(Window.unboundedPreceding, -1)
-    before = (
+    inside = Window.partitionBy("_group").orderBy(*_ascending(_total(df, key, order)))
+    across = _across_chunks(key)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = {"_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0))}
+    if from_end:
+        counted["_all"] = F.sum("_size").over(whole)
+    sizes = (
         rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
-        .select("_group", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+        .select("_group", *[column.alias(c) for c, column in counted.items()])
     )
-    return (
+    out = (
         rows.withColumn("_position", F.row_number().over(inside))
-        .join(before, "_group", "left")
+        .join(sizes, "_group", "left")
         .withColumn(name, F.col("_position") + F.col("_before"))
-        .drop("_group", "_position", "_before")
     )
+    if from_end:
+        out = out.withColumn(from_end, F.col("_all") - F.col(name) + 1)
+    return out.drop("_group", "_position", *counted)
 
 
 def lag_by_column(df: DataFrame, value: str, offset: str, key: Sequence[str], order: Sequence[str],

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
+
 
 def control_totals(df: DataFrame, key: str, amount: str) -> DataFrame:
     """Rows, distinct keys and total amount; rows above keys mean a join multiplied rows."""
@@ -26,3 +29,32 @@ def repeated_transitions(changes: DataFrame, key: str = "agreement_code") -> Dat
     """Loans whose crystallisation sums mix several events."""
     return changes.filter((F.col("dups_check") > 1) | (F.col("dups_check2") > 1)).select(
         key, "dups_check", "dups_check2")
+
+
+def key_counts(frames: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Per named frame and key column: rows, distinct keys, and rows whose key is NULL.
+
+    A join may be left out, or made without multiplying rows, where the rows with a key are as
+    many as the keys. NULL keys on both sides of a merge that matches them meet in all pairs.
+    """
+    parts = [
+        df.groupBy(F.lit(name).alias("name"), F.col(key).alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        for name, (df, key) in frames.items()
+    ]
+    keys = [part.withColumn("_key", F.col("_key").cast("string")) for part in parts]
+    return reduce(DataFrame.unionByName, keys).groupBy("name").agg(
+        F.sum("_rows").alias("rows"),
+        F.count("_key").alias("keys"),
+        F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_rows"))), F.lit(0)).alias("null_keys"),
+    )
+
+
+def unread_dates(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose date text is missing, and rows whose text is no date and would be read as NULL."""
+    text = F.col(column)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(text.isNull(), 1)).alias("missing"),
+        F.count(F.when(text.isNotNull() & parse_date(text).isNull(), 1)).alias("unread"),
+    )

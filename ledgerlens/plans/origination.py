@@ -112,11 +112,18 @@ def car_age(registered: Column, contracted: Column) -> Column:
         whole_years(registered, contracted))
 
 
-def profile_rows(t: Tables, start: dt.date, end: dt.date, age_from_birth: bool = False) -> DataFrame:
+def profile_rows(t: Tables, start: dt.date, end: dt.date, age_from_birth: bool = False,
+                 opportunities: DataFrame | None = None) -> DataFrame:
     """New loans of a period with everything the profile breaks them down by.
 
-    A loan appears more than once if its borrower has several current residences.
+    A loan appears more than once if its borrower has several current residences. Vehicle and
+    fuel come from two opportunity tables; in the older variant ``opportunities`` (``id``,
+    ``vehicle_name``, ``fuel_type``) is the only one.
     """
+    car = (t["opportunity"] if opportunities is None else opportunities).select(
+        F.col("id").alias("opportunity_id"), "vehicle_name", F.col("fuel_type").alias("fuel"))
+    if opportunities is not None:
+        car = car.withColumn("earlier_fuel", F.col("fuel"))
     loans = _new_loans(t, start, end).select(
         "agreement_code", "opportunity_id", "main_borrower_account_id", "introducer_id", "platform",
         "contract_date", "registration_date", "term", "total_finance_amount",
@@ -138,23 +145,24 @@ def profile_rows(t: Tables, start: dt.date, end: dt.date, age_from_birth: bool =
                                         F.col("gross_annual_income").alias("income"))
     age = age_from_dob(F.col("date_of_birth"), end) if age_from_birth else F.col("current_age")
     applicants = t["applicant"].select(F.col("id").alias("applicant_id"), age.alias("age"))
-    return (
+    rows = (
         left_join_many(loans, residence, "opportunity_id")
         .join(funded.select("opportunity_id").join(income, "opportunity_id", "left"),
               "opportunity_id", "left")
         .join(funded.select("opportunity_id", "applicant_id").join(applicants, "applicant_id", "left")
               .drop("applicant_id"), "opportunity_id", "left")
-        .join(t["opportunity"].select(F.col("id").alias("opportunity_id"), "vehicle_name",
-                                      F.col("fuel_type").alias("fuel")), "opportunity_id", "left")
-        .join(t["opportunity_history"].select(F.col("id").alias("opportunity_id"),
-                                              F.col("fuel_type").alias("earlier_fuel")),
-              "opportunity_id", "left")
+        .join(car, "opportunity_id", "left")
         .join(t["dealer_dim"].select(F.col("dealer_id").alias("introducer_id"),
                                      F.col("introducer_category").alias("category")),
               "introducer_id", "left")
         .join(accounts, "main_borrower_account_id", "left")
         .withColumn("car_age", car_age(F.col("registration_date"), F.col("contract_date")))
     )
+    if opportunities is None:
+        rows = rows.join(t["opportunity_history"].select(
+            F.col("id").alias("opportunity_id"), F.col("fuel_type").alias("earlier_fuel")),
+            "opportunity_id", "left")
+    return rows
 
 
 def _ranges(column: str, prefix: str, edges: list[tuple[int | None, int | None, str]]) -> dict[str, Column]:
@@ -232,11 +240,15 @@ def _profile_metrics(measure: str) -> dict[str, Column]:
 
 
 def new_business_profile(t: Tables, start: dt.date, end: dt.date, measure: str = "volume",
-                         age_from_birth: bool = False) -> DataFrame:
-    """New loans per month broken down by channel, customer and car: counts or amounts."""
+                         age_from_birth: bool = False,
+                         opportunities: DataFrame | None = None) -> DataFrame:
+    """New loans per month broken down by channel, customer and car: counts or amounts.
+
+    ``opportunities`` makes it the older variant (see ``profile_rows``).
+    """
     metrics = _profile_metrics(measure)
     return (
-        profile_rows(t, start, end, age_from_birth)
+        profile_rows(t, start, end, age_from_birth, opportunities)
         .groupBy(F.last_day("contract_date").alias("month_end"))
         .agg(*[column.alias(name) for name, column in metrics.items()])
     )

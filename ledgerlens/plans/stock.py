@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions.dates import epoch_ms_to_date, months_diff, parse_date, vintage
 from ..functions.text import amount_between, date_after
 from ..operators.history import entered_state, first_per_key, previous, top_per_key
 from ..operators.joins import left_join_many, on_date
+from ..sources.tables import materialize
 from .calendar import ReportCalendar
 
 Tables = Mapping[str, DataFrame]
@@ -22,6 +24,7 @@ Tables = Mapping[str, DataFrame]
 CODE = "decimal(4,1)"
 PART_PAYMENT = Decimal("0.1")
 TRANSITION_EPOCH = dt.date(2000, 1, 1)
+TERMINATION, REPOSSESSION, SALE = "termination", "repossession", "sale"
 
 # Opening arrears code -> label in the roll-rate report
 OPENINGS = {Decimal("0"): "utd", PART_PAYMENT: "oneplus", Decimal("1"): "one",
@@ -89,6 +92,43 @@ def terminations(t: Tables) -> DataFrame:
     return life_event(t, actions.select("contact_id", "created_at"), "termination_date")
 
 
+def life_events(t: Tables) -> DataFrame:
+    """Terminations, repossessions and sales of all loans from one pass over the action log.
+
+    One row per first action of a contact and loan of the contact's account: ``agreement_code``,
+    ``kind``, ``day`` and, for sales, the date and amount in the text. Only loans with a snapshot
+    on the day of the action count, as the events above name no other.
+    """
+    text, stamp = F.col("description"), F.col("created_at")
+    place = [stamp.isNull().alias("undated"), stamp, F.col("action_id").isNull().alias("unnamed"),
+             "action_id"]
+    sold = [sale_date(text).alias("actual_sale_date"), sale_amount(text).alias("gross_sale_amount")]
+    phrases = {TERMINATION: F.col("name").ilike(V.TERMINATION_PHRASE),
+               REPOSSESSION: text.ilike(V.REPOSSESSION_PHRASE), SALE: text.ilike(V.SALE_PHRASE)}
+    firsts = (
+        t["action_log"].filter(reduce(Column.__or__, phrases.values())).groupBy("contact_id")
+        .agg(*[F.min(F.when(hit, F.struct(*place, *(sold if kind == SALE else [])))).alias(kind)
+               for kind, hit in phrases.items()])
+    )
+    contacts = t["contact"].select(F.col("id").alias("contact_id"), "account_id")
+    loans = t["loan_link"].select(F.col("main_borrower").alias("account_id"),
+                                  F.col("agreement_code").alias("loan"))
+    events = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.to_date(F.col(kind)["created_at"]).alias("day"),
+                 *[(F.col(kind)[c] if kind == SALE else F.lit(None)).alias(c)
+                   for c in ("actual_sale_date", "gross_sale_amount")])
+        for kind in phrases])
+    dated = (
+        firsts.join(contacts, "contact_id").join(loans, "account_id")
+        .select("loan", F.inline(events)).filter("day is not null")
+    )
+    snapshots = t["status_history"].select(
+        "agreement_code", parse_date(F.col("dateat")).alias("_snapshot"))
+    match = (F.col("loan") == F.col("agreement_code")) & (F.col("day") == F.col("_snapshot"))
+    return dated.join(snapshots, match).select(
+        "agreement_code", "kind", "day", "actual_sale_date", "gross_sale_amount")
+
+
 # ---------------------------------------------------------------- status history
 
 
@@ -179,7 +219,9 @@ def status_changes(history: DataFrame, bad_dates: Iterable[dt.date] = (),
     }
     # per agreement and status first, so that the first day in a status is an aggregate too
     insured_day = F.when(insured, F.col("day")).alias("_insured")
-    kept_day = F.when(kept, F.col("day"))
+    # snapshots of one day are taken in the order that ``previous`` takes them in
+    kept_day = F.when(kept, F.struct("day", *[x for c in ("arrears_value", "capital_outstanding")
+                                              for x in (F.col(c).isNull(), F.col(c))]))
     parts = rows.groupBy("agreement_code", "status", insured_day).agg(
         *[column.alias(name) for name, column in sums.items()],
         F.min_by("arrears_value", kept_day).alias("_first_arrears"),
@@ -228,18 +270,22 @@ def closures_at_term(t: Tables, as_of: dt.date) -> DataFrame:
     )
 
 
-def exit_events(t: Tables) -> DataFrame:
-    """Settlements and defaults with the borrower's termination, repossession and sale dates."""
+def exit_events(t: Tables, events: DataFrame) -> DataFrame:
+    """Settlements and defaults with the borrower's termination, repossession and sale dates.
+
+    ``events`` are the ``life_events``, stored: they are read once for each kind.
+    """
     exits = t["settlements_and_defaults"].select(
         "agreement_code", "type", "processed_date", F.col("amount").alias("settlement_amount"),
         F.col("date").alias("exit_date"))
-    for events, columns in (
-        (terminations(t), ["termination_date"]),
-        (repossessions(t), ["repo_date"]),
-        (vehicle_sales(t), ["vehicle_sale_date", "actual_sale_date", "gross_sale_amount"]),
+    for kind, day, columns in (
+        (TERMINATION, "termination_date", []),
+        (REPOSSESSION, "repo_date", []),
+        (SALE, "vehicle_sale_date", ["actual_sale_date", "gross_sale_amount"]),
     ):
-        known = events.filter(F.col("agreement_code").isNotNull())
-        exits = exits.join(known.select("agreement_code", *columns), "agreement_code", "left")
+        known = events.filter(F.col("kind") == kind)
+        exits = exits.join(known.select("agreement_code", F.col("day").alias(day), *columns),
+                           "agreement_code", "left")
     return exits
 
 
@@ -247,8 +293,11 @@ def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date
                    bad_dates: Iterable[dt.date] = ()) -> DataFrame:
     """Every loan of the snapshot pair with its end status.
 
-    A loan with several exits or write-offs has several rows, as reported.
+    A loan with several exits or write-offs has several rows, as reported. The life events are
+    stored on the way; store the position itself where several reports read it
+    (``stored_position``).
     """
+    events = materialize(life_events(t), "life_events")
     ladder = status_ladder(t["status_history"],
                            (calendar.snapshot_start, calendar.snapshot_end))
     closures = closures_at_term(t, calendar.as_of).select("agreement_code", "contract_end_date")
@@ -260,7 +309,8 @@ def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date
         crystalised_to.alias("crystalised_to"),
         (crystalised_to - F.col("shortfall_balance")).alias("net_sale_amount"))
     rows = (
-        left_join_many(ladder, exit_events(t), "agreement_code", t["settlements_and_defaults"])
+        left_join_many(ladder, exit_events(t, events), "agreement_code",
+                       t["settlements_and_defaults"])
         .join(closures, "agreement_code", "left")
         .join(changes, "agreement_code", "left")
         .select("*", F.explode_outer("insurance_dates").alias("insurance_date"))
@@ -284,6 +334,13 @@ def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date
     return rows.withColumn("end_status", end_status)
 
 
+def stored_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date,
+                    bad_dates: Iterable[dt.date] = ()) -> DataFrame:
+    """The stock position written once, by month, for all reports that read it."""
+    return materialize(stock_position(t, calendar, insurance_since, bad_dates), "stock_position",
+                       partition_by=("report_month",))
+
+
 # ---------------------------------------------------------------- reports on the stock
 
 

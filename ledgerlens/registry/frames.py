@@ -14,7 +14,8 @@ from ..operators.history import (
 from ..operators.joins import (
     at_own_date, enrich_left, first_match, left_join_many, on_date, snapshot_compare)
 from ..operators.reshape import month_pivot, side_by_side, with_total
-from ..plans.checks import control_totals, duplicate_keys, repeated_transitions
+from ..plans.checks import (
+    control_totals, duplicate_keys, key_counts, repeated_transitions, unread_dates)
 from ..plans.stock import crystallisation
 from . import query
 from .sql import columns, d, n, tally as sql_tally, total, total0, x
@@ -352,6 +353,28 @@ def totals(t):
     return control_totals(t["loan_timeline"], "agreement_code", "capital_balance")
 
 
+#: Tables that reports join, or leave out, trusting that their key is unique.
+LOOKUPS = {"opportunity": "id", "opportunity_history": "id", "funnel_summary": "loan_application_id",
+           "applicant": "id", "contact": "id", "dealer_dim": "dealer_id", "global_search": "id",
+           "retro_public": "global_search_id", "vehicle_list": "VIN"}
+
+
+@query("key_counts", " UNION ALL ".join(
+    f"SELECT '{name}' AS name, " + columns(
+        n("count(*)", "rows"), n(f"count(DISTINCT {key})", "keys"),
+        n(f"count(*) - count({key})", "null_keys")) + f" FROM {name}"
+    for name, key in LOOKUPS.items()))
+def lookup_keys(t):
+    return key_counts({name: (t[name], key) for name, key in LOOKUPS.items()})
+
+
+@query("unread_dates", "SELECT " + columns(
+    n("count(*)", "rows"), n("count(*) - count(dateat)", "missing"),
+    n("count(dateat) - count(try_cast(dateat AS DATE))", "unread")) + " FROM status_history")
+def unread_snapshots(t):
+    return unread_dates(t["status_history"], "dateat")
+
+
 # ---------------------------------------------------------------- ordered histories
 
 
@@ -388,10 +411,8 @@ def _week():
     FROM status_history""")
 def first_in_state(t):
     history = t["status_history"].select("agreement_code", "dateat", "status")
-    rows = numbered(history, ["agreement_code", "status"], ["dateat"], _year(), "first_in_state")
-    size = rows.groupBy("agreement_code", "status").agg(F.max("first_in_state").alias("visits"))
-    return rows.join(size, ["agreement_code", "status"]).withColumn(
-        "last_in_state", F.col("visits") - F.col("first_in_state") + 1).drop("visits")
+    return numbered(history, ["agreement_code", "status"], ["dateat"], _year(), "first_in_state",
+                    from_end="last_in_state")
 
 
 @query("lag_previous", """

@@ -220,6 +220,17 @@ def new_business_vols_age_from_dob(t):
     return _profile(t, "volume", age_from_birth=True).select("month_end", *ages)
 
 
+OLDER_ROWS = _profile_rows(STORED_AGE).replace("o.vehicle_name", "h.vehicle_name").replace(
+    "o.fuel_type", "h.fuel_type").replace("LEFT JOIN opportunity o ON o.id = la.opportunity_id", "")
+KNOWN_FUELS = quoted([*sum(FUELS.values(), ()), V.FUEL_UNKNOWN])
+
+
+@query("new_business_older", OLDER_ROWS + _profile_select("value").replace(
+    "fuel = 'HYDROGEN' AND old_fuel IS NOT NULL", f"fuel NOT IN ({KNOWN_FUELS})"))
+def new_business_older(t):
+    return _profile(t, "value", opportunities=t["opportunity_history"])
+
+
 @query("new_business_stack", _profile_rows(STORED_AGE)
        + f"SELECT 'volume' AS measure, * FROM ({_profile_select('volume', x)}) v "
        + f"UNION ALL SELECT 'value', * FROM ({_profile_select('value', x)}) v")

@@ -188,6 +188,20 @@ def test_previous_over_a_year_border_with_weeks(spark):
     assert values(got, "status", "before") == [("A", None), ("B", "A"), ("C", "B")]
 
 
+def test_tied_days_follow_the_other_columns_and_numbers_run_both_ways(spark):
+    day = dt.date(2024, 12, 31)
+    rows = [(1, day, "B"), (1, day, "A"), (1, day + dt.timedelta(1), None), (1, day + dt.timedelta(1), "C")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, SCHEMA)
+        got = H.previous(df, {"s": "before"}, ["k"], ["day"], F.year("day"))
+        assert values(got) == values(spark.createDataFrame(
+            [(1, day, "A", None), (1, day, "B", "A"), (1, day + dt.timedelta(1), "C", "B"),
+             (1, day + dt.timedelta(1), None, "C")], SCHEMA + ", before string"))
+        both = H.numbered(df, ["k"], ["day"], F.year("day"), "n", from_end="m")
+        assert sorted((r["n"], r["m"], r["s"]) for r in both.collect()) == [
+            (1, 4, "A"), (2, 3, "B"), (3, 2, "C"), (4, 1, None)]
+
+
 def test_side_by_side_rejects_a_second_row(spark):
     with pytest.raises(Exception, match="one row"):
         R.side_by_side(spark.range(2).selectExpr("id as a"), spark.range(1).selectExpr("8 as b")).collect()

@@ -109,6 +109,41 @@ def test_repeated_transitions_are_reported(spark):
     assert values(found, "agreement_code", "dups_check") == [(1, 2)]
 
 
+def test_snapshots_of_one_day_give_one_answer(spark):
+    rows = [(1, "2020-01-01", "AG_REPO", 1, 9), (1, "2020-02-01", "AG_REPO_SHORTFALL", 7, 8),
+            (1, "2020-02-01", "AG_REPO_SHORTFALL", 5, 6)]
+    for order in (rows, rows[::-1]):
+        got = stock.crystallisation(history(spark, *order)).first()
+        assert got["shortfall_balance"] == 5 and got["crystalised_from2"] == 9
+
+
+def test_life_events_in_one_pass_equal_the_single_ones(t):
+    events = stock.life_events(t)
+    for kind, single, day in ((stock.TERMINATION, stock.terminations(t), "termination_date"),
+                              (stock.REPOSSESSION, stock.repossessions(t), "repo_date"),
+                              (stock.SALE, stock.vehicle_sales(t), "vehicle_sale_date")):
+        texts = ["actual_sale_date", "gross_sale_amount"] if kind == stock.SALE else []
+        known = single.filter("agreement_code is not null").select("agreement_code", day, *texts)
+        got = events.filter(F.col("kind") == kind).select("agreement_code", "day", *texts)
+        assert values(known) and values(got) == values(known.toDF(*got.columns))
+
+
+def test_reports_on_the_stored_position_read_nothing_else(t):
+    stored = stock.stored_position(t, R.CALENDAR, R.INSURANCE_SINCE, R.BAD_SNAPSHOTS)
+    fresh = stock.stock_position(t, R.CALENDAR, R.INSURANCE_SINCE, R.BAD_SNAPSHOTS)
+    report = stock.roll_rates(stored, R.MONTH)
+    assert values(report) == values(stock.roll_rates(fresh, R.MONTH))
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(report_month" in plan
+
+
+def test_checks_of_keys_and_date_texts(spark):
+    df = spark.createDataFrame([(1, "2020-01-01"), (1, "1.2.2020"), (None, None), (2, "2020-02-30")],
+                               "k int, d string")
+    assert values(checks.key_counts({"a": (df, "k"), "b": (df, "d")})) == [("a", 4, 2, 1), ("b", 4, 3, 1)]
+    assert values(checks.unread_dates(df, "d")) == [(4, 1, 2)]
+
+
 def test_status_ladder_with_one_snapshot_has_no_previous(spark):
     rows = spark.createDataFrame(
         [(1, "2020-03-01", "AG_LIVE_PRIMARY", Decimal(250), Decimal(100), Decimal(9), 0),
