@@ -10,7 +10,6 @@ taps into tables over pairs of symbols, so a response is a sum of a few looked-u
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,10 +20,14 @@ from pyspark.sql import functions as F
 
 from .text import held_out, over_arrow, through_arrow
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Is there a letter of any script? Other numerals and signs such as a raised two are none."""
+    return any(map(str.isalpha, text))
+
+
 def _fold() -> np.ndarray:
     """Byte to symbol: letters without case, white space, digits and other ASCII as one each."""
     out = np.full(256, 3, np.int64)
@@ -190,7 +193,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     start = F.pmod(F.xxhash64(id_col, F.lit(6)), F.greatest(F.length(text_col) - chars, F.lit(1))) + 1
     chosen = rows.where(wanted & F.col(text_col).isNotNull()).select(
         F.substring(F.col(text_col), start.cast("int"), F.lit(chars)).alias("piece"), lang_col)
-    return sorted((r[0], r[1]) for r in chosen.collect() if LETTER.search(r[0]))
+    return sorted((r[0], r[1]) for r in chosen.collect() if has_letter(r[0]))
 
 
 def _predictor(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int,
@@ -208,7 +211,7 @@ def _predictor(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_l
             scorers[0] = Scorer(sent.value)
         langs, n = scorers[0].net.langs, len(column)
         predicted, score = [UNKNOWN] * n, [0.0] * n
-        known = [k for k, text in enumerate(column) if langs and text and LETTER.search(text)]
+        known = [k for k, text in enumerate(column) if langs and text and has_letter(text)]
         at = 0
         while at < len(known):      # a bounded number of characters at a time, or one long text
             stop, size = at, 0

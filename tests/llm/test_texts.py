@@ -138,6 +138,12 @@ def test_language_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+@pytest.mark.parametrize("text, letters", [
+    ("12 \u00b2 \u2164 \u0664 !_", False), ("1 \u00e9", True), ("\u6f22", True), ("42x", True), ("", False)])
+def test_letters_of_any_script_count_and_numerals_do_not(text, letters):
+    assert byte_network.has_letter(text) == letters
+
+
 def test_network_tables_agree_with_network():
     net = byte_network.train([b"aaa bbb " * 20, b"xyz zyx " * 20], ["a", "z"], steps=30, window=32)
     raw = "aaa xyz über 42 " * 7
