@@ -5,9 +5,14 @@ and sends them to tables partitioned by hash, which sum over all blocks; the tot
 to the blocks that asked, where every word of a document is scored and summed. A document's own
 occurrences are taken off first, so a text is judged by all others and not by itself.
 
+Most n-grams of two words or more stand in one block only, whose own count is the total. Blocks
+first send the leading bits of the hashes, just enough to tell nearly all n-grams apart, and learn
+which bits another block sent too; hashes and counts follow for those alone. No total changes.
+
 Blocks and table partitions hold a fixed amount of text each, so their number, and what is
 shuffled, grow with the input; an n-gram enters a table once per block, however frequent it is. The
-n-grams travel as packed arrays, since rows of their own take twice the disk.
+n-grams travel as packed arrays, since rows of their own take twice the disk; their sorted hashes
+are delta-coded to about six bytes each.
 """
 
 from __future__ import annotations
@@ -21,21 +26,60 @@ from .text import gram_hashes, hashed_words, importable
 
 BLOCK_CHARS = 4_000_000
 TABLE_WORDS = 1_500_000
-REQUEST = "block bigint, size int, part int, grams binary, counts binary"
-ANSWER = "block bigint, size int, part int, totals binary"
+SPARE_BITS = 3               # leading bits beyond those that number all words
+LEADING = "block bigint, size int, part int, leading binary"
+SHARED = "block bigint, size int, part int, shared binary"
+REQUEST = "block bigint, size int, part int, shared binary, grams binary, counts binary"
+ANSWER = "block bigint, size int, part int, shared binary, totals binary"
 SCORE = "n_words bigint, log_score double, mean_log_score double, n_backed_off bigint"
 
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of the numbers, first bytes first: what sorted numbers share compresses well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _numbers(raw: bytes, dtype) -> np.ndarray:
+    if not raw:
+        return np.empty(0, dtype)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype)[:, 0]
 
 
+def _sorted_bytes(x: np.ndarray) -> bytes:
+    """Ascending numbers by Elias and Fano: steps of the high bits in unary, then the low bits."""
+    if not len(x):
+        return b""
+    steps = x - x[0]
+    low = (int(steps[-1]) // len(x)).bit_length()
+    high = (steps >> np.uint64(low)).astype(np.int64) + np.arange(len(x))
+    unary = np.zeros(high[-1] + 1, bool)
+    unary[high] = True
+    whole, rest = divmod(low, 8)
+    raw = steps.view(np.uint8).reshape(len(x), -1)
+    head = np.array([x[0], len(x), low], np.uint64).tobytes()
+    bits = np.unpackbits(raw[:, whole, None], axis=1, bitorder="little")[:, :rest]
+    return b"".join((head, np.packbits(bits).tobytes(), raw[:, :whole].T.tobytes(),
+                     np.packbits(unary).tobytes()))
+
+
+def _sorted_numbers(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.empty(0, np.uint64)
+    first, n, low = map(int, np.frombuffer(raw, np.uint64, 3))
+    whole, rest = divmod(low, 8)
+    data = np.frombuffer(raw, np.uint8, offset=24)
+    a = -(-n * rest // 8)
+    b = a + n * whole
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :whole] = data[a:b].reshape(whole, n).T
+    bits = np.unpackbits(data[:a], count=n * rest).reshape(n, rest)
+    if rest:
+        steps[:, whole] = np.packbits(bits, axis=1, bitorder="little")[:, 0]
+    high = np.flatnonzero(np.unpackbits(data[b:])) - np.arange(n)
+    return (high.astype(np.uint64) << np.uint64(low)) + steps.view(np.uint64)[:, 0] + np.uint64(first)
+
+
 def _grams(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of a block, and the place of the last word of each."""
     grams = gram_hashes(hashes, size)
@@ -50,31 +94,95 @@ def _part(grams: np.ndarray, parts: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _requests(block: int, table: pa.Table, order: int, parts: int) -> pa.Table:
+def _leading(grams: np.ndarray, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading bits of sorted hashes, each once a partition; which of them each hash has; partitions."""
+    part, bits_of = _part(grams, parts), grams >> np.uint64(64 - bits)
+    new = np.ones(len(grams), bool)
+    new[1:] = (bits_of[1:] != bits_of[:-1]) | (part[1:] != part[:-1])
+    return bits_of[new], np.cumsum(new) - 1, part
+
+
+def _cuts(part: np.ndarray, parts: int) -> list[tuple[int, slice]]:
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    return [(p, slice(cuts[p], cuts[p + 1])) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _announced(block: int, table: pa.Table, order: int, parts: int, bits: int) -> pa.Table:
     hashes, bounds = hashed_words(table.column("text").combine_chunks())
     rows = []
     for size in range(1, order + 1):
+        leading, which, part = _leading(np.unique(_grams(hashes, bounds, size)[0]), parts, bits)
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        rows += [(block, size, p, _sorted_bytes(leading[some]))
+                 for p, some in _cuts(part[first], parts)]
+    return _table(rows, LEADING)
+
+
+def _seen_twice(table: pa.Table) -> pa.Table:
+    """Tell each block which of its leading bits another block has too."""
+    leading = [_sorted_numbers(raw) for raw in table.column("leading").to_pylist()]
+    _, where, count = np.unique(np.concatenate(leading), return_inverse=True, return_counts=True)
+    shared = np.split(count[where] > 1, np.cumsum([len(x) for x in leading])[:-1])
+    rows = zip(table.column("block").to_pylist(), table.column("size").to_pylist(),
+               table.column("part").to_pylist(), (np.packbits(x).tobytes() for x in shared))
+    return _table(list(rows), SHARED)
+
+
+def _shared(grams: np.ndarray, raw: dict[int, bytes], parts: int, bits: int) -> tuple:
+    """Which sorted hashes of one size may stand in another block; the partition of each."""
+    leading, which, part = _leading(grams, parts, bits)
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    told = np.zeros(len(leading), bool)
+    for p, some in _cuts(part[first], parts):
+        told[some] = np.unpackbits(np.frombuffer(raw[p], np.uint8), count=some.stop - some.start)
+    return told[which], part
+
+
+def _by_size(table: pa.Table, column: str) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for size, part, raw in zip(table.column("size").to_pylist(), table.column("part").to_pylist(),
+                               table.column(column).to_pylist()):
+        out.setdefault(size, {})[part] = raw
+    return out
+
+
+def _requests(table: pa.Table, told: pa.Table, order: int, parts: int, bits: int) -> pa.Table:
+    hashes, bounds = hashed_words(table.column("text").combine_chunks())
+    raw, rows = _by_size(told, "shared"), []
+    for size in raw:
         grams, counts = np.unique(_grams(hashes, bounds, size)[0], return_counts=True)
-        cuts = np.searchsorted(_part(grams, parts), np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            some = slice(cuts[p], cuts[p + 1])
-            rows.append((block, size, p, _planes(grams[some]),
-                         _planes(counts[some].astype(np.uint32))))
+        shared, part = _shared(grams, raw[size], parts, bits)
+        block = told.column("block")[0].as_py()
+        for p, some in _cuts(part, parts):
+            mine = shared[some]
+            rows.append((block, size, p, raw[size][p], _sorted_bytes(grams[some][mine]),
+                         _planes(counts[some][mine].astype(np.uint32))))
     return _table(rows, REQUEST)
 
 
 def _answers(table: pa.Table) -> pa.Table:
     """Sum one partition of a count table and answer each block in its own order."""
-    grams = [_numbers(g, np.uint64) for g in table.column("grams").to_pylist()]
+    grams = [_sorted_numbers(g) for g in table.column("grams").to_pylist()]
     counts = [_numbers(c, np.uint32) for c in table.column("counts").to_pylist()]
     distinct, where = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.uint64)[where]
     ends = np.cumsum([len(g) for g in grams])[:-1]
     rows = zip(table.column("block").to_pylist(), table.column("size").to_pylist(),
-               table.column("part").to_pylist(), map(_planes, np.split(totals, ends)))
+               table.column("part").to_pylist(), table.column("shared").to_pylist(),
+               map(_planes, np.split(totals, ends)))
     return _table(list(rows), ANSWER)
 
 
+def _totals(grams: np.ndarray, counts: np.ndarray, shared: dict[int, bytes],
+            answers: dict[int, bytes], parts: int, bits: int) -> np.ndarray:
+    """Totals of the sorted hashes of a block: the answered ones, its own counts elsewhere."""
+    out = counts.astype(float)
+    if len(grams):
+        asked, _ = _shared(grams, shared, parts, bits)
+        out[asked] = np.concatenate([_numbers(answers[p], np.uint64) for p in sorted(answers)])
+    return out
+
+
 def _table(rows: list[tuple], ddl: str) -> pa.Table:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [part.split() for part in ddl.split(", ")]
@@ -83,9 +191,12 @@ def _table(rows: list[tuple], ddl: str) -> pa.Table:
                     names=[name for name, _ in fields])
 
 
-def _scores(hashes: np.ndarray, bounds: np.ndarray, totals: dict[int, np.ndarray], order: int,
-            words: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log score of every word of a block, and whether it was backed off."""
+def _scores(hashes: np.ndarray, bounds: np.ndarray, totals, order: int, words: int,
+            backoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log score of every word of a block, and whether it was backed off.
+
+    ``totals`` gives the totals of sorted hashes of one size from these and their own counts.
+    """
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     others = np.maximum(words - np.diff(bounds), 1)[text]       # words of all other documents
     score = backed = before = None
@@ -94,7 +205,8 @@ def _scores(hashes: np.ndarray, bounds: np.ndarray, totals: dict[int, np.ndarray
         distinct, where = np.unique(grams, return_inverse=True)
         own, which = np.unique(text[last] * np.int64(len(distinct)) + where, return_inverse=True)
         left = np.zeros(len(hashes))
-        left[last] = totals[size][where] - np.bincount(which, minlength=len(own))[which]
+        total = totals(size, distinct, np.bincount(where, minlength=len(distinct)))
+        left[last] = total[where] - np.bincount(which, minlength=len(own))[which]
         if size == 1:
             seen = left > 0
             score = np.where(seen, left, 0.5) / others
@@ -110,7 +222,7 @@ def _scores(hashes: np.ndarray, bounds: np.ndarray, totals: dict[int, np.ndarray
     return np.log(score), backed
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2,
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
                    backoff: float = 0.4) -> DataFrame:
     """One row per row: id, ``n_words``, ``log_score`` (natural, summed), its mean per word, and
     ``n_backed_off``, the words whose longest n-gram no other document has.
@@ -130,8 +242,16 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks, parts = max(1, -(-chars // BLOCK_CHARS)), max(1, -(-words // TABLE_WORDS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
 
-    def ask(key, table):
-        return _requests(key[0].as_py(), table, order, parts)
+    bits = min(64, words.bit_length() + SPARE_BITS)
+
+    def announce(key, table):
+        return _announced(key[0].as_py(), table, order, parts, bits)
+
+    def tell(table):
+        return _seen_twice(table)
+
+    def ask(table, told):
+        return _requests(table, told, order, parts, bits)
 
     def answer(table):
         return _answers(table)
@@ -139,23 +259,23 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def score(table, answers):
         hashes, bounds = hashed_words(table.column("text").combine_chunks()) if len(table) else (
             np.empty(0, np.uint64), np.zeros(1, np.int64))
-        totals: dict[int, list] = {size: [] for size in range(1, order + 1)}
-        for _, size, raw in sorted(zip(answers.column("part").to_pylist(),
-                                       answers.column("size").to_pylist(),
-                                       answers.column("totals").to_pylist())):
-            totals[size].append(_numbers(raw, np.uint64))
-        joined = {size: np.concatenate([*some, np.empty(0, np.uint64)]).astype(float)
-                  for size, some in totals.items()}
+        shared, answered = _by_size(answers, "shared"), _by_size(answers, "totals")
+
+        def totals(size, grams, counts):
+            return _totals(grams, counts, shared.get(size, {}), answered.get(size, {}), parts, bits)
+
         n = np.diff(bounds)
         logs, backed = (np.zeros(0), np.zeros(0)) if not len(hashes) else _scores(
-            hashes, bounds, joined, order, words, backoff)
+            hashes, bounds, totals, order, words, backoff)
         total, missed = (np.diff(np.r_[0, np.cumsum(x)][bounds]) for x in (logs, backed))
         return pa.table({
             id_col: table.column("id"), "n_words": n, "log_score": total,
             "mean_log_score": pa.array(np.where(n > 0, total / np.maximum(n, 1), 0), mask=n == 0),
             "n_backed_off": missed.astype(np.int64)})
 
-    asked = dealt.groupBy("block").applyInArrow(ask, REQUEST)
+    leading = dealt.groupBy("block").applyInArrow(announce, LEADING)
+    told = leading.groupBy("size", "part").applyInArrow(tell, SHARED)
+    asked = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, REQUEST)
     answered = asked.groupBy("size", "part").applyInArrow(answer, ANSWER)
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         score, f"`{id_col}` {kind}, {SCORE}")

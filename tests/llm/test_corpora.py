@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import backoff, mixing, near_duplicates, string_tiling
+from ledgerlens.llm import backoff, mixing, near_duplicates, queries, string_tiling
 from ledgerlens.llm.components import components
 from ledgerlens.llm.text import NO_ALNUM, hashed_words
 
@@ -245,6 +245,19 @@ def test_backoff_against_plain(spark, docs, order, monkeypatch):
         assert (none.n_words, none.log_score, none.mean_log_score) == (0, 0.0, None)
 
 
+def test_registered_backoff_counts_two_words_of_context(spark, docs):
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()], 3)
+    got = {r.doc_id: (r.n_words, r.n_backed_off) for r in queries.op7(spark, SF).collect()}
+    assert got == {k: (n, missed) for k, n, _, missed in want}
+
+
+@pytest.mark.parametrize("count, below", [(1, 2), (3, 300), (1000, 1 << 20), (5000, (1 << 64) - 1)])
+def test_sorted_hashes_travel_whole(count, below):
+    x = np.unique(np.random.default_rng(7).integers(0, below, count, np.uint64))
+    for some in (x, np.array([0, (1 << 64) - 1], np.uint64)):
+        assert (backoff._sorted_numbers(backoff._sorted_bytes(some)) == some).all()
+
+
 def test_mix_reaches_targets(spark):
     rng = np.random.default_rng(1)
     rows = [(k, "w " * int(rng.integers(1, 60)), "big" if k % 3 else f"s{k % 7}") for k in range(900)]
