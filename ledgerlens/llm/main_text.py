@@ -37,7 +37,9 @@ BAD_NAMES = frozenset(
     "comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup "
     "modal newsletter subscribe signup login share sharing social related recommended widget "
     "toolbar pagination pager copyright legal disclaimer complementary contentinfo search "
-    "form tags hidden skip".split())
+    "form tags skip".split())
+# Names that hide an element, as they are.
+HIDDEN_NAMES = frozenset(("hidden", "visually-hidden"))
 # Frequent words of the four languages of the tables, plus their articles.
 STOP_WORDS = frozenset(
     "the a an of and to in is that it was for on are as with his they be at this have from or by "
@@ -60,8 +62,8 @@ SELF_ENDING = frozenset("p li tr td th dd dt option".split())
 INLINE_TAGS = frozenset("b i em strong span".split())
 # First parts of names that speak of the content, or of furniture that is absent.
 KEEP_NAMES = frozenset("no not has with without article post entry content main story text".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
-                       re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 SPACE = re.compile(r"\s+")
 
 
@@ -77,6 +79,8 @@ class Block:
 
 def names_furniture(token: str) -> bool:
     """``ad``, ``comment-list`` and ``site_footer`` do; ``no-sidebar`` and ``article-header`` don't."""
+    if token in HIDDEN_NAMES:
+        return True
     parts = [p for p in re.split(r"[^a-z]+", token) if p]
     return bool(parts) and parts[0] not in KEEP_NAMES and (
         parts[0] in BAD_NAMES or parts[-1] in BAD_NAMES)
@@ -90,9 +94,9 @@ def furniture(tag: str, attributes: str) -> bool:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "hidden" or name == "style" and NO_DISPLAY.search(value):
             return True
-        if name != "aria-hidden" and any(map(names_furniture, value.split())):
+        if name in ("class", "id", "role") and any(map(names_furniture, value.split())):
             return True
     return False
 

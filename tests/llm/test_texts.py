@@ -278,6 +278,21 @@ def test_main_text_rules():
     assert main_text.extract("<article><p>cut off &am") == "cut off &am"
 
 
+@pytest.mark.parametrize("wrapper", [
+    'style="overflow:hidden"', 'title="the hidden door"', 'data-hidden="false"', 'class="overflow-hidden"',
+    "data-x='class=nav hidden' id=a", 'class="hidden-xs"'])
+def test_attributes_that_hide_nothing(wrapper):
+    text = "The cat is on the mat and it was there for a long time with the dog."
+    assert main_text.extract(f"<div {wrapper}><article><p>{text}</p></article></div>") == text
+
+
+@pytest.mark.parametrize("attribute", [
+    "hidden", "HIDDEN=''", 'style="color:red; display : none"', "class='a visually-hidden'", "class=hidden"])
+def test_attributes_that_hide(attribute):
+    page = f"<article><p>Shown is the first one.</p><div {attribute}><p>Not this.</p></div></article>"
+    assert main_text.extract(page) == "Shown is the first one."
+
+
 def test_main_text_keeps_whole_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in main_text.main_text(pages).collect()}
