@@ -25,6 +25,10 @@ BLOCK_TAGS = frozenset(
     "section select summary table tbody td tfoot th thead title tr ul button textarea label".split())
 # Elements whose text is no page text at all.
 RAW_TAGS = frozenset("script style noscript template svg iframe math object canvas".split())
+# Those whose content is not markup; those that nest; those that "/>" closes.
+FLAT_TAGS = frozenset("script style noscript iframe".split())
+NESTING_TAGS = RAW_TAGS - FLAT_TAGS
+FOREIGN_TAGS = frozenset(("svg", "math"))
 # Elements that hold no article text.
 BAD_TAGS = frozenset("head title nav aside footer form button select textarea option label "
                      "fieldset menu dialog".split())
@@ -101,12 +105,38 @@ def furniture(tag: str, attributes: str) -> bool:
     return False
 
 
+def after_flat(page: str, tag: str, at: int) -> int:
+    """Place after the end of an element whose content is no markup: its first closing tag."""
+    stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def nested_ends(page: str) -> dict[int, int]:
+    """Where the closed elements that nest end, by the end of their start tags."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in NESTING_TAGS}
+    at = 0
+    while match := TOKEN.search(page, at):
+        at, tag = match.end(), (match[2] or "").lower()
+        if tag in FLAT_TAGS and not match[1]:
+            at = after_flat(page, tag, at)
+        elif tag in NESTING_TAGS and match[1]:
+            if opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in NESTING_TAGS and not (tag in FOREIGN_TAGS and match[0].endswith("/>")):
+            opened[tag].append(at)
+        if at >= len(page):
+            break
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """Cut a page into blocks; tolerates tags that are never closed and pages that break off."""
     found: list[Block] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool]] = []   # open elements that matter, and whether each is furniture
     linked = links = at = 0
+    nested: dict[int, int] | None = None
 
     def close() -> None:
         nonlocal linked
@@ -136,9 +166,13 @@ def blocks_of(page: str) -> list[Block]:
         if not match:
             break
         at, tag = match.end(), (match[2] or "").lower()
-        if tag in RAW_TAGS and not match[1]:
-            stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else len(page)
+        if tag in FLAT_TAGS and not match[1]:
+            at = after_flat(page, tag, at)
+        elif tag in NESTING_TAGS and not match[1]:
+            if not (tag in FOREIGN_TAGS and match[0].endswith("/>")):
+                nested = nested_ends(page) if nested is None else nested
+                # unclosed, only the tag goes; what a template holds is never shown
+                at = nested.get(at, len(page) if tag == "template" else at)
         elif tag == "br":
             pieces.append(" ")
         elif tag and match[1]:

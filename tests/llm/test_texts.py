@@ -293,6 +293,21 @@ def test_attributes_that_hide(attribute):
     assert main_text.extract(page) == "Shown is the first one."
 
 
+@pytest.mark.parametrize("raw", [
+    "<svg class=i />", "<math/>", "<svg><use href='#a'/></svg>", "<svg><svg>x</svg>y</svg>",
+    "<object><object>x</object>y</object>", "<svg><svg/>y</svg>", "<svg><style>a</svg>b</style>y</svg>",
+    "<canvas>", "<object data=x>", "<svg>", "<template>y<template>x</template>z</template>",
+    "<script>var a = '<svg>'</script>", "</svg>", "<iframe/>x</iframe>"])
+def test_raw_elements_leave_the_text_around_them(raw):
+    page = f"<p>{raw}</p><article><p>One is the first {raw}of all.</p><p>Two is last.</p></article>"
+    assert main_text.extract(page) == "One is the first of all.\nTwo is last."
+
+
+@pytest.mark.parametrize("raw", ["<script>", "<template>", "<style>"])
+def test_unclosed_elements_that_are_never_shown(raw):
+    assert main_text.extract(f"<article><p>One is the first.</p>{raw}<p>x</p></article>") == "One is the first."
+
+
 def test_main_text_keeps_whole_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in main_text.main_text(pages).collect()}
