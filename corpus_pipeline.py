@@ -10,8 +10,8 @@ from ledgerlens.llm.text import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
-    return byte_network.recognised(docs)
+    """Documents in no learned language go; without labels to learn from, those without a letter."""
+    return byte_network.recognised(docs, keep_unlearned=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ taps into tables over pairs of symbols, so a response is a sum of a few looked-u
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from .text import held_out, over_arrow, through_arrow
 
 UNKNOWN = "und"
+# Code points of texts of no language; letters of most scripts, then of a-z, then signs.
+SCRIPTS = ((0x0370, 0x03FF), (0x0400, 0x045F), (0x0530, 0x1FFF), (0x3040, 0x30FF), (0x4E00, 0x9FFF),
+           (0xAC00, 0xD7A3), (0x61, 0x7A), (0x21, 0x40))
 
 
 def has_letter(text: str) -> bool:
@@ -164,14 +168,18 @@ class Scorer:
             out.append(_softmax(features @ self.net.dense + self.net.dense_bias))
         return np.concatenate(out) if out else np.zeros((0, len(self.net.langs)))
 
-    def predict(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Language number and score of each text; windows of all texts are batched."""
+    def shares(self, raws: list[bytes]) -> np.ndarray:
+        """Mean softmax of each text over its windows, which are batched."""
         cut = [windows_of(raw, self.net.window) for raw in raws]
         weight = np.concatenate([(c > 0).sum(axis=1) for c in cut]).astype(float)
         p = self.probabilities(np.concatenate(cut)) * weight[:, None]
         ends = np.cumsum([len(c) for c in cut])
         total = np.add.reduceat(p, np.r_[0, ends[:-1]], axis=0)
-        total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+        return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
+
+    def predict(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Language number and score of each text."""
+        total = self.shares(raws)
         return total.argmax(axis=1), total.max(axis=1)
 
 
@@ -196,35 +204,50 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return sorted((r[0], r[1]) for r in chosen.collect() if has_letter(r[0]))
 
 
-def _predictor(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int,
-               chars: int, network: Network | None):
-    """A function from a column of texts to their languages and scores."""
-    if network is None:
-        sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang, chars)
-        network = train([t.encode() for t, _ in sample], [lang for _, lang in sample])
+def background(n: int, chars: int, seed: int = 5) -> list[str]:
+    """Texts of no language: random words in parts of several scripts, of letters or of signs."""
+    rng, out = np.random.default_rng(seed), []
+    for k in range(n):
+        low, high = SCRIPTS[k % len(SCRIPTS)]
+        width = int(rng.integers(1, min(high - low, 200) + 1)) if high - low > 100 else high - low
+        start, length = int(rng.integers(low, high - width + 1)), int(rng.integers(8, chars // 2))
+        codes = rng.integers(start, start + width + 1, length)
+        codes[rng.random(length) < rng.choice([0.02, 0.15, 0.3])] = 32
+        out.append("".join(map(chr, codes.tolist())))
+    return out
+
+
+def _strangeness(scorer: Scorer, raws: list[bytes]) -> np.ndarray:
+    """Share of each text that the network gives to no language."""
+    langs = scorer.net.langs
+    return scorer.shares(raws)[:, langs.index(UNKNOWN)] if UNKNOWN in langs else np.zeros(len(raws))
+
+
+def _judge(docs: DataFrame, network: Network, verdict: Callable[[Scorer, list[bytes]], list], other):
+    """A function from a column of texts to verdicts; ``other`` for those without a letter."""
     # a few tens of kilobytes, whatever the input
     sent = docs.sparkSession.sparkContext.broadcast(network)
     scorers: dict[int, Scorer] = {}
 
-    def predict(column: list[str | None]) -> tuple[list[str], list[float]]:
+    def judge(column: list[str | None]) -> list:
         if not scorers:
             scorers[0] = Scorer(sent.value)
-        langs, n = scorers[0].net.langs, len(column)
-        predicted, score = [UNKNOWN] * n, [0.0] * n
-        known = [k for k, text in enumerate(column) if langs and text and has_letter(text)]
+        out = [other] * len(column)
+        known = [k for k, text in enumerate(column)
+                 if scorers[0].net.langs and text and has_letter(text)]
         at = 0
         while at < len(known):      # a bounded number of characters at a time, or one long text
             stop, size = at, 0
             while stop < len(known) and (stop == at or size + len(column[known[stop]]) < 1 << 20):
                 size += len(column[known[stop]])
                 stop += 1
-            code, p = scorers[0].predict([column[k].encode() for k in known[at:stop]])
-            for k, c, s in zip(known[at:stop], code.tolist(), p.tolist()):
-                predicted[k], score[k] = langs[c], min(1.0, s)
+            found = verdict(scorers[0], [column[k].encode() for k in known[at:stop]])
+            for k, one in zip(known[at:stop], found, strict=True):
+                out[k] = one
             at = stop
-        return predicted, score
+        return out
 
-    return predict
+    return judge
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -237,10 +260,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     letter, and every text if no labels could be learned, is ``und`` with score 0. Repeated rows
     give repeated results.
     """
-    predict = _predictor(docs, id_col, text_col, lang_col, per_lang, chars, network)
+    if network is None:
+        sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang, chars)
+        network = train([t.encode() for t, _ in sample], [lang for _, lang in sample])
+
+    def verdict(scorer, raws):
+        code, score = scorer.predict(raws)
+        return [(scorer.net.langs[c], min(1.0, p)) for c, p in zip(code.tolist(), score.tolist())]
+
+    predict = _judge(docs, network, verdict, (UNKNOWN, 0.0))
 
     def run(batch):
-        return batch.column(0), *predict(batch.column(1).to_pylist())
+        found = predict(batch.column(1).to_pylist())
+        return batch.column(0), [lang for lang, _ in found], [score for _, score in found]
 
     return over_arrow(docs.select(id_col, text_col),
                       f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double", run)
@@ -248,12 +280,33 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def recognised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                lang_col: str = "lang", per_lang: int = 500, chars: int = 768,
-               network: Network | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language ``identify`` can tell, with all their columns."""
-    predict = _predictor(docs, id_col, text_col, lang_col, per_lang, chars, network)
+               network: Network | None = None, keep_unlearned: bool = False) -> DataFrame:
+    """The rows of ``docs`` in a language that the network can tell, with all their columns.
+
+    Without a ``network`` one is trained as for ``identify``, with ``background`` as one class more.
+    A text goes if it has no letter, or if the network gives more of it to the background than a
+    limit: one half, or what all but one in 200 of the learned pieces stay below, if that is more.
+    If no labels could be learned, all rows go, or with ``keep_unlearned`` only those without a letter.
+    """
+    limit, learned = 1.0, True
+    if network is None:
+        sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang, chars)
+        learned, pieces = bool(sample), background(per_lang, chars) if sample else []
+        network = train([t.encode() for t in [t for t, _ in sample] + pieces],
+                        [lang for _, lang in sample] + [UNKNOWN] * len(pieces))
+        if learned:
+            own = _strangeness(Scorer(network), [t.encode() for t, _ in sample])
+            limit = max(0.5, float(np.quantile(own, 0.995, method="higher")))
+
+    def verdict(scorer, raws):
+        return (_strangeness(scorer, raws) <= limit).tolist()
+
+    judge = _judge(docs, network, verdict, False)
 
     def known(batch):
-        found = predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())[0]
-        return batch.filter(pa.array([lang != UNKNOWN for lang in found], pa.bool_()))
+        column = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        found = judge(column) if learned or not keep_unlearned else [
+            bool(text) and has_letter(text) for text in column]
+        return batch.filter(pa.array(found, pa.bool_()))
 
     return through_arrow(docs, known)

@@ -321,3 +321,21 @@ def test_pipeline(spark, docs):
     mix = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in mix} <= ids and len(mix) > 0
     assert len({(r.doc_id, r.repetition) for r in mix}) == len(mix)
+
+
+def test_language_stage_drops_texts_of_no_learned_language(spark, docs):
+    rows = docs.collect()
+    known = [r.doc_id for r in rows if any(c.isalpha() for c in r.text or "")]
+    planted = ["\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059\u3002\u4eca\u65e5\u306f\u5bd2\u3044 " * 5,
+               "\u03b5\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03cc \u03ba\u03b5\u03af\u03bc\u03b5\u03bd\u03bf " * 5,
+               "{}[]()<>;; =+ 12 " * 30 + "a", "zzqx kkvq xwzk " * 9]
+    more = spark.createDataFrame([(10_000 + k, t, None, "s", len(t)) for k, t in enumerate(planted)],
+                                 docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.union(more), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(known)
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, docs):
+    none = docs.withColumn("lang", F.lit(None).cast("string")).limit(20)
+    with_letters = sum(any(c.isalpha() for c in r.text or "") for r in none.collect())
+    assert corpus_pipeline.language_id(spark, none, SF).count() == with_letters > 0
