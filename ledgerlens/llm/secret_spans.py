@@ -59,7 +59,8 @@ DATE = re.compile(
 
 SEGMENT_BITS = 1.0     # choosing where a segment ends
 WALK_BITS = 4.0        # start and direction of a keyboard walk
-MAX_VALUE = 256        # longer values are costed in blocks of this length, whose bits add up
+LONGEST_UNIT = 16      # characters of a repeated unit
+CACHED_VALUE = 256     # costs of longer values are not remembered
 
 
 def alphabet(value: str) -> int:
@@ -76,24 +77,63 @@ def alphabet(value: str) -> int:
 
 def guess_bits(value: str) -> float:
     """log2 of the guesses the cheapest segmentation of ``value`` needs; 0 for an empty value."""
-    return sum(_block_bits(value[k:k + MAX_VALUE]) for k in range(0, len(value), MAX_VALUE))
+    return _remembered_bits(value) if len(value) <= CACHED_VALUE else _cheapest_bits(value)
 
 
-@lru_cache(maxsize=20_000)
-def _block_bits(value: str) -> float:
+def _best_start(starts: list[tuple[int, float]], end: int, added: tuple[int, float]) -> float:
+    """Least cost of a start plus log2 of the length up to ``end``, over all starts of a run.
+
+    The gap between two starts only shrinks as the run grows: one that an earlier start beats, or
+    that a later one undercuts, never wins again and is dropped, so few stay.
+    """
+    while starts and starts[-1][1] >= added[1]:
+        starts.pop()
+    starts.append(added)
+    least, kept = float("inf"), []
+    for start, cost in starts:
+        bits = cost + log2(end - start)
+        if bits < least:
+            least = bits
+            kept.append((start, cost))
+    starts[:] = kept
+    return least
+
+
+def _cheapest_bits(value: str) -> float:
     n, lower = len(value), value.lower()
     plain = lower.translate(PLAIN) if len(lower) == n else lower
     if len(lower) != n:
         lower = plain = value
-    per_char = log2(alphabet(value))
+    per_char = log2(alphabet(value)) if n else 0.0
     best = [0.0] + [float("inf")] * n
-    for i in range(n):
-        here = best[i] + (SEGMENT_BITS if i else 0.0)
-
-        def offer(end: int, bits: float) -> None:
-            if here + bits < best[end]:
-                best[end] = here + bits
-
+    walk, walk_starts = 0, []                       # steps up to here; starts of the walk
+    same = [0] * (LONGEST_UNIT + 1)                 # characters up to here that repeat, by unit
+    starts: list[dict[int, list]] = [{} for _ in same]      # starts of the repeats, by remainder
+
+    def begun(i: int) -> tuple[int, float]:
+        return i, best[i] + (SEGMENT_BITS if i else 0.0)
+
+    for i in range(n + 1):
+        # runs that end here
+        if i > 1 and lower[i - 2:i] in WALK_STEPS:
+            walk += 1
+            if walk > 1:
+                best[i] = min(best[i], _best_start(walk_starts, i, begun(i - 3)) + WALK_BITS)
+        elif walk:
+            walk, walk_starts = 0, []
+        for unit in range(1, min(LONGEST_UNIT, i - 1) + 1):
+            if value[i - 1] == value[i - 1 - unit]:
+                same[unit] += 1
+                length = max(3, 2 * unit)
+                if same[unit] >= length - unit:
+                    run = starts[unit].setdefault(i % unit, [])
+                    best[i] = min(best[i], _best_start(run, i, begun(i - length))
+                                  + unit * per_char - log2(unit))
+            elif same[unit]:
+                same[unit], starts[unit] = 0, {}
+        if i == n:
+            break
+        here = begun(i)[1]
         # a brute-force span of any length is a chain of single characters
         best[i + 1] = min(best[i + 1], best[i] + per_char)
         for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
@@ -101,24 +141,17 @@ def _block_bits(value: str) -> float:
                 rank = RANK.get(form[i:end])
                 if rank:
                     case = 0.0 if value[i:end] == lower[i:end] else 1.0
-                    offer(end, log2(rank) + extra + case)
+                    best[end] = min(best[end], here + log2(rank) + extra + case)
         date = DATE.match(value, i)
         if date:
-            offer(date.end(), log2(365 * 120) if date.end() - i > 4 else log2(120))
-        end = i + 1
-        while end < n and lower[end - 1:end + 1] in WALK_STEPS:
-            end += 1
-            if end - i >= 3:
-                offer(end, WALK_BITS + log2(end - i))
-        for unit in range(1, min(16, (n - i) // 2) + 1):
-            end = i + unit
-            while value[end:end + unit] == value[i:i + unit]:
-                end += unit
-            if end > i + unit and end - i >= 3:
-                offer(end, unit * per_char + log2((end - i) // unit))
+            bits = log2(365 * 120) if date.end() - i > 4 else log2(120)
+            best[date.end()] = min(best[date.end()], here + bits)
     return best[n]
 
 
+_remembered_bits = lru_cache(maxsize=20_000)(_cheapest_bits)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Matches of the fixed patterns as (start, end, kind), in code points."""
     spans = []

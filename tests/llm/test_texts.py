@@ -252,6 +252,17 @@ def test_guess_bits_against_all_cuts(value):
     assert secret_spans.guess_bits(value) == pytest.approx(plain_bits(value))
 
 
+def test_guess_bits_of_long_values():
+    bits, rng = secret_spans.guess_bits, np.random.default_rng(9)
+    assert bits("x" * 800) == pytest.approx(np.log2(26) + np.log2(800))
+    assert bits("xy7" * 4000) == pytest.approx(3 * np.log2(36) + np.log2(4000))
+    assert bits("ab" * 500) == pytest.approx(secret_spans.WALK_BITS + np.log2(1000))
+    assert secret_spans.all_spans("password is " + "x" * 800, 36) == []
+    for _ in range(150):
+        value = "".join(rng.choice(list("aab1q"), int(rng.integers(1, 40))))
+        assert bits(value) == pytest.approx(plain_bits(value))
+
+
 def test_guess_cost_orders_values():
     bits = secret_spans.guess_bits
     assert bits("password") < bits("qwerty2020") < bits("kX9#vQ2pLw7z")
