@@ -163,12 +163,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guessed_spans(text: str, min_bits: float) -> list[tuple[int, int, str]]:
-    """Values in credential context that cost at least ``min_bits`` to guess."""
+    """Values in credential context that cost at least ``min_bits`` to guess.
+
+    A value that is cheap to guess, or that ends as a label does, may itself be the label of the
+    next one, so the search goes on from its start.
+    """
     lower = text.lower()
     if not any(hint in lower for hint in HINTS):
         return []
-    return [(*m.span(m.lastindex), "guess") for m in CONTEXT.finditer(text)
-            if guess_bits(m[m.lastindex]) >= min_bits]
+    spans, at = [], 0
+    while match := CONTEXT.search(text, at):
+        value = match[match.lastindex]
+        secret = guess_bits(value) >= min_bits
+        if secret:
+            spans.append((*match.span(match.lastindex), "guess"))
+        at = match.end() if secret and value[-1] not in ":=" else match.start(match.lastindex)
+    return spans
 
 
 def in_order(spans) -> list[tuple[int, int, str]]:

@@ -263,6 +263,18 @@ def test_guess_bits_of_long_values():
         assert bits(value) == pytest.approx(plain_bits(value))
 
 
+@pytest.mark.parametrize("text", [
+    "credentials: passphrase: Xk9#qL2!vT8z", "auth: passcode: Xk9#qL2!vT8z",
+    "secret: token= auth: passphrase: Xk9#qL2!vT8z", "password = default_token: Xk9#qL2!vT8z"])
+def test_labels_as_values_hide_no_secret(text):
+    spans = [s for s in secret_spans.all_spans(text, 36) if s[2] == "guess"]
+    assert text[spans[-1][0]:spans[-1][1]] == "Xk9#qL2!vT8z"
+
+
+def test_labels_as_values_end():
+    assert secret_spans.guessed_spans("token: " * 2000 + "=" * 3000, 36) == []
+
+
 def test_guess_cost_orders_values():
     bits = secret_spans.guess_bits
     assert bits("password") < bits("qwerty2020") < bits("kX9#vQ2pLw7z")
