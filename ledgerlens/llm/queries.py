@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     backoff, byte_network, factor_machine, license_scan, main_text, mixing, near_duplicates,
-    quality_rules, secret_spans, string_tiling)
+    norm_buckets, quality_rules, secret_spans, string_tiling)
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_text.main_text(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op11_ranked_search", r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+    g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+    c AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t),
+    f AS (SELECT t, count(*) AS df FROM c GROUP BY t),
+    s AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1)))
+                     AS BIGINT)
+                 * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score
+          FROM q JOIN c USING (t) JOIN f USING (t) JOIN d USING (doc_id) CROSS JOIN g
+          GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+        FROM s WHERE score > 0) WHERE rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
