@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    backoff, byte_network, factor_machine, license_scan, main_text, mixing, near_duplicates,
-    norm_buckets, quality_rules, secret_spans, string_tiling)
+    backoff, byte_network, collocations, factor_machine, license_scan, main_text, mixing,
+    near_duplicates, norm_buckets, quality_rules, secret_spans, string_tiling)
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM s WHERE score > 0) WHERE rank <= 10""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_collocations", r"""
+    WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    g AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM i),
+    f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+    f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
+    c AS (SELECT f2.lang, w1, w2, NULL AS w3, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+          FROM f2 JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+          WHERE f2.f >= 10
+          UNION ALL
+          SELECT f3.lang, f3.w1, f3.w2, f3.w3, f3.f, 1, x.f, y.f
+          FROM f3 JOIN f1 x USING (lang, w1)
+                  JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+          WHERE f3.f >= 10
+          UNION ALL
+          SELECT f3.lang, f3.w1, f3.w2, f3.w3, f3.f, 2, x.f, y.f
+          FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2
+                  JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3
+          WHERE f3.f >= 10),
+    s AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT)
+                    AS score FROM c),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3
+                                                     ORDER BY score, k) = 1),
+    m AS (SELECT lang, x, y, max(f) AS f FROM (
+              SELECT lang, w1 AS x, w2 AS y, f FROM f3 WHERE f >= 10
+              UNION ALL SELECT lang, w2, w3, f FROM f3 WHERE f >= 10) GROUP BY ALL),
+    k AS (SELECT b.*, concat_ws(' ', w1, w2, w3) AS phrase
+          FROM b LEFT JOIN m ON m.lang = b.lang AND m.x = b.w1 AND m.y = b.w2 AND b.w3 IS NULL
+          WHERE m.f IS NULL OR 100 * m.f < 50 * b.a),
+    n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+          FROM k)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,20 +45,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.up = _powers.down = np.empty(0, np.uint64)
 
 
-def hashed_words(column: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in a column, A-Z as a-z, and where each text ends.
+def word_places(column: pa.Array, separators: np.ndarray = SPACE
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a column of texts, where each word starts and stops, and where texts end.
 
-    Returns the hashes one after the other and n + 1 bounds: those of text k are
-    ``hashes[bounds[k]:bounds[k + 1]]``. A hash is the difference of two running sums of a
-    polynomial in a random odd base over random values of bytes, so no word becomes an object.
+    The last are n + 1 places; those of text k are ``ends[k]`` to ``ends[k + 1]``.
     """
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
     n = len(column)
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + n + 1]
+    none = np.empty(0, np.int64)
     if not n or ends[-1] == ends[0]:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.empty(0, np.uint8), none, none, np.zeros(n + 1, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
     ends = ends - ends[0]
     blank = separators[raw]
@@ -66,6 +67,15 @@ def hashed_words(column: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.n
     first[ends] = True
     starts = np.flatnonzero(first[:-1] & ~blank)
     stops = np.flatnonzero((np.append(blank[1:], True) | first[1:]) & ~blank) + 1
+    return raw, starts, stops, ends
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z as a-z.
+
+    A hash is the difference of two running sums of a polynomial in a random odd base over random
+    values of bytes, so no word becomes an object.
+    """
     hashes, done = np.empty(len(starts), np.uint64), 0
     while done < len(starts):                       # pieces of whole words bound the memory
         low = starts[done]
@@ -77,7 +87,28 @@ def hashed_words(column: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.n
         s, e = starts[done:upto] - low, stops[done:upto] - low
         hashes[done:upto] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         done = upto
-    return hashes, np.searchsorted(starts, ends)
+    return hashes
+
+
+def hashed_words(column: pa.Array, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a column, A-Z as a-z, and where each text ends.
+
+    Returns the hashes one after the other and n + 1 bounds: those of text k are
+    ``hashes[bounds[k]:bounds[k + 1]]``.
+    """
+    raw, starts, stops, ends = word_places(column, separators)
+    return word_hashes(raw, starts, stops), np.searchsorted(starts, ends)
+
+
+def by_size(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20
+            ) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes of text each, or of one row."""
+    sizes = pc.binary_length(batch[column].cast(pa.large_binary())).fill_null(0).to_numpy(False)
+    done, start = np.append(0, np.cumsum(sizes)), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + limit, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
