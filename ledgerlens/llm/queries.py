@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     backoff, byte_network, collocations, factor_machine, license_scan, main_text, mixing,
-    near_duplicates, norm_buckets, quality_rules, secret_spans, string_tiling)
+    near_duplicates, norm_buckets, quality_rules, secret_spans, shared_passages, string_tiling)
 from .text import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_shared_passages", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+               FROM documents),
+    i AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i,
+                 w FROM d WHERE len(w) >= 50),
+    h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM i),
+    f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM h JOIN f USING (h)
+          WHERE first < doc_id),
+    g AS (SELECT doc_id, list(k) AS gone FROM r GROUP BY doc_id),
+    o AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id))
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+           sha256(array_to_string(list_filter(w, lambda x, k: NOT list_contains(gone, k)), ' '))
+               AS kept_sha256
+    FROM o""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, changed = shared_passages.without_shared_passages(table(spark, sf_dir, "documents"))
+    return whole.select(
+        "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"),
+        F.col("digest").alias("kept_sha256")
+    ).unionByName(changed.select("doc_id", "n_words", "n_removed",
+                                 F.sha2(F.col("kept"), 256).alias("kept_sha256")))
+
+
 @query("op13_collocations", r"""
     WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -29,6 +29,9 @@ SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
 NO_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64)) | 1
 _STEPS = _RNG.integers(0, 1 << 64, 32, dtype=np.uint64) | np.uint64(1)
+#: Values of bytes that tell A-Z from a-z.
+CASED = _BYTE.copy()
+CASED[65:91] = _RNG.integers(0, 1 << 64, 26, dtype=np.uint64)
 PIECE = 1 << 20
 
 
@@ -70,8 +73,9 @@ def word_places(column: pa.Array, separators: np.ndarray = SPACE
     return raw, starts, stops, ends
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, A-Z as a-z.
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray,
+                values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of words, A-Z as a-z unless ``values`` is ``CASED``.
 
     A hash is the difference of two running sums of a polynomial in a random odd base over random
     values of bytes, so no word becomes an object.
@@ -83,7 +87,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
         size = int(stops[upto - 1] - low)
         up, down = _powers(max(size, PIECE))
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[raw[low:low + size]] * up[:size], out=sums[1:])
+        np.cumsum(values[raw[low:low + size]] * up[:size], out=sums[1:])
         s, e = starts[done:upto] - low, stops[done:upto] - low
         hashes[done:upto] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         done = upto
@@ -111,6 +115,13 @@ def by_size(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20
         start = stop
 
 
+def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of runs of consecutive word hashes, given where each starts and ends (exclusive)."""
+    up, down = _powers(len(words) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(words * up[:len(words)], dtype=np.uint64))
+    return mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """One hash per run of ``size`` consecutive word hashes; empty if there are fewer words."""
     n = len(words) - size + 1
