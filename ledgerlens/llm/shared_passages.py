@@ -291,8 +291,8 @@ def without_shared_passages(docs: DataFrame, length: int = 50) -> tuple[DataFram
                   "wide_seeds")
     narrow = contexts.join(many, "seed", "left_anti")
     wanted = narrow.select(F.lit(False).alias("wide"), "seed", "context", "at.key", "at.start", "at.size")
-    wide = met.join(many, "seed", "left_semi").select(
-        F.lit(True).alias("wide"), "seed", "context", "key", "start", "size")
+    wide = met.join(many.withColumn("wide", F.lit(True)), "seed", "left").filter("wide").select(
+        "wide", "seed", "context", "key", "start", "size")
     texts = stored(docs.join(met.select("key").distinct(), "key", "left_semi"), "texts")
     cut = stored(_cut(texts, wanted.unionByName(wide), length), "cut")
 
