@@ -284,7 +284,8 @@ def without_shared_passages(docs: DataFrame, length: int = 50) -> tuple[DataFram
     base = stored(_seeded(docs, length), "seeds")
     found = base.filter("doc_id is not null").select(
         "doc_id", "key", F.inline(F.arrays_zip("seed", "context", "start", "size")))
-    met = stored(found.join(_shared(found).select("seed"), "seed"), "shared_seeds")
+    known = stored(_shared(found).select("seed"), "known_seeds")
+    met = stored(found.join(known, "seed"), "shared_seeds")
     contexts = stored(met.groupBy("seed", "context").agg(
         F.min(F.struct("doc_id", "key", "start", "size")).alias("at")), "contexts")
     many = stored(contexts.groupBy("seed").count().filter(F.col("count") > CONTEXTS).select("seed"),
@@ -300,12 +301,14 @@ def without_shared_passages(docs: DataFrame, length: int = 50) -> tuple[DataFram
     shards = -(-references.count() // SHARD) or 1
     spans = _spans(references.select("seed", "context", "doc_id", "words"), length, shards)
     windows = cut.filter("wide").select("seed", "key", "doc_id", "start")
+    # stored, so that a hot window is split in the join, not bound to the task of its group
+    first_windows = stored(_shared(windows), "first_windows")
     removed = (
         met.join(spans, ["seed", "context"]).filter("first < doc_id")
         .select("key", (F.col("start") + F.col("low")).alias("low"),
                 (F.col("start") + F.col("high")).alias("high"))
         .unionByName(
-            windows.join(_shared(windows), "seed").filter("first < doc_id")
+            windows.join(first_windows, "seed").filter("first < doc_id")
             .select("key", F.col("start").alias("low"), (F.col("start") + length).alias("high")))
         .groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     )
