@@ -25,8 +25,8 @@ from .text import by_size, importable, mixed, stored, word_hashes, word_places
 
 #: Words of the broadcast dictionary (8 bytes each); three of its numbers fit in 63 bits.
 DICTIONARY = 2_000_000
-#: Windows that a task combines before it hands them on.
-COMBINED = 1 << 21
+#: Bytes of text that a task numbers at once, windows that it combines, and rows it hands on at once.
+PART, COMBINED, HANDED = 2 << 20, 1 << 20, 1 << 16
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 PAD = 0
@@ -46,7 +46,7 @@ def _words(batch: pa.RecordBatch):
     seeds = np.array([xxhash.xxh64_intdigest(x) for x in langs.dictionary.to_pylist()], np.uint64)
     lang = langs.indices.to_numpy()[owner] if len(owner) else owner
     keys = mixed(word_hashes(raw, starts, stops) + (seeds[lang] if len(owner) else np.uint64(0)))
-    piece = np.cumsum(_ENDS[raw])[starts] if len(starts) else starts
+    piece = np.searchsorted(np.flatnonzero(_ENDS[raw]), starts)
     together = np.append((piece[1:] == piece[:-1]) & (owner[1:] == owner[:-1]), False)[:len(starts)]
     return keys, together, lambda at: _texts(raw, starts[at], stops[at]), lambda at: langs.dictionary.take(
         pa.array(lang[at], pa.int32()))
@@ -67,7 +67,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_size(batch):
+            for part in by_size(batch, limit=PART):
                 keys, _, text, lang = _words(part)
                 found, first, times = np.unique(keys, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -103,7 +103,7 @@ def _windows(docs: DataFrame, numbers: _Numbers, size: int) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
         for batch in batches:
-            for part in by_size(batch):
+            for part in by_size(batch, limit=PART):
                 keys, together, *_ = _words(part)
                 windows = [numbers.of(keys)]
                 for _ in range(1, size):
@@ -120,10 +120,10 @@ def _windows(docs: DataFrame, numbers: _Numbers, size: int) -> DataFrame:
                 waiting.append(sum(w * base ** (size - 1 - k) for k, w in enumerate(windows)))
                 held += len(waiting[-1])
                 if held >= COMBINED:
-                    yield _unpacked(waiting, base, size, names)
+                    yield from _unpacked(waiting, base, size, names)
                     waiting, held = [], 0
         if held:
-            yield _unpacked(waiting, base, size, names)
+            yield from _unpacked(waiting, base, size, names)
 
     importable(docs.sparkSession)
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"]))
@@ -133,10 +133,13 @@ def _rows(windows, times, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in [*windows, times]], [*names, "n"])
 
 
-def _unpacked(waiting: list[np.ndarray], base: int, size: int, names: list[str]) -> pa.RecordBatch:
+def _unpacked(waiting: list[np.ndarray], base: int, size: int, names: list[str]
+              ) -> Iterator[pa.RecordBatch]:
     packed, times = np.unique(np.concatenate(waiting), return_counts=True)
-    columns = [packed // base ** (size - 1 - k) % base for k in range(size)]
-    return _rows(columns, times, names)
+    for k in range(0, len(packed), HANDED):
+        some = packed[k:k + HANDED]
+        columns = [some // base ** (size - 1 - j) % base for j in range(size)]
+        yield _rows(columns, times[k:k + HANDED], names)
 
 
 def _gram_counts(windows: DataFrame, size: int, least: int) -> DataFrame:
