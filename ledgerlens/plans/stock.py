@@ -188,8 +188,7 @@ def status_changes(history: DataFrame, bad_dates: Iterable[dt.date] = (),
     rows = history.select("agreement_code", parse_date(F.col("dateat")).alias("day"), "status",
                           "arrears_value", "capital_outstanding")
     bad = [F.lit(day) for day in bad_dates]
-    # snapshots are one a day at most, so a year of one agreement is small
-    by_year = (["agreement_code"], ["day"], F.year("day"))
+    by_year = (["agreement_code"], ["day"], ["arrears_value"])
     balances = {"status": "status_before", "capital_outstanding": "balance_before"}
     if bad:
         kept = ~F.col("day").isin(*bad)

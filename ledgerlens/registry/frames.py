@@ -394,14 +394,6 @@ def latest_status(t):
         "agreement_code", "dateat", "status")
 
 
-def _year():
-    return F.substring("dateat", 1, 4)
-
-
-def _week():
-    return F.date_trunc("week", "dateat")
-
-
 @query("first_in_state", """
     SELECT agreement_code, dateat, status,
            CAST(row_number() OVER (PARTITION BY agreement_code, status ORDER BY dateat) AS BIGINT)
@@ -411,7 +403,7 @@ def _week():
     FROM status_history""")
 def first_in_state(t):
     history = t["status_history"].select("agreement_code", "dateat", "status")
-    return numbered(history, ["agreement_code", "status"], ["dateat"], _year(), "first_in_state",
+    return numbered(history, ["agreement_code", "status"], ["dateat"], "first_in_state",
                     from_end="last_in_state")
 
 
@@ -423,7 +415,7 @@ def first_in_state(t):
 def lag_previous(t):
     history = t["status_history"].select("agreement_code", "dateat", "status", "arrears_value")
     return previous(history, {"status": "previous_status", "arrears_value": "previous_arrears"},
-                    ["agreement_code"], ["dateat"], _year()).drop("arrears_value")
+                    ["agreement_code"], ["dateat"], tie=["status"]).drop("arrears_value")
 
 
 @query("lag_dynamic", """
@@ -435,7 +427,7 @@ def lag_dynamic(t):
     rows = t["loan_timeline"].select("agreement_code", "date", "arrears_yesterday",
                                      "days_since_last_payment_date")
     return lag_by_column(rows, "arrears_yesterday", "days_since_last_payment_date",
-                         ["agreement_code"], ["date"], F.year("date"), "lagged").select(
+                         ["agreement_code"], ["date"], "lagged", tie=["arrears_yesterday"]).select(
         "agreement_code", "date", "lagged")
 
 
@@ -446,7 +438,7 @@ def lag_dynamic(t):
     SELECT agreement_code, dateat FROM h WHERE status = 'AG_REPO' AND before <> 'AG_REPO'""")
 def entered(t):
     history = t["event_history"].select("agreement_code", "dateat", "status")
-    lagged = previous(history, {"status": "previous_status"}, ["agreement_code"], ["dateat"], _week())
+    lagged = previous(history, {"status": "previous_status"}, ["agreement_code"], ["dateat"])
     return lagged.filter(entered_state(V.REPO)).select("agreement_code", "dateat")
 
 

@@ -407,8 +407,10 @@ class DriverTables(Tables):
         if name == "timeline_base":
             # one row per calendar month: small by nature, whatever the number of orders
             frames["month_ends"] = frames["month_ends"].hint("broadcast")
-            # rows that multiply are dealt out first; adaptive execution joins small partitions
-            frames["loan_agreements"] = frames["loan_agreements"].repartition("agreement_code")
+            # rows that multiply are dealt out first, to a stated number of partitions: adaptive
+            # execution would join small ones before they grow
+            frames["loan_agreements"] = frames["loan_agreements"].repartition(
+                self.spark.sparkContext.defaultParallelism, "agreement_code")
         return run_select(self.spark, select, frames)
 
 

@@ -39,7 +39,7 @@ def by_key(rows):
 
 def test_previous_equals_brute_force_across_chunks(spark):
     rows = history_rows()
-    got = H.previous(spark.createDataFrame(rows, SCHEMA), {"s": "before"}, ["k"], ["day"], F.year("day"))
+    got = H.previous(spark.createDataFrame(rows, SCHEMA), {"s": "before"}, ["k"], ["day"])
     want = []
     for group in by_key(rows).values():
         want += [(*row, None if i == 0 else group[i - 1][2]) for i, row in enumerate(group)]
@@ -49,7 +49,7 @@ def test_previous_equals_brute_force_across_chunks(spark):
 def test_kept_previous_skips_rows_but_plain_does_not(spark):
     rows = history_rows(seed=2)
     got = H.previous(spark.createDataFrame(rows, SCHEMA), {"s": "before"}, ["k"], ["day"],
-                     F.year("day"), F.col("s") != "B", {"s": "kept_before"})
+                     kept=F.col("s") != "B", kept_columns={"s": "kept_before"})
     want = []
     for group in by_key(rows).values():
         kept = None
@@ -64,7 +64,7 @@ def test_previous_keeps_null_values_of_the_preceding_row(spark):
     rows = [(1, DAY0, None), (1, DAY0 + dt.timedelta(days=1), "A"),
             (1, DAY0 + dt.timedelta(days=400), "B"), (1, DAY0 + dt.timedelta(days=800), None),
             (1, DAY0 + dt.timedelta(days=1200), "C")]
-    got = H.previous(spark.createDataFrame(rows, SCHEMA), {"s": "before"}, ["k"], ["day"], F.year("day"))
+    got = H.previous(spark.createDataFrame(rows, SCHEMA), {"s": "before"}, ["k"], ["day"])
     assert [r["before"] for r in got.orderBy("day").collect()] == [None, None, "A", "B", None]
 
 
@@ -78,22 +78,50 @@ def test_numbering_and_dynamic_lag_equal_brute_force(spark):
             want_number.append((*row, i + 1))
             at = i - (row[3] or 0)
             want_lag.append((*row, group[at][2] if at >= 0 else None))
-    numbered = H.numbered(df, ["k"], ["day"], F.year("day"), "n")
+    numbered = H.numbered(df, ["k"], ["day"], "n")
     assert values(numbered) == values(spark.createDataFrame(want_number, SCHEMA + ", back int, n long"))
-    lagged = H.lag_by_column(df, "s", "back", ["k"], ["day"], F.year("day"), "then")
+    lagged = H.lag_by_column(df, "s", "back", ["k"], ["day"], "then")
     assert values(lagged) == values(spark.createDataFrame(want_lag, SCHEMA + ", back int, then string"))
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=6, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 900), st.sampled_from("AB")),
-                unique_by=lambda r: r[:2], min_size=1, max_size=40))
-def test_previous_does_not_depend_on_the_chunk(spark, raw):
-    rows = [(k, DAY0 + dt.timedelta(days=d), s) for k, d, s in raw]
-    df = spark.createDataFrame(rows, SCHEMA)
-    fine, coarse = (values(H.previous(df, {"s": "before"}, ["k"], ["day"], chunk))
-                    for chunk in (F.trunc("day", "MM"), F.lit(0)))
-    assert fine == coarse
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)), st.integers(0, 30),
+                          st.sampled_from("AB")), min_size=1, max_size=40),
+       st.integers(1, 9))
+def test_histories_do_not_depend_on_where_they_are_cut(spark, raw, hot_rows):
+    rows = [(k, DAY0 + dt.timedelta(days=d), s, n, n % 5) for n, (k, d, s) in enumerate(raw)]
+    df = spark.createDataFrame(rows, SCHEMA + ", n int, back int")
+    found = []
+    for hot in (hot_rows, None):
+        lagged = H.previous(df, {"s": "before", "n": "n_before"}, ["k"], ["day"], kept=F.col("s") == "A",
+                            kept_columns={"n": "a_before"}, hot_rows=hot)
+        count = H.numbered(df, ["k"], ["day"], "at", from_end="left", hot_rows=hot)
+        back = H.lag_by_column(df, "n", "back", ["k"], ["day"], "then", hot_rows=hot)
+        found.append([values(x) for x in (lagged, count, back)])
+    assert found[0] == found[1]
+
+
+def test_ranges_of_a_hot_key_are_even(spark):
+    """Half of all rows belong to one key and one day; no range is above twice the median."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("k"),
+        F.lit(DAY0).alias("day"), F.col("id").alias("n"))
+    ranged = H._ranges(df, ["k"], ["day"], ["n"], 2_000)
+    sizes = [r["count"] for r in ranged.rows.filter("_hot").groupBy("k", "_range").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert {r.k for r in ranged.rows.filter("_hot").select("k").distinct().collect()} == {-1}
+
+
+def _exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("Exchange hashpartitioning"), text.count("Join")
+
+
+def test_histories_without_hot_keys_are_dealt_once(spark):
+    df = spark.createDataFrame(history_rows(), SCHEMA).withColumn("back", F.lit(2))
+    assert _exchanges(H.previous(df, {"s": "before"}, ["k"], ["day"])) == (1, 0)
+    assert _exchanges(H.lag_by_column(df, "s", "back", ["k"], ["day"], "then")) == (1, 0)
 
 
 def test_first_latest_and_entered(spark):
@@ -103,7 +131,7 @@ def test_first_latest_and_entered(spark):
     assert values(H.first_per_key(df, ["k"], "day", ["s"])) == [(1, DAY0, "A"), (2, DAY0, "B")]
     assert values(H.latest_per_key(df, ["k"], "day")) == [
         (1, DAY0 + dt.timedelta(4), "B"), (2, DAY0, "B")]
-    lagged = H.previous(df, {"s": "previous_status"}, ["k"], ["day"], F.year("day"))
+    lagged = H.previous(df, {"s": "previous_status"}, ["k"], ["day"])
     entered = lagged.filter(H.entered_state("B", "s"))
     assert values(entered, "k", "day") == [(1, DAY0 + dt.timedelta(2)), (1, DAY0 + dt.timedelta(4))]
 
@@ -184,7 +212,7 @@ def test_top_per_key_keeps_k(spark, k):
 def test_previous_over_a_year_border_with_weeks(spark):
     rows = [("a", "2024-01-03", "A"), ("a", "2024-02-07", "B"), ("a", "2025-01-02", "C")]
     history = spark.createDataFrame(rows, "key string, dateat string, status string")
-    got = H.previous(history, {"status": "before"}, ["key"], ["dateat"], F.date_trunc("week", "dateat"))
+    got = H.previous(history, {"status": "before"}, ["key"], ["dateat"])
     assert values(got, "status", "before") == [("A", None), ("B", "A"), ("C", "B")]
 
 
@@ -193,11 +221,11 @@ def test_tied_days_follow_the_other_columns_and_numbers_run_both_ways(spark):
     rows = [(1, day, "B"), (1, day, "A"), (1, day + dt.timedelta(1), None), (1, day + dt.timedelta(1), "C")]
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, SCHEMA)
-        got = H.previous(df, {"s": "before"}, ["k"], ["day"], F.year("day"))
+        got = H.previous(df, {"s": "before"}, ["k"], ["day"])
         assert values(got) == values(spark.createDataFrame(
             [(1, day, "A", None), (1, day, "B", "A"), (1, day + dt.timedelta(1), "C", "B"),
              (1, day + dt.timedelta(1), None, "C")], SCHEMA + ", before string"))
-        both = H.numbered(df, ["k"], ["day"], F.year("day"), "n", from_end="m")
+        both = H.numbered(df, ["k"], ["day"], "n", from_end="m")
         assert sorted((r["n"], r["m"], r["s"]) for r in both.collect()) == [
             (1, 4, "A"), (2, 3, "B"), (3, 2, "C"), (4, 1, None)]
 

@@ -231,7 +231,7 @@ def test_missed_not_cured_equals_the_general_lag(spark, t):
         timeline.select("agreement_code", "date", "capital_balance", "arrears", "arrears_yesterday",
                         "days_since_last_payment_date"),
         "arrears_yesterday", "days_since_last_payment_date", ["agreement_code"], ["date"],
-        F.year("date"), "earlier")
+        "earlier")
     missed = lagged.filter((F.col("date") == F.lit(R.MONTH)) & (F.col("arrears") > F.col("earlier"))
                            & (F.col("days_since_last_payment_date") <= 7))
     want = missed.agg(F.sum("capital_balance"), F.count_distinct("agreement_code")).first()
