@@ -14,16 +14,16 @@ from .. import values as V
 from ..functions.aggregates import placeholder, sum_if, sum_if0, tally, tally0
 from ..functions.dates import epoch_ms_to_date, months_diff, parse_date, vintage_label
 from ..functions.text import amount_between, date_after
-from ..operators.history import entered_state, first_per_key, previous, top_per_key
+from ..operators.history import first_per_key, top_per_key
 from ..operators.joins import left_join_many, on_date
 from ..sources.tables import materialize
 from .calendar import ReportCalendar
+from .summaries import changes_of, merged, newest_two, stretches
 
 Tables = Mapping[str, DataFrame]
 
 CODE = "decimal(4,1)"
 PART_PAYMENT = Decimal("0.1")
-TRANSITION_EPOCH = dt.date(2000, 1, 1)
 TERMINATION, REPOSSESSION, SALE = "termination", "repossession", "sale"
 
 # Opening arrears code -> label in the roll-rate report
@@ -156,10 +156,24 @@ def status_ladder(history: DataFrame, snapshots: tuple[dt.date, dt.date]) -> Dat
     pair = top_per_key(chosen, ["agreement_code"], newest_first, k=2, rank="_rank")
     # two rows per agreement are left at most: the newest, and the one before it
     older = Window.partitionBy("agreement_code").orderBy(*newest_first)
-    latest = pair.withColumns({
+    return _ladder(pair.withColumns({
         "previous_status": F.lead("status").over(older),
         "previous_arrears_value": F.lead("arrears_value").over(older),
-    }).filter(F.col("_rank") == 1)
+    }).filter(F.col("_rank") == 1))
+
+
+def ladder_of_state(state: DataFrame, snapshots: tuple[dt.date, dt.date]) -> DataFrame:
+    """The same from the newest two snapshots that a state of the history keeps."""
+    start, end = _iso(snapshots)
+    now, before = F.col("newest"), F.col("older")
+    paired = (now["dateat"] == end) & (before["dateat"] == start)
+    return _ladder(state.filter(now["dateat"].isin(start, end)).select(
+        "agreement_code", "newest.*",
+        F.when(paired, before["status"]).alias("previous_status"),
+        F.when(paired, before["arrears_value"]).alias("previous_arrears_value")))
+
+
+def _ladder(latest: DataFrame) -> DataFrame:
     return latest.select(
         F.last_day(F.date_sub(parse_date(F.col("dateat")), 10)).alias("report_month"),
         epoch_ms_to_date(F.col("contract_date_ms")).alias("contract_date"),
@@ -185,56 +199,7 @@ def status_changes(history: DataFrame, bad_dates: Iterable[dt.date] = (),
     above 1 mean that sums mix several events. ``has_previous`` is false for agreements
     without any change to look at.
     """
-    rows = history.select("agreement_code", parse_date(F.col("dateat")).alias("day"), "status",
-                          "arrears_value", "capital_outstanding")
-    bad = [F.lit(day) for day in bad_dates]
-    by_year = (["agreement_code"], ["day"], ["arrears_value"])
-    balances = {"status": "status_before", "capital_outstanding": "balance_before"}
-    if bad:
-        kept = ~F.col("day").isin(*bad)
-        rows = previous(rows, {"status": "any_status_before"}, *by_year, kept, balances)
-    else:
-        kept = F.lit(True)
-        rows = previous(rows, balances, *by_year).withColumn("any_status_before", F.col("status_before"))
-
-    now, before, balance = F.col("status"), F.col("status_before"), F.col("balance_before")
-    arrears = F.col("arrears_value")
-    day = F.datediff("day", F.lit(TRANSITION_EPOCH))
-    crystalised = kept & now.isin(*V.CRYSTALISED) & ~before.isin(*V.CRYSTALISED)
-    shortfall_after_repo = kept & (now == V.REPO_SHORTFALL) & (before == V.REPO)
-    written_off = kept & entered_state(V.WRITTEN_OFF, now, before)
-    insured = kept & entered_state(V.INSURANCE_SHORTFALL, now, "any_status_before")
-    if insurance_since is not None:
-        insured = insured & (F.col("day") >= F.lit(insurance_since))
-    sums = {
-        "dups_check": tally(crystalised),
-        "crystalised_date": sum_if(crystalised, day),
-        "crystalised_from": sum_if(crystalised, balance),
-        "crystalised_to": sum_if(crystalised, arrears),
-        "crystalised_date2": sum_if(shortfall_after_repo, day),
-        "crystalised_from2": sum_if(shortfall_after_repo, balance),
-        "crystalised_to2": sum_if(shortfall_after_repo, arrears),
-        "crystalised_from3": sum_if(written_off, balance),
-    }
-    # per agreement and status first, so that the first day in a status is an aggregate too
-    insured_day = F.when(insured, F.col("day")).alias("_insured")
-    # snapshots of one day are taken in the order that ``previous`` takes them in
-    kept_day = F.when(kept, F.struct("day", *[x for c in ("arrears_value", "capital_outstanding")
-                                              for x in (F.col(c).isNull(), F.col(c))]))
-    parts = rows.groupBy("agreement_code", "status", insured_day).agg(
-        *[column.alias(name) for name, column in sums.items()],
-        F.min_by("arrears_value", kept_day).alias("_first_arrears"),
-        F.min_by(before.isNotNull(), kept_day).alias("_first_has_previous"),
-        F.max(kept & before.isNotNull()).alias("_has_previous"))
-    # only the insurance status is split by day, and no first day is wanted for it
-    sale = now.isin(V.REPO_SHORTFALL, V.VT_CRYSTALISED) & F.col("_first_has_previous")
-    return parts.groupBy("agreement_code").agg(
-        *[F.sum(name).alias(name) for name in sums],
-        sum_if(sale, F.col("_first_arrears")).alias("shortfall_balance"),
-        tally(sale).alias("dups_check2"),
-        F.max("_has_previous").alias("has_previous"),
-        # distinct days: no more than the calendar has
-        F.collect_set("_insured").alias("insurance_dates"))
+    return changes_of(merged(stretches(history, bad_dates, insurance_since)))
 
 
 def insurance_writeoffs(history: DataFrame, since: dt.date,
@@ -289,19 +254,58 @@ def exit_events(t: Tables, events: DataFrame) -> DataFrame:
 
 
 def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date,
-                   bad_dates: Iterable[dt.date] = ()) -> DataFrame:
+                   bad_dates: Iterable[dt.date] = (), events: DataFrame | None = None) -> DataFrame:
     """Every loan of the snapshot pair with its end status.
 
-    A loan with several exits or write-offs has several rows, as reported. The life events are
-    stored on the way; store the position itself where several reports read it
-    (``stored_position``).
+    A loan with several exits or write-offs has several rows, as reported. ``events`` may be the
+    stored ``life_events``, which are read once for each kind. Store the position itself where
+    several reports read it (``stored_position``).
     """
-    events = materialize(life_events(t), "life_events")
     ladder = status_ladder(t["status_history"],
                            (calendar.snapshot_start, calendar.snapshot_end))
+    changes = status_changes(t["status_history"], bad_dates, insurance_since)
+    return _position(t, calendar, ladder, changes, life_events(t) if events is None else events)
+
+
+def position_state(history: DataFrame, bad_dates: Iterable[dt.date] = (),
+                   insurance_since: dt.date | None = None) -> DataFrame:
+    """All that later months need of a status history: one row per agreement.
+
+    Its newest two snapshots, and the summary of its status changes (see ``summaries``).
+    """
+    summary = merged(stretches(history, bad_dates, insurance_since))
+    return newest_two(history).join(summary, "agreement_code", "left")
+
+
+def advanced_state(state: DataFrame, snapshot: DataFrame, bad_dates: Iterable[dt.date] = (),
+                   insurance_since: dt.date | None = None) -> DataFrame:
+    """The state after one more snapshot, or more of them, all newer than those in the state.
+
+    Equals ``position_state`` of the whole history, without reading it.
+    """
+    later = position_state(snapshot, bad_dates, insurance_since)
+    kept = [c for c in state.columns if c not in ("newest", "older")]
+    summary = merged(state.select(kept).unionByName(later.select(kept)))
+    pairs = [F.array("newest", "older").alias("pair")]
+    newest = newest_two(
+        state.select("agreement_code", *pairs).unionByName(later.select("agreement_code", *pairs))
+        .select("agreement_code", F.explode("pair").alias("s")).filter("s is not null")
+        .select("agreement_code", "s.*"))
+    return newest.join(summary, "agreement_code", "left")
+
+
+def position_of_state(t: Tables, calendar: ReportCalendar, state: DataFrame,
+                      events: DataFrame | None = None) -> DataFrame:
+    """The stock position from a state as of the closing snapshot; the history is not read."""
+    ladder = ladder_of_state(state, (calendar.snapshot_start, calendar.snapshot_end))
+    return _position(t, calendar, ladder, changes_of(state), life_events(t) if events is None else events)
+
+
+def _position(t: Tables, calendar: ReportCalendar, ladder: DataFrame, changes: DataFrame,
+              events: DataFrame) -> DataFrame:
     closures = closures_at_term(t, calendar.as_of).select("agreement_code", "contract_end_date")
     crystalised_to = F.coalesce("crystalised_to", "crystalised_to2")
-    changes = status_changes(t["status_history"], bad_dates, insurance_since).select(
+    changes = changes.select(
         "agreement_code", "insurance_dates", "shortfall_balance",
         F.coalesce("crystalised_from", "crystalised_from2", "crystalised_from3")
         .alias("crystalised_from"),
@@ -336,8 +340,9 @@ def stock_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date
 def stored_position(t: Tables, calendar: ReportCalendar, insurance_since: dt.date,
                     bad_dates: Iterable[dt.date] = ()) -> DataFrame:
     """The stock position written once, by month, for all reports that read it."""
-    return materialize(stock_position(t, calendar, insurance_since, bad_dates), "stock_position",
-                       partition_by=("report_month",))
+    events = materialize(life_events(t), "life_events")
+    return materialize(stock_position(t, calendar, insurance_since, bad_dates, events),
+                       "stock_position", partition_by=("report_month",))
 
 
 # ---------------------------------------------------------------- reports on the stock
