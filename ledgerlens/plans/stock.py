@@ -352,6 +352,10 @@ def _at(sp: DataFrame, month: dt.date) -> DataFrame:
     return sp.filter(F.col("report_month") == F.lit(month))
 
 
+def _by(rows: DataFrame, metrics: dict[str, Column], *parts: str) -> DataFrame:
+    return rows.groupBy("report_month", *parts).agg(*[c.alias(name) for name, c in metrics.items()])
+
+
 def _ends_in_month(column: str) -> Column:
     return F.last_day(column) == F.col("report_month")
 
@@ -383,8 +387,7 @@ def _sold_at_loss() -> Column:
     return _ends_in_month("vehicle_sale_date") & (proceeds < _exit_balance())
 
 
-def portfolio_volumes(sp: DataFrame, month: dt.date) -> DataFrame:
-    """Loans in the book, closed in the month by reason, and two or three months in arrears."""
+def _volume_metrics() -> dict[str, Column]:
     live = F.col("status") == V.LIVE
     defaulted_unsold = _type_is(V.DEFAULT, V.VT_DEFAULT, V.VT) & _unsold()
     sold_later = F.col("vehicle_sale_date") > F.col("report_month")
@@ -401,18 +404,23 @@ def portfolio_volumes(sp: DataFrame, month: dt.date) -> DataFrame:
     written_off = _ends_in_month("insurance_date")
     repossessed = F.when(written_off, F.lit(0)).when(
         _type_is(V.DEFAULT) & _ends_in_month("termination_date"), F.lit(1))
-    return _at(sp, month).groupBy("report_month").agg(
-        tally(live | defaulted_unsold).alias("total_portfolio"),
-        tally(_closed_in_month()).alias("total_closed"),
-        tally(in_month(V.VT)).alias("vt_no_liability"),
-        tally(in_month(V.VT_DEFAULT)).alias("vt_vs"),
-        tally(in_month(V.SETTLEMENT, V.UNWIND)).alias("settlement"),
-        tally(_ends_in_month("contract_end_date")).alias("end_of_term"),
-        F.sum(repossessed).alias("repo"),
-        tally(written_off).alias("write_off"),
-        behind(2).alias("mia_2m"),
-        behind(3).alias("mia_3m"),
-    )
+    return {
+        "total_portfolio": tally(live | defaulted_unsold),
+        "total_closed": tally(_closed_in_month()),
+        "vt_no_liability": tally(in_month(V.VT)),
+        "vt_vs": tally(in_month(V.VT_DEFAULT)),
+        "settlement": tally(in_month(V.SETTLEMENT, V.UNWIND)),
+        "end_of_term": tally(_ends_in_month("contract_end_date")),
+        "repo": F.sum(repossessed),
+        "write_off": tally(written_off),
+        "mia_2m": behind(2),
+        "mia_3m": behind(3),
+    }
+
+
+def portfolio_volumes(sp: DataFrame, month: dt.date) -> DataFrame:
+    """Loans in the book, closed in the month by reason, and two or three months in arrears."""
+    return _by(_at(sp, month), _volume_metrics())
 
 
 def _roll_outcomes() -> dict[str, Column]:
@@ -432,46 +440,48 @@ def _roll_outcomes() -> dict[str, Column]:
     }
 
 
-def _with_opening(sp: DataFrame, month: dt.date) -> DataFrame:
+def _opening() -> Column:
     label = None
     for code, name in OPENINGS.items():
         hit = F.col("previous_arrears") == _code(code)
         label = F.when(hit, name) if label is None else label.when(hit, name)
-    return _at(sp, month).withColumn("opening", label)
+    return label
+
+
+def _roll_metrics() -> dict[str, Column]:
+    return {name: tally(cond) for name, cond in _roll_outcomes().items()}
 
 
 def roll_rates(sp: DataFrame, month: dt.date) -> DataFrame:
     """Roll-rate matrix: one row per opening arrears state, its volume and nine outcomes."""
-    return (
-        _with_opening(sp, month).filter(F.col("opening").isNotNull())
-        .groupBy("report_month", "opening")
-        .agg(*[tally(cond).alias(name) for name, cond in _roll_outcomes().items()])
-    )
+    rows = _at(sp, month).withColumn("opening", _opening())
+    return _by(rows.filter(F.col("opening").isNotNull()), _roll_metrics(), "opening")
 
 
 def roll_rates_wide(sp: DataFrame, month: dt.date) -> DataFrame:
     """The roll-rate matrix as the one-row report: ``<opening>_<outcome>`` columns."""
     return (
-        _with_opening(sp, month).groupBy("report_month")
+        _at(sp, month).withColumn("opening", _opening()).groupBy("report_month")
         .pivot("opening", list(OPENINGS.values()))
         .agg(*[tally(cond).alias(name) for name, cond in _roll_outcomes().items()])
     )
 
 
+def _sales_metrics() -> dict[str, Column]:
+    return {
+        "vehicles_recovered": tally0(_ends_in_month("repo_date")),
+        "vehicles_sold": tally0(_ends_in_month("vehicle_sale_date")),
+        "vehicle_loss": tally(_sold_at_loss()),
+    }
+
+
 def sales_performance(sp: DataFrame, month: dt.date) -> DataFrame:
     """Vehicles recovered, sold and sold at a loss in the month."""
-    return _at(sp, month).groupBy("report_month").agg(
-        tally0(_ends_in_month("repo_date")).alias("vehicles_recovered"),
-        tally0(_ends_in_month("vehicle_sale_date")).alias("vehicles_sold"),
-        tally(_sold_at_loss()).alias("vehicle_loss"),
-    )
+    return _by(_at(sp, month), _sales_metrics())
 
 
-def months_on_book(sp: DataFrame, timeline: DataFrame, month: dt.date) -> DataFrame:
-    """Arrears of loans that are 3, 6, 12 and 18 months old, one column per metric and age."""
-    paid = on_date(timeline, month).select("agreement_code", "instalments_satisfied")
-    rows = _at(sp, month).join(paid, "agreement_code", "left").withColumn(
-        "age", months_diff(F.col("contract_date"), F.col("report_month")))
+def _age_metrics() -> dict[str, Column]:
+    age = months_diff(F.col("contract_date"), F.col("report_month"))
     end, instalments = F.col("end_status"), F.col("instalments_satisfied")
     # late arrears are also part of the written-off count, as reported
     written_off = end >= _code(6)
@@ -488,19 +498,27 @@ def months_on_book(sp: DataFrame, timeline: DataFrame, month: dt.date) -> DataFr
         "no_payment": (instalments == 0) & (end >= _code(0)),
         "one_payment": (instalments == 1) & (end >= _code(0)),
     }
+    return {
+        f"{name}_{a}m": tally((age == a) & cond)
+        for found, ages in ((metrics, AGES), (first_payments, AGES[:2]))
+        for name, cond in found.items() for a in ages}
 
-    def at_age(age: int, cond: Column) -> Column:
-        return tally((F.col("age") == age) & cond)
 
-    return rows.groupBy("report_month").agg(
-        *[at_age(a, cond).alias(f"{name}_{a}m") for name, cond in metrics.items() for a in AGES],
-        *[at_age(a, cond).alias(f"{name}_{a}m") for name, cond in first_payments.items()
-          for a in AGES[:2]],
-    ).withColumns({f"{name}_{a}m": placeholder() for name in ("fraud", "fraud_value") for a in AGES})
+def _age_placeholders() -> dict[str, Column]:
+    return {f"{name}_{a}m": placeholder() for name in ("fraud", "fraud_value") for a in AGES}
 
 
-def portfolio_values(sp: DataFrame, loans: DataFrame, month: dt.date) -> DataFrame:
-    """Balances behind the portfolio volumes, and the remaining term of the book."""
+def _paid(timeline: DataFrame, month: dt.date) -> DataFrame:
+    return on_date(timeline, month).select("agreement_code", "instalments_satisfied")
+
+
+def months_on_book(sp: DataFrame, timeline: DataFrame, month: dt.date) -> DataFrame:
+    """Arrears of loans that are 3, 6, 12 and 18 months old, one column per metric and age."""
+    rows = _at(sp, month).join(_paid(timeline, month), "agreement_code", "left")
+    return _by(rows, _age_metrics()).withColumns(_age_placeholders())
+
+
+def _value_metrics() -> dict[str, Column]:
     live = F.col("status") == V.LIVE
     defaulted_unsold = _type_is(V.DEFAULT, V.VT_DEFAULT, V.VT) & _unsold()
     term_end = F.col("loan_end_date")
@@ -508,32 +526,32 @@ def portfolio_values(sp: DataFrame, loans: DataFrame, month: dt.date) -> DataFra
     sold, recovered = _ends_in_month("vehicle_sale_date"), _ends_in_month("repo_date")
     below_crystalised = sold & (
         F.coalesce("gross_sale_amount", "net_sale_amount") < F.col("crystalised_from") + 1)
+    return {
+        "total_portfolio": F.sum(F.when(live, F.col("capital_outstanding"))
+                                 .when(defaulted_unsold, F.col("arrears_value"))),
+        "total_term": sum_if((live | defaulted_unsold) & (F.col("report_month") < term_end),
+                             months_diff(F.col("report_month"), term_end)),
+        "total_closed": sum_if(_closed_in_month(), closing),
+        "vt_no_liability": sum_if(_type_is(V.VT) & _ends_in_month("processed_date"), closing),
+        "vt_vs": sum_if(_type_is(V.VT_DEFAULT) & _ends_in_month("processed_date"), closing),
+        "vehicles_recovered": sum_if0(recovered, _exit_balance()),
+        "vehicles_recovered_cap_val": sum_if0(recovered, F.lit(0)),
+        "vehicles_sold_bal": sum_if0(sold, _exit_balance()),
+        "vehicles_sold_cap_val": sum_if0(sold, F.lit(0)),
+        "vehicles_sold_price": sum_if0(sold, F.col("gross_sale_amount")),
+        "vehicle_loss_bal": sum_if(_sold_at_loss(), _exit_balance()),
+        "vehicle_loss_cap_val": sum_if(below_crystalised, F.lit(0)),
+        "vehicle_loss_sold_price": sum_if(_sold_at_loss(), F.col("gross_sale_amount")),
+    }
+
+
+def portfolio_values(sp: DataFrame, loans: DataFrame, month: dt.date) -> DataFrame:
+    """Balances behind the portfolio volumes, and the remaining term of the book."""
     ends = loans.select("agreement_code", F.col("contract_end_date").alias("loan_end_date"))
-    return _at(sp, month).join(ends, "agreement_code", "left").groupBy("report_month").agg(
-        F.sum(F.when(live, F.col("capital_outstanding"))
-              .when(defaulted_unsold, F.col("arrears_value"))).alias("total_portfolio"),
-        sum_if((live | defaulted_unsold) & (F.col("report_month") < term_end),
-               months_diff(F.col("report_month"), term_end)).alias("total_term"),
-        sum_if(_closed_in_month(), closing).alias("total_closed"),
-        sum_if(_type_is(V.VT) & _ends_in_month("processed_date"), closing)
-        .alias("vt_no_liability"),
-        sum_if(_type_is(V.VT_DEFAULT) & _ends_in_month("processed_date"), closing).alias("vt_vs"),
-        sum_if0(recovered, _exit_balance()).alias("vehicles_recovered"),
-        sum_if0(recovered, F.lit(0)).alias("vehicles_recovered_cap_val"),
-        sum_if0(sold, _exit_balance()).alias("vehicles_sold_bal"),
-        sum_if0(sold, F.lit(0)).alias("vehicles_sold_cap_val"),
-        sum_if0(sold, F.col("gross_sale_amount")).alias("vehicles_sold_price"),
-        sum_if(_sold_at_loss(), _exit_balance()).alias("vehicle_loss_bal"),
-        sum_if(below_crystalised, F.lit(0)).alias("vehicle_loss_cap_val"),
-        sum_if(_sold_at_loss(), F.col("gross_sale_amount")).alias("vehicle_loss_sold_price"),
-    )
+    return _by(_at(sp, month).join(ends, "agreement_code", "left"), _value_metrics())
 
 
-def cohort_performance(sp: DataFrame, loans: DataFrame, month: dt.date) -> DataFrame:
-    """Performance per origination quarter."""
-    cohort = loans.filter(F.col("contract_date") <= F.lit(month)).select(
-        "agreement_code", F.col("contract_date").alias("loan_contract_date"), "registration_date",
-        "mileage", "total_finance_amount")
+def _cohort_metrics() -> dict[str, Column]:
     rep = F.col("report_month")
     owed = F.col("capital_outstanding") + F.col("arrears_value")
     open_now = ~F.col("status").isin(V.PENDING_CLOSURE, V.CLOSED, V.WRITTEN_OFF) & (owed > 0)
@@ -542,26 +560,82 @@ def cohort_performance(sp: DataFrame, loans: DataFrame, month: dt.date) -> DataF
     age_months = months_diff(F.col("registration_date"), F.col("repo_date"))
     terminated = F.when(F.col("insurance_date") <= rep, F.lit(0)).when(
         _type_is(V.DEFAULT) & (F.col("termination_date") <= rep), F.lit(1))
+    return {
+        "new_business_volume": F.count(F.lit(1)),
+        "new_business_value": F.sum("total_finance_amount"),
+        "still_open": tally(open_now),
+        "still_open_balance": sum_if(open_now, owed),
+        "vol_2_plus": tally(F.col("end_status") >= _code(2)),
+        "vol_3_plus": tally(F.col("end_status") >= _code(3)),
+        "vol_handback_liability": tally(_type_is(V.VT_DEFAULT) & handed_back),
+        "vol_handback_no_liability": tally(_type_is(V.VT) & handed_back),
+        "terminations": F.sum(terminated),
+        "forced_possession": tally(repossessed),
+        "forced_possession_age": F.avg(F.when(repossessed & (age_months != 0), age_months)),
+        "forced_possession_mileage": F.avg(F.when(repossessed, F.col("mileage"))),
+    }
+
+
+def _cohort_placeholders() -> dict[str, Column]:
+    return {name: placeholder() for name in (
+        "return_of_goods_requests", "accounts_return_of_goods_requests",
+        "possession_after_request", "possession_no_request")}
+
+
+COHORT_COLUMNS = ("registration_date", "mileage", "total_finance_amount")
+
+
+def cohort_performance(sp: DataFrame, loans: DataFrame, month: dt.date) -> DataFrame:
+    """Performance per origination quarter."""
+    cohort = loans.filter(F.col("contract_date") <= F.lit(month)).select(
+        "agreement_code", vintage_label(F.col("contract_date")).alias("vintage"), *COHORT_COLUMNS)
     return (
-        _at(sp, month).join(cohort, "agreement_code")
-        .groupBy("report_month", vintage_label(F.col("loan_contract_date")).alias("vintage"))
-        .agg(
-            F.count(F.lit(1)).alias("new_business_volume"),
-            F.sum("total_finance_amount").alias("new_business_value"),
-            tally(open_now).alias("still_open"),
-            sum_if(open_now, owed).alias("still_open_balance"),
-            tally(F.col("end_status") >= _code(2)).alias("vol_2_plus"),
-            tally(F.col("end_status") >= _code(3)).alias("vol_3_plus"),
-            tally(_type_is(V.VT_DEFAULT) & handed_back).alias("vol_handback_liability"),
-            tally(_type_is(V.VT) & handed_back).alias("vol_handback_no_liability"),
-            F.sum(terminated).alias("terminations"),
-            tally(repossessed).alias("forced_possession"),
-            F.avg(F.when(repossessed & (age_months != 0), age_months))
-            .alias("forced_possession_age"),
-            F.avg(F.when(repossessed, F.col("mileage"))).alias("forced_possession_mileage"),
-        )
-        .withColumns({name: placeholder() for name in (
-            "return_of_goods_requests", "accounts_return_of_goods_requests",
-            "possession_after_request", "possession_no_request")})
-        .orderBy("report_month", "vintage")
+        _by(_at(sp, month).join(cohort, "agreement_code"), _cohort_metrics(), "vintage")
+        .withColumns(_cohort_placeholders()).orderBy("report_month", "vintage")
+    )
+
+
+# ---------------------------------------------------------------- all reports of a month
+
+PACK = {
+    "portfolio_volumes": (None, _volume_metrics), "roll_rates": ("opening", _roll_metrics),
+    "sales_performance": (None, _sales_metrics), "months_on_book": (None, _age_metrics),
+    "portfolio_values": (None, _value_metrics), "cohort_performance": ("vintage", _cohort_metrics)}
+
+
+def monthly_pack(sp: DataFrame, loans: DataFrame, timeline: DataFrame, month: dt.date
+                 ) -> dict[str, DataFrame]:
+    """The six reports of a month from one pass over the position, by name.
+
+    The position is read once and grouped three ways at once: as a whole, by opening arrears and by
+    vintage. The few grouped rows are stored, and each report takes its own from them. Equals the
+    six functions above; ``loans`` and ``timeline`` hold one row per agreement (and day).
+    """
+    known = loans.select(
+        "agreement_code", F.col("contract_end_date").alias("loan_end_date"),
+        F.when(F.col("contract_date") <= F.lit(month), vintage_label(F.col("contract_date")))
+        .alias("vintage"), *COHORT_COLUMNS)
+    rows = (
+        _at(sp, month).withColumn("opening", _opening())
+        .join(_paid(timeline, month), "agreement_code", "left")
+        .join(known, "agreement_code", "left")
     )
+    part = {"opening": 1, "vintage": 2}
+    grouped = materialize(
+        rows.groupingSets([["report_month"], ["report_month", "opening"], ["report_month", "vintage"]],
+                          "report_month", "opening", "vintage")
+        .agg(F.grouping_id().alias("grouping"),
+             *[column.alias(f"{report}.{name}") for report, (_, metrics) in PACK.items()
+               for name, column in metrics().items()]), "monthly_pack")
+    whole = 3                                       # neither opening nor vintage
+    out = {}
+    for report, (by, metrics) in PACK.items():
+        mine = grouped.filter(F.col("grouping") == (whole if by is None else part[by]))
+        if by:
+            mine = mine.filter(F.col(by).isNotNull())
+        out[report] = mine.select("report_month", *([by] if by else []), *[
+            F.col(f"`{report}.{name}`").alias(name) for name in metrics()])
+    out["months_on_book"] = out["months_on_book"].withColumns(_age_placeholders())
+    out["cohort_performance"] = out["cohort_performance"].withColumns(
+        _cohort_placeholders()).orderBy("report_month", "vintage")
+    return out

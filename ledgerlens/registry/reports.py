@@ -487,7 +487,9 @@ REPORT_MONTH = d("report_month", "report_month")
 
 
 def stock_rows(t):
-    return stock.stock_position(t, CALENDAR, INSURANCE_SINCE, BAD_SNAPSHOTS)
+    """The position that all reports of a session share, stored by the first that reads it."""
+    return t.shared("stock_position", lambda: stock.stored_position(
+        t, CALENDAR, INSURANCE_SINCE, BAD_SNAPSHOTS))
 
 
 @query("stock_position", STOCK_SQL + "SELECT " + columns(
@@ -499,7 +501,7 @@ def stock_rows(t):
                         "crystalised_to", "shortfall_balance", "net_sale_amount", "end_status")])
        + " FROM stock")
 def stock_position(t):
-    return stock_rows(t)
+    return stock.stock_position(t, CALENDAR, INSURANCE_SINCE, BAD_SNAPSHOTS)
 
 
 def _behind(payments: int) -> str:

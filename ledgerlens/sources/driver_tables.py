@@ -9,6 +9,7 @@ value is integer or decimal arithmetic, so engines agree to the last digit.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -396,6 +397,16 @@ class DriverTables(Tables):
         super().__init__(spark)
         self.folder = folder.rstrip("/")
 
+    #: Stored results by application, folder and name.
+    _shared: dict[tuple[str, str, str], DataFrame] = {}
+
+    def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` returned when this session first asked for ``name`` over this folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in self._shared:
+            self._shared[key] = make()
+        return self._shared[key]
+
     def _names(self) -> list[str]:
         return [*RAW, *DERIVED]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -175,17 +176,66 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Clean-up steps of the runs that are open, innermost last.
+_RUNS: list[list] = []
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Remove all scratch tables made inside the block at its end, also after an error.
+
+    Frames that read them are of no use afterwards: write or collect results inside the block.
+    """
+    steps: list = []
+    _RUNS.append(steps)
+    try:
+        yield
+    finally:
+        _RUNS.remove(steps)
+        for step in reversed(steps):
+            step()
+
+
+def _in_run(step) -> None:
+    if _RUNS:
+        _RUNS[-1].append(step)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a scratch table and return the stored copy.
 
-    The copy lives in shared storage, so it cuts the lineage and outlives lost executors.
+    The copy lives in shared storage, so it cuts the lineage and outlives lost executors. Inside a
+    ``scratch_run`` it is removed at the end of the run.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _in_run(lambda: _remove(spark, path))
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by_key(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Like ``materialize``, in buckets of ``key``: joins and groups on it need no exchange.
+
+    ``buckets`` defaults to the number of shuffle partitions; tables that are to be joined need the
+    same number. The catalog entry goes with the data at the end of a ``scratch_run``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    entry = f"scratch_{name}_{uuid.uuid4().hex}"
+    _in_run(lambda: (drop_table(spark, entry), _remove(spark, path)))
+    # dealt as the buckets are, so each bucket is one file
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path)
+     .format("parquet").saveAsTable(entry))
+    return spark.table(entry)
+
+
 def save_table(df: DataFrame, name: str) -> DataFrame:
     """Create or replace a catalog table from a query and return it."""
     df.write.mode("overwrite").saveAsTable(name)
