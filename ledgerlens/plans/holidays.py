@@ -99,14 +99,48 @@ def ph_balances(windows: DataFrame, timeline: DataFrame, start: dt.date, end: dt
 
 
 def ph_loan_table(t: Tables, start: dt.date, end: dt.date) -> DataFrame:
-    """One row per forborne agreement and exit type, everything side by side."""
-    windows, timeline = ph_windows(t["forbearance"]), t["loan_timeline"]
+    """One row per forborne agreement and exit type, everything side by side.
+
+    What is wanted of the timeline (arrears when forbearance began, arrears and balance at month
+    ends, the balance before each exit) are days per agreement. They are looked up together, in one
+    join to the timeline, which holds one row per agreement and day.
+    """
+    windows = ph_windows(t["forbearance"])
+    exits = (
+        t["settlements_and_defaults"].filter(F.col("type").isin(*EXIT_TYPES))
+        .groupBy("agreement_code", "type").agg(F.min("date").alias("sd_date"))
+        .groupBy("agreement_code").agg(F.collect_list(F.struct("type", "sd_date")).alias("exits"))
+    )
+    loans = windows.join(exits, "agreement_code", "left")
+    arrears, balances = _month_columns(start, end, "arr"), _month_columns(start, end, "bal")
+
+    def day_before(exit_row: Column) -> Column:
+        return F.date_sub(exit_row["sd_date"], 1)
+
+    days = F.concat(
+        F.array(*[F.lit(day) for day in arrears.values()], F.col("first_fb_start_date")),
+        F.coalesce(F.transform("exits", day_before), F.array().cast("array<date>")))
+    wanted = loans.select("agreement_code", F.explode(F.array_distinct(days)).alias("date"))
+    found = (
+        t["loan_timeline"].select(
+            "agreement_code", "date", "capital_balance",
+            arrears_number(F.col("payment_reduction_adjusted_arrears_status")).alias("arr"))
+        .join(wanted.filter("date is not null"), ["agreement_code", "date"])
+        .groupBy("agreement_code", "date").agg(
+            F.max("arr").alias("arr"), F.max("capital_balance").alias("bal"))
+        .groupBy("agreement_code").agg(F.map_from_entries(F.collect_list(
+            F.struct("date", F.struct("arr", "bal")))).alias("at"))
+    )
+    at = F.col("at")
     return (
-        windows.select("agreement_code", "first_fb_start_date", "first_fb_end_date",
-                       "rmp_start_date", "rmp_end_date", "add_ph_end_date", "add_ph_start_date")
-        .join(ph_arrears(windows, timeline, start, end), "agreement_code", "left")
-        .join(ph_exits(windows, t["settlements_and_defaults"], timeline), "agreement_code", "left")
-        .join(ph_balances(windows, timeline, start, end), "agreement_code", "left")
+        loans.join(found, "agreement_code", "left")
+        .select("*", F.explode_outer("exits").alias("exit"))
+        .select("agreement_code", "first_fb_start_date", "first_fb_end_date", "rmp_start_date",
+                "rmp_end_date", "add_ph_end_date", "add_ph_start_date",
+                at[F.col("first_fb_start_date")]["arr"].alias("pre_arr"),
+                *[at[F.lit(day)]["arr"].alias(name) for name, day in arrears.items()],
+                "exit.type", "exit.sd_date", at[day_before(F.col("exit"))]["bal"].alias("sd_balance"),
+                *[at[F.lit(day)]["bal"].alias(name) for name, day in balances.items()])
     )
 
 

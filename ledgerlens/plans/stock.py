@@ -129,6 +129,12 @@ def life_events(t: Tables) -> DataFrame:
         "agreement_code", "kind", "day", "actual_sale_date", "gross_sale_amount")
 
 
+def advanced_events(t: Tables, events: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The life events after one more snapshot: those known, and those on its own day."""
+    names = ("action_log", "contact", "loan_link")
+    return events.unionByName(life_events({name: t[name] for name in names} | {"status_history": snapshot}))
+
+
 # ---------------------------------------------------------------- status history
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import functions as F
 
 from .. import values as V
 from ..plans import (
     bureau, forbearance, holidays, matching, origination, provision, regulatory, segments, stock)
 from ..plans.calendar import report_calendar
+from ..sources.tables import materialize
 from . import query
 from .sql import columns, d, n, quoted, tally as sql_tally, tally0, total, total0, x
 
@@ -438,7 +442,7 @@ def closures_at_term(t):
     return stock.closures_at_term(t, CALENDAR.as_of)
 
 
-STOCK_SQL = f"""
+POSITION_ROWS_SQL = f"""
     WITH ladder AS ({LADDER_SQL}),
     term AS ({TERMINATION_SQL}), repo AS ({REPO_SQL}), sale AS ({SALE_SQL}),
     exits AS (SELECT s.agreement_code, s.type, s.processed_date, s.amount AS settlement_amount,
@@ -464,7 +468,8 @@ STOCK_SQL = f"""
                     WHEN type = 'VT - Default' AND last_day(processed_date) <= report_month THEN 98
                     WHEN type = 'Default' AND last_day(termination_date) <= report_month THEN 99
                     ELSE current_arrears END AS end_status
-        FROM joined),
+        FROM joined)"""
+STOCK_SQL = POSITION_ROWS_SQL + """,
     reported AS (SELECT *, status = 'AG_LIVE_PRIMARY' AS is_live,
                         type IN ('Default', 'VT - Default', 'VT')
                           AND coalesce(vehicle_sale_date > report_month, true) AS is_unsold,
@@ -492,25 +497,68 @@ def stock_rows(t):
         t, CALENDAR, INSURANCE_SINCE, BAD_SNAPSHOTS))
 
 
-@query("stock_position", STOCK_SQL + "SELECT " + columns(
+POSITION_OUT = "SELECT " + columns(
     LADDER_COLUMNS, "type",
     *[d(c, c) for c in ("processed_date", "exit_date", "termination_date", "repo_date",
                         "vehicle_sale_date", "actual_sale_date", "contract_end_date",
                         "insurance_date")],
     *[x(c, c) for c in ("settlement_amount", "gross_sale_amount", "crystalised_from",
-                        "crystalised_to", "shortfall_balance", "net_sale_amount", "end_status")])
-       + " FROM stock")
+                        "crystalised_to", "shortfall_balance", "net_sale_amount", "end_status")]
+) + " FROM stock"
+
+
+@query("stock_position", POSITION_ROWS_SQL + POSITION_OUT)
 def stock_position(t):
     return stock.stock_position(t, CALENDAR, INSURANCE_SINCE, BAD_SNAPSHOTS)
 
 
+# The history as it was known at the closing snapshot
+KNOWN_SQL = "known_history AS (SELECT * FROM status_history WHERE dateat <= '1998-04-01')"
+
+
+def _known(sql: str) -> str:
+    return f"WITH {KNOWN_SQL}, {sql.replace('status_history', 'known_history').strip()[5:]}"
+
+
+def state_rows(t):
+    """State and life events up to the opening snapshot, and both after the closing one."""
+    history, last = t["status_history"], CALENDAR.snapshot_end.isoformat()
+    earlier, snapshot = history.filter(history["dateat"] < last), history.filter(history["dateat"] == last)
+    state = materialize(stock.position_state(earlier, BAD_SNAPSHOTS, INSURANCE_SINCE), "state")
+    log = {name: t[name] for name in ("action_log", "contact", "loan_link")}
+    events = materialize(stock.life_events(log | {"status_history": earlier}), "events")
+    return (stock.advanced_state(state, snapshot, BAD_SNAPSHOTS, INSURANCE_SINCE),
+            stock.advanced_events(t, events, snapshot))
+
+
+@query("stock_position_from_state", _known(POSITION_ROWS_SQL + POSITION_OUT))
+def stock_position_from_state(t):
+    state, events = state_rows(t)
+    return stock.position_of_state(t, CALENDAR, materialize(state, "state"), materialize(events, "events"))
+
+
+@query("crystallisation_from_state", f"WITH {KNOWN_SQL} SELECT {CHANGE_COLUMNS} FROM ("
+       + _changes_sql("known_history", "1997-06-01") + ") c")
+def crystallisation_from_state(t):
+    return stock.changes_of(state_rows(t)[0]).filter("has_previous").drop("has_previous", "insurance_dates")
+
+
+#: The SELECT of each report of the pack, over the same position.
+PACK_SQL: dict[str, str] = {}
+
+
+def pack_query(name: str, body: str):
+    PACK_SQL[name] = body
+    return query(name, STOCK_SQL + body)
+
+
 def _behind(payments: int) -> str:
     waiting = ("vehicle_sale_date > report_month AND ((type = 'Default' AND termination_date <= "
                "report_month) OR (type = 'VT - Default' AND last_day(processed_date) <= report_month))")
     return sql_tally(f"current_arrears >= {payments} OR ({waiting})")
 
 
-@query("portfolio_volumes", STOCK_SQL + "SELECT " + columns(
+@pack_query("portfolio_volumes", "SELECT " + columns(
     REPORT_MONTH,
     n(sql_tally("is_live OR is_unsold"), "total_portfolio"),
     n(sql_tally(CLOSED_NOW), "total_closed"),
@@ -533,7 +581,7 @@ OUTCOMES_SQL = {
 OPENINGS_SQL = {"utd": "0", "oneplus": "0.1", "one": "1", "two": "2", "three": "3", "four": "4"}
 
 
-@query("roll_rate_matrix", STOCK_SQL + "SELECT " + columns(
+@pack_query("roll_rate_matrix", "SELECT " + columns(
     REPORT_MONTH, "opening", *[n(sql_tally(cond), name) for name, cond in OUTCOMES_SQL.items()])
        + " FROM reported JOIN (VALUES "
        + ", ".join(f"('{name}', CAST({code} AS DOUBLE))" for name, code in OPENINGS_SQL.items())
@@ -550,7 +598,7 @@ def roll_rate_wide(t):
     return stock.roll_rates_wide(stock_rows(t), MONTH)
 
 
-@query("sales_performance", STOCK_SQL + "SELECT " + columns(
+@pack_query("sales_performance", "SELECT " + columns(
     REPORT_MONTH, n(tally0("repo_now"), "vehicles_recovered"), n(tally0("sold_now"), "vehicles_sold"),
     n(sql_tally(AT_LOSS), "vehicle_loss")) + " FROM reported GROUP BY report_month")
 def sales_performance(t):
@@ -571,7 +619,7 @@ def _age_metric(name: str, cond: str, age: int) -> str:
     return n(sql_tally(f"{months} = {age} AND ({cond})"), f"{name}_{age}m")
 
 
-@query("months_on_book", STOCK_SQL + "SELECT " + columns(
+@pack_query("months_on_book", "SELECT " + columns(
     REPORT_MONTH,
     *[_age_metric(name, cond, age) for name, cond in AGE_METRICS_SQL.items()
       for age in ((3, 6) if name.endswith(("no_payment", "one_payment")) else (3, 6, 12, 18))],
@@ -584,7 +632,7 @@ def months_on_book(t):
     return stock.months_on_book(stock_rows(t), t["loan_timeline"], MONTH)
 
 
-@query("portfolio_values", STOCK_SQL + "SELECT " + columns(
+@pack_query("portfolio_values", "SELECT " + columns(
     REPORT_MONTH,
     x("sum(CASE WHEN is_live THEN capital_outstanding WHEN is_unsold THEN arrears_value END)",
       "total_portfolio"),
@@ -613,7 +661,7 @@ TAKEN = "type = 'Default' AND repo_date <= report_month"
 HANDED = "processed_date <= report_month AND repo_date <= report_month"
 
 
-@query("cohort_performance", STOCK_SQL + "SELECT " + columns(
+@pack_query("cohort_performance", "SELECT " + columns(
     REPORT_MONTH,
     "CAST(year(la.contract_date) AS VARCHAR) || ' Q' || CAST(quarter(la.contract_date) AS VARCHAR)"
     " AS vintage",
@@ -638,6 +686,40 @@ def cohort_performance(t):
     return stock.cohort_performance(stock_rows(t), t["loan_agreements"], MONTH)
 
 
+PACK_PARTS = {"roll_rate_matrix": "opening", "cohort_performance": "vintage"}
+PACK_NAMES = {"roll_rates": "roll_rate_matrix"}
+
+
+def _pack_sql() -> str:
+    parts = []
+    for name, body in PACK_SQL.items():
+        part = PACK_PARTS.get(name)
+        other = f"CAST({part} AS VARCHAR)" if part else "CAST(NULL AS VARCHAR)"
+        out = f", {part}" if part else ""
+        parts.append(
+            f"SELECT '{name}' AS report, {other} AS part, metric, round(value, 6) AS value FROM ("
+            f"UNPIVOT (SELECT report_month{out}, CAST(COLUMNS(* EXCLUDE (report_month{out})) AS DOUBLE) "
+            f"FROM ({body}) b) t ON COLUMNS(* EXCLUDE (report_month{out})) INTO NAME metric VALUE value) u "
+            "WHERE value IS NOT NULL")
+    return STOCK_SQL + " UNION ALL ".join(parts)
+
+
+@query("monthly_pack", _pack_sql())
+def monthly_pack(t):
+    """All reports of the month from one pass, as rows of report, part, metric and value."""
+    pack = stock.monthly_pack(stock_rows(t), t["loan_agreements"], t["loan_timeline"], MONTH)
+    rows = []
+    for report, df in pack.items():
+        name = PACK_NAMES.get(report, report)
+        part = PACK_PARTS.get(name)
+        values = [c for c in df.columns if c not in ("report_month", part)]
+        rows.append(df.select(
+            F.lit(name).alias("report"), (F.col(part) if part else F.lit(None).cast("string")).alias("part"),
+            F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                               for c in values]))))
+    return reduce(lambda a, b: a.unionByName(b), rows).filter("value is not null")
+
+
 # ---------------------------------------------------------------- forbearance book
 
 
@@ -742,14 +824,13 @@ BALANCE_BY_MONTH = columns(*[
     f"sum(capital_balance) FILTER (WHERE date = DATE '{day}') AS bal_{m}" for m, day in MONTHS_SQL.items()])
 HOLIDAY_SQL = f"""
     WITH windows AS ({_windows_sql()}),
-    before AS (SELECT w.agreement_code, {ARREARS_SQL} AS pre_arr FROM windows w
-               JOIN loan_timeline lt ON lt.agreement_code = w.agreement_code
-                                    AND lt.date = w.first_fb_start_date),
-    monthly AS (SELECT agreement_code, {ARREARS_BY_MONTH}, {BALANCE_BY_MONTH},
-                       count(*) FILTER (WHERE date IN ({", ".join(f"DATE '{v}'" for v in MONTHS_SQL.values())}))
-                         AS seen
-                FROM loan_timeline WHERE agreement_code IN (SELECT agreement_code FROM forbearance)
-                GROUP BY agreement_code HAVING seen > 0),
+    seen AS (SELECT w.agreement_code, {ARREARS_BY_MONTH}, {BALANCE_BY_MONTH},
+                    count(*) FILTER (WHERE date IN ({", ".join(f"DATE '{v}'" for v in MONTHS_SQL.values())}))
+                      AS months,
+                    max({ARREARS_SQL}) FILTER (WHERE date = first_fb_start_date) AS pre_arr
+             FROM windows w JOIN loan_timeline lt USING (agreement_code) GROUP BY w.agreement_code),
+    before AS (SELECT agreement_code, pre_arr FROM seen),
+    monthly AS (SELECT * EXCLUDE (months, pre_arr) FROM seen WHERE months > 0),
     exits AS (SELECT e.agreement_code, e.type, e.sd_date, lt.capital_balance AS sd_balance
               FROM (SELECT agreement_code, type, min(date) AS sd_date FROM settlements_and_defaults
                     WHERE type <> 'Unwind' AND agreement_code IN (SELECT agreement_code FROM windows)
