@@ -13,6 +13,7 @@ import re
 from functools import lru_cache
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -51,6 +52,8 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmno
 
 RANK = {word: rank for rank, word in reversed(list(enumerate(WORDS, 1)))}
 LONGEST_WORD = max(map(len, WORDS))
+SHORTEST_WORD = 3      # shorter ones are no cheaper than their characters
+WORD_STARTS = {word[:SHORTEST_WORD] for word in WORDS if len(word) >= SHORTEST_WORD}
 PLAIN = str.maketrans("@$013457!", "asoleasti")
 WALK_STEPS = {a + b for row in KEY_ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
 DATE = re.compile(
@@ -61,6 +64,9 @@ SEGMENT_BITS = 1.0     # choosing where a segment ends
 WALK_BITS = 4.0        # start and direction of a keyboard walk
 LONGEST_UNIT = 16      # characters of a repeated unit
 CACHED_VALUE = 256     # costs of longer values are not remembered
+#: Characters at the end of a value in which a label of what follows may start: longer than any
+#: label with its separators and "bearer".
+LABEL_REACH = 48
 
 
 def alphabet(value: str) -> int:
@@ -89,6 +95,8 @@ def _best_start(starts: list[tuple[int, float]], end: int, added: tuple[int, flo
     while starts and starts[-1][1] >= added[1]:
         starts.pop()
     starts.append(added)
+    if len(starts) == 1:
+        return added[1] + log2(end - added[0])
     least, kept = float("inf"), []
     for start, cost in starts:
         bits = cost + log2(end - start)
@@ -99,16 +107,34 @@ def _best_start(starts: list[tuple[int, float]], end: int, added: tuple[int, flo
     return least
 
 
+def _repeats(value: str) -> dict[int, list[tuple[int, bool]]]:
+    """Where repeats of units of up to ``LONGEST_UNIT`` characters may end.
+
+    By end: the units, and whether the stretch that repeats them begins to be long enough there.
+    """
+    codes, found = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32), {}
+    for unit in range(1, min(LONGEST_UNIT, len(codes) - 1) + 1):
+        ends = np.arange(unit + 1, len(codes) + 1)
+        same = codes[unit:] == codes[:-unit]
+        # characters up to each end that equal the one a unit before
+        run = ends - np.maximum.accumulate(np.where(same, unit, ends))
+        need = max(3, 2 * unit) - unit
+        for at in np.flatnonzero(run >= need).tolist():
+            found.setdefault(at + unit + 1, []).append((unit, bool(run[at] == need)))
+    return found
+
+
 def _cheapest_bits(value: str) -> float:
     n, lower = len(value), value.lower()
     plain = lower.translate(PLAIN) if len(lower) == n else lower
     if len(lower) != n:
         lower = plain = value
+    forms = ((lower, 0.0), (plain, 1.0)) if plain != lower else ((lower, 0.0),)
     per_char = log2(alphabet(value)) if n else 0.0
     best = [0.0] + [float("inf")] * n
     walk, walk_starts = 0, []                       # steps up to here; starts of the walk
-    same = [0] * (LONGEST_UNIT + 1)                 # characters up to here that repeat, by unit
-    starts: list[dict[int, list]] = [{} for _ in same]      # starts of the repeats, by remainder
+    repeats = _repeats(value)
+    starts: list[dict[int, list]] = [{} for _ in range(LONGEST_UNIT + 1)]   # of repeats, by remainder
 
     def begun(i: int) -> tuple[int, float]:
         return i, best[i] + (SEGMENT_BITS if i else 0.0)
@@ -121,28 +147,26 @@ def _cheapest_bits(value: str) -> float:
                 best[i] = min(best[i], _best_start(walk_starts, i, begun(i - 3)) + WALK_BITS)
         elif walk:
             walk, walk_starts = 0, []
-        for unit in range(1, min(LONGEST_UNIT, i - 1) + 1):
-            if value[i - 1] == value[i - 1 - unit]:
-                same[unit] += 1
-                length = max(3, 2 * unit)
-                if same[unit] >= length - unit:
-                    run = starts[unit].setdefault(i % unit, [])
-                    best[i] = min(best[i], _best_start(run, i, begun(i - length))
-                                  + unit * per_char - log2(unit))
-            elif same[unit]:
-                same[unit], starts[unit] = 0, {}
+        for unit, begins in repeats.get(i, ()):
+            if begins:
+                starts[unit] = {}
+            run = starts[unit].setdefault(i % unit, [])
+            best[i] = min(best[i], _best_start(run, i, begun(i - max(3, 2 * unit)))
+                          + unit * per_char - log2(unit))
         if i == n:
             break
         here = begun(i)[1]
         # a brute-force span of any length is a chain of single characters
         best[i + 1] = min(best[i + 1], best[i] + per_char)
-        for end in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for form, extra in ((lower, 0.0), (plain, 1.0)):
+        for form, extra in forms:
+            if form[i:i + SHORTEST_WORD] not in WORD_STARTS:
+                continue
+            for end in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
                 rank = RANK.get(form[i:end])
                 if rank:
                     case = 0.0 if value[i:end] == lower[i:end] else 1.0
                     best[end] = min(best[end], here + log2(rank) + extra + case)
-        date = DATE.match(value, i)
+        date = DATE.match(value, i) if value[i] in "0123456789" else None
         if date:
             bits = log2(365 * 120) if date.end() - i > 4 else log2(120)
             best[date.end()] = min(best[date.end()], here + bits)
@@ -165,19 +189,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def guessed_spans(text: str, min_bits: float) -> list[tuple[int, int, str]]:
     """Values in credential context that cost at least ``min_bits`` to guess.
 
-    A value that is cheap to guess, or that ends as a label does, may itself be the label of the
-    next one, so the search goes on from its start.
+    A value that is cheap to guess, or that ends as a label does, may end in the label of the next
+    one, so the search goes on from its last ``LABEL_REACH`` characters. What lies before them in a
+    cheap value is cheaper still and is not looked at again, so the time is linear in the text.
     """
     lower = text.lower()
     if not any(hint in lower for hint in HINTS):
         return []
     spans, at = [], 0
     while match := CONTEXT.search(text, at):
+        start, end = match.span(match.lastindex)
         value = match[match.lastindex]
         secret = guess_bits(value) >= min_bits
         if secret:
-            spans.append((*match.span(match.lastindex), "guess"))
-        at = match.end() if secret and value[-1] not in ":=" else match.start(match.lastindex)
+            spans.append((start, end, "guess"))
+        at = end if secret and value[-1] not in ":=" else max(start, end - LABEL_REACH)
     return spans
 
 

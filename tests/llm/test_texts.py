@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -271,6 +272,19 @@ def test_labels_as_values_hide_no_secret(text):
     assert text[spans[-1][0]:spans[-1][1]] == "Xk9#qL2!vT8z"
 
 
+@pytest.mark.parametrize("label", ["auth:", "key=", "pass:", "auth:key=pass:", "secret=", "api_key=token:"])
+def test_unspaced_labels_take_linear_time(label):
+    start = time.perf_counter()
+    secret_spans.guessed_spans(label * (100_000 // len(label)), 36)
+    assert time.perf_counter() - start < 6          # quadratic: half an hour
+
+
+def test_label_at_the_end_of_a_long_value_is_found():
+    text = "token: " + "ab" * 40 + "/auth: Xk9#qL2!vT8z"
+    spans = secret_spans.guessed_spans(text, 36)
+    assert text[spans[-1][0]:spans[-1][1]] == "Xk9#qL2!vT8z"
+
+
 def test_labels_as_values_end():
     assert secret_spans.guessed_spans("token: " * 2000 + "=" * 3000, 36) == []
 
