@@ -13,8 +13,8 @@
 
 An automaton meets the contexts of its own shard only: to send each to all documents would take
 shards times documents. A seed with more than ``CONTEXTS`` different contexts (a common passage in
-many surroundings) would not fit a shard; it is lengthened to whole windows, which are alike within
-their group and need no automaton.
+many surroundings) would not fit a shard; its windows are grouped by a hash of all their words
+instead, which are alike within a group and need no automaton.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ from .text import (
     CASED, SPACE, by_size, importable, mixed, run_hashes, stored, word_hashes, word_places)
 
 SEED = 12
-#: Different contexts of a seed, and contexts of a shard on average.
-CONTEXTS, SHARD = 500, 2000
+#: Different contexts of a seed, and contexts of a shard on average; a shard's automaton takes about
+#: 350 bytes for each of the 88 words of a context.
+CONTEXTS, SHARD = 4000, 2000
 _CHUNK = 1 << 14
 
 
@@ -113,17 +114,23 @@ def _raw(text: str | None) -> list[bytes]:
     return (text or "").encode().split()            # white space of ASCII, as bytes are split
 
 
-def _seeds(words: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
-    """Places of the seeds of all windows of all texts."""
+def _choices(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the seed of every run of ``length`` words, and the hashes of all seeds by place."""
     size = min(SEED, length)
     width, n = length - size + 1, len(words) - size + 1
     if n < width:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     places = np.arange(n)
     hashes = run_hashes(words, places, places + size)
     windows = np.lib.stride_tricks.sliding_window_view(hashes, width)
     chosen = np.concatenate([windows[k:k + _CHUNK].argmin(1) + np.arange(k, min(k + _CHUNK, len(windows)))
                              for k in range(0, len(windows), _CHUNK)])
+    return chosen, hashes
+
+
+def _seeds(words: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
+    """Places of the seeds of all windows of all texts."""
+    chosen, _ = _choices(words, length)
     room = np.repeat(bounds[1:], np.diff(bounds))[:len(chosen)] - np.arange(len(chosen))
     return np.unique(chosen[room >= length])
 
@@ -158,18 +165,12 @@ def _seeded(docs: DataFrame, length: int) -> DataFrame:
              "context array<bigint>, start array<int>, size array<int>")
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """Seeds that stand in two documents or more, and the first of these."""
-    return (found.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-            .filter("first < last").drop("last"))
-
-
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Words of the wanted contexts; for ``wide`` ones, a row without words for each window."""
+    """Words of the wanted contexts; for ``wide`` ones, the hash of each window with this seed."""
     kind = _kind(texts)
     id_type = to_arrow_schema(texts.select("doc_id").schema).field(0).type
     places = wanted.groupBy("key").agg(F.collect_set(
-        F.struct("wide", "seed", "context", "start", "size")).alias("places"))
+        F.struct("wide", "seed", "context", "start", "size", "last")).alias("places"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         done = set()                                # rows alike in id and text give the same
@@ -183,27 +184,27 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         continue
                     done.add(key)
                     texts, own = _raw(part["text"][k].as_py()), words[bounds[k]:bounds[k + 1]]
-                    windows: set[int] = set()
+                    if any(p["wide"] for p in places):
+                        chosen, hashes = _choices(own, length)
+                        seeds = hashes[chosen].view(np.int64)
                     for p in places:
                         start, stop = p["start"], p["start"] + p["size"]
-                        if p["wide"]:
-                            windows.update(range(start, stop - length + 1))
-                        else:
-                            out.append((False, p["seed"], p["context"], key, doc_id, start,
-                                        b" ".join(texts[start:stop]).decode()))
-                    at = np.array(sorted(windows), np.int64)
-                    hashes = run_hashes(own, at, at + length).view(np.int64).tolist()
-                    out += [(True, h, h, key, doc_id, s, None) for h, s in zip(hashes, at.tolist())]
-                types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.int32(), pa.string()]
+                        same = (p["seed"], p["context"], doc_id, p["last"])
+                        if not p["wide"]:
+                            out.append((*same, None, None, b" ".join(texts[start:stop]).decode()))
+                            continue
+                        at = start + np.flatnonzero(seeds[start:stop - length + 1] == p["seed"])
+                        windows = run_hashes(own, at, at + length).view(np.int64)
+                        out += [(*same, h, s, None) for h, s in zip(windows.tolist(), (at - start).tolist())]
+                types = [pa.int64(), pa.int64(), id_type, id_type, pa.int64(), pa.int32(), pa.string()]
                 columns = list(zip(*out)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types)],
-                    ["wide", "seed", "context", "key", "doc_id", "start", "words"])
+                    ["seed", "context", "doc_id", "last", "window", "low", "words"])
 
     importable(texts.sparkSession)
     return texts.join(places, "key").mapInArrow(
-        run, f"wide boolean, seed bigint, context bigint, key bigint, doc_id {kind}, start int, "
-             "words string")
+        run, f"seed bigint, context bigint, doc_id {kind}, last {kind}, window bigint, low int, words string")
 
 
 def _spans(references: DataFrame, length: int, shards: int) -> DataFrame:
@@ -284,34 +285,38 @@ def without_shared_passages(docs: DataFrame, length: int = 50) -> tuple[DataFram
     base = stored(_seeded(docs, length), "seeds")
     found = base.filter("doc_id is not null").select(
         "doc_id", "key", F.inline(F.arrays_zip("seed", "context", "start", "size")))
-    known = stored(_shared(found).select("seed"), "known_seeds")
+    known = stored(found.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                   .filter("first < last").select("seed"), "known_seeds")
     met = stored(found.join(known, "seed"), "shared_seeds")
+    # of equal contexts, the one in the first document; and the last document that has it
     contexts = stored(met.groupBy("seed", "context").agg(
-        F.min(F.struct("doc_id", "key", "start", "size")).alias("at")), "contexts")
-    many = stored(contexts.groupBy("seed").count().filter(F.col("count") > CONTEXTS).select("seed"),
-                  "wide_seeds")
-    narrow = contexts.join(many, "seed", "left_anti")
-    wanted = narrow.select(F.lit(False).alias("wide"), "seed", "context", "at.key", "at.start", "at.size")
-    wide = met.join(many.withColumn("wide", F.lit(True)), "seed", "left").filter("wide").select(
-        "wide", "seed", "context", "key", "start", "size")
+        F.min(F.struct("doc_id", "key", "start", "size")).alias("at"), F.max("doc_id").alias("last")),
+        "contexts")
+    many = stored(contexts.groupBy("seed").count().filter(F.col("count") > CONTEXTS)
+                  .select("seed", F.lit(True).alias("wide")), "wide_seeds")
+    wanted = contexts.join(many, "seed", "left").select(
+        F.coalesce("wide", F.lit(False)).alias("wide"), "seed", "context", "at.key", "at.start",
+        "at.size", "last")
     texts = stored(docs.join(met.select("key").distinct(), "key", "left_semi"), "texts")
-    cut = stored(_cut(texts, wanted.unionByName(wide), length), "cut")
+    cut = stored(_cut(texts, wanted, length), "cut")
 
-    references = cut.filter("not wide")
+    references = cut.filter("words is not null")
     shards = -(-references.count() // SHARD) or 1
-    spans = _spans(references.select("seed", "context", "doc_id", "words"), length, shards)
-    windows = cut.filter("wide").select("seed", "key", "doc_id", "start")
+    narrow = _spans(references.select("seed", "context", "doc_id", "words"), length, shards)
+    windows = cut.filter("window is not null")
     # stored, so that a hot window is split in the join, not bound to the task of its group
-    first_windows = stored(_shared(windows), "first_windows")
-    removed = (
-        met.join(spans, ["seed", "context"]).filter("first < doc_id")
-        .select("key", (F.col("start") + F.col("low")).alias("low"),
-                (F.col("start") + F.col("high")).alias("high"))
-        .unionByName(
-            windows.join(first_windows, "seed").filter("first < doc_id")
-            .select("key", F.col("start").alias("low"), (F.col("start") + length).alias("high")))
-        .groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    )
-    removed = stored(removed, "removed")
+    first_windows = stored(windows.groupBy("window").agg(
+        F.min("doc_id").alias("first"), F.max("last").alias("last")).filter("first < last").drop("last"),
+        "first_windows")
+    wide = windows.join(first_windows, "window").select(
+        "seed", "context", "low", (F.col("low") + length).alias("high"), "first")
+    # no more spans than a context has windows, no more for a document than it has words
+    spans = narrow.unionByName(wide).groupBy("seed", "context").agg(
+        F.collect_list(F.struct("low", "high", "first")).alias("spans"))
+    gone = F.transform(F.filter("spans", lambda s: s["first"] < F.col("doc_id")), lambda s: F.struct(
+        (F.col("start") + s["low"]).alias("low"), (F.col("start") + s["high"]).alias("high")))
+    removed = stored(
+        met.join(spans, ["seed", "context"]).select("key", gone.alias("spans")).filter(F.size("spans") > 0)
+        .groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "removed")
     whole = base.join(removed.select("key"), "key", "left_anti").select("doc_id", "n_words", "digest")
     return whole, _without(texts, removed)
