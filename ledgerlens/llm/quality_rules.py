@@ -22,7 +22,8 @@ from .text import gram_hashes, over_arrow
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-LETTERS = re.compile(r"[A-Za-zÀ-\U0010FFFF]")
+# letters of ASCII, and the first bytes in UTF-8 of all characters from U+00C0 on
+LETTERS = re.compile(rb"[A-Za-z\xC3-\xF4]")
 WINDOW = 5
 
 
@@ -86,7 +87,7 @@ class Features:
 
     @cached_property
     def n_letter_words(self) -> int:
-        return sum(LETTERS.search(w) is not None for w in self.text.split())
+        return sum(LETTERS.search(w) is not None for w in self.words)
 
 
 @dataclass(frozen=True)
