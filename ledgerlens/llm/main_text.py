@@ -4,8 +4,9 @@ A page is cut into blocks at block-level tags. Pass one labels each block: marku
 article text is bad; otherwise link density, stop-word density and length decide between ``good``,
 ``bad`` and, for blocks too short to tell, ``short``. Pass two gives every short block the label of
 its nearest decided neighbours. Blocks inside ``<article>`` or ``<main>`` are decided among
-themselves, from the prior that the author marked them as content; if there are good ones, nothing
-outside counts.
+themselves, from the prior that the author marked them as content. Where ``<main>`` has good ones,
+or articles hold at least half of all good text, nothing outside counts; where articles hold less,
+they are cards that point to other pages, and the text outside is the page's own.
 """
 
 from __future__ import annotations
@@ -42,6 +43,18 @@ BAD_NAMES = frozenset(
     "modal newsletter subscribe signup login share sharing social related recommended widget "
     "toolbar pagination pager copyright legal disclaimer complementary contentinfo search "
     "form tags skip".split())
+# Parts of a name that say how an element is laid out, not what it holds.
+LAYOUT_NAMES = frozenset(
+    "area bar block body bottom box container div group holder inner item items left list outer "
+    "right section top wrap wrapper".split())
+# First parts of names for furniture that is there or absent elsewhere.
+ABSENT_NAMES = frozenset("no not has with without".split())
+# Parts of names that speak of an article.
+ARTICLE_NAMES = frozenset("article post entry story".split())
+# Parts of names before which "header" means the heading of an article.
+HEADED_NAMES = ARTICLE_NAMES | {"content"}
+# Elements whose ``<header>`` is their own, not the site's.
+SECTION_TAGS = frozenset(("article", "main", "section"))
 # Names that hide an element, as they are.
 HIDDEN_NAMES = frozenset(("hidden", "visually-hidden"))
 # Frequent words of the four languages of the tables, plus their articles.
@@ -64,9 +77,8 @@ TOKEN = re.compile(
 # Elements that a new one of the same kind ends, past these elements only.
 SELF_ENDING = frozenset("p li tr td th dd dt option".split())
 INLINE_TAGS = frozenset("b i em strong span".split())
-# First parts of names that speak of the content, or of furniture that is absent.
-KEEP_NAMES = frozenset("no not has with without article post entry content main story text".split())
 ATTRIBUTE = re.compile(r"""([^\s"'/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 SPACE = re.compile(r"\s+")
 
@@ -79,30 +91,56 @@ class Block:
     linked: int      # characters of it inside links
     cut: bool        # inside page furniture
     main: bool       # inside the part marked as content
+    sole: bool       # and that part is ``<main>``
+
+
+def name_parts(token: str) -> list[str]:
+    """Words of a name: ``mainNav_left`` has three."""
+    return re.findall(r"[a-z]+", CAMEL.sub("-", token).lower())
 
 
 def names_furniture(token: str) -> bool:
-    """``ad``, ``comment-list`` and ``site_footer`` do; ``no-sidebar`` and ``article-header`` don't."""
-    if token in HIDDEN_NAMES:
+    """Does this name speak of page furniture?
+
+    The last part that is not about layout decides: ``ad``, ``post-comments`` and ``main-nav`` do,
+    and so does what starts with such a word (``comment-count``). ``no-sidebar`` speaks of an
+    element elsewhere, and ``entry-header`` of the heading of an article.
+    """
+    if token.lower() in HIDDEN_NAMES:
         return True
-    parts = [p for p in re.split(r"[^a-z]+", token) if p]
-    return bool(parts) and parts[0] not in KEEP_NAMES and (
-        parts[0] in BAD_NAMES or parts[-1] in BAD_NAMES)
+    parts = name_parts(token)
+    if not parts or parts[0] in ABSENT_NAMES:
+        return False
+    while len(parts) > 1 and parts[-1] in LAYOUT_NAMES:
+        parts.pop()
+    if parts[-1] == "header" and not HEADED_NAMES.isdisjoint(parts):
+        return False
+    return parts[0] in BAD_NAMES or parts[-1] in BAD_NAMES
+
 
+def furniture(tag: str, attributes: str, sectioned: bool) -> tuple[bool, bool]:
+    """Does this element hold page furniture, and is it a part whose header is its own?
 
-def furniture(tag: str, attributes: str) -> bool:
-    """Does this element hold page furniture, by its tag or by its names?"""
+    A ``<header>`` outside all such parts (``sectioned`` is false) is the site's, unless its name
+    says that it heads an article.
+    """
+    own = tag in SECTION_TAGS
     if tag in BAD_TAGS:
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "style" and NO_DISPLAY.search(value):
-            return True
-        if name in ("class", "id", "role") and any(map(names_furniture, value.split())):
-            return True
-    return False
+        return True, own
+    if tag in ("html", "body"):
+        return False, own
+    named = heads = False
+    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "style" and NO_DISPLAY.search(value.lower()):
+            return True, own
+        if name in ("class", "id", "role"):
+            tokens = value.split()
+            named = named or any(map(names_furniture, tokens))
+            heads = heads or any(not ARTICLE_NAMES.isdisjoint(name_parts(t)) for t in tokens)
+    # what the author marked as the page's main part is no furniture by its layout's name
+    cut = named and tag != "main" or tag == "header" and not (sectioned or heads)
+    return cut, own or heads and not cut
 
 
 def after_flat(page: str, tag: str, at: int) -> int:
@@ -134,7 +172,8 @@ def blocks_of(page: str) -> list[Block]:
     """Cut a page into blocks; tolerates tags that are never closed and pages that break off."""
     found: list[Block] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool]] = []   # open elements that matter, and whether each is furniture
+    # open elements that matter: tag, is it furniture, is a header in it its own
+    stack: list[tuple[str, bool, bool]] = []
     linked = links = at = 0
     nested: dict[int, int] | None = None
 
@@ -142,8 +181,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            found.append(Block(text, linked, any(cut for _, cut in stack),
-                               any(t in MAIN_TAGS for t, _ in stack)))
+            found.append(Block(text, linked, any(cut for _, cut, _ in stack),
+                               any(t in MAIN_TAGS for t, _, _ in stack),
+                               any(t == "main" for t, _, _ in stack)))
         pieces.clear()
         linked = 0
 
@@ -182,14 +222,14 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             end(tag)
         elif tag:
-            cut = furniture(tag, match[3])
+            cut, own = furniture(tag, match[3], any(o for _, _, o in stack))
             if tag in BLOCK_TAGS or cut:
                 close()
                 links = 0
             if tag in SELF_ENDING:
                 end(tag, INLINE_TAGS)
             if (tag in BLOCK_TAGS or cut) and tag not in VOID_TAGS and not match[0].endswith("/>"):
-                stack.append((tag, cut))
+                stack.append((tag, cut, own))
             links += tag == "a"
     close()
     return found
@@ -235,14 +275,25 @@ def settled(labels: list[str], main: list[bool]) -> list[str]:
     return out
 
 
+def marked_part(blocks: list[Block], labels: list[str], min_share: float) -> bool:
+    """Is the part marked as content the page's main text?
+
+    It is if ``<main>`` has good blocks, or if articles hold ``min_share`` of the good text.
+    """
+    good = [b for b, label in zip(blocks, labels) if label == "good"]
+    inside = sum(len(b.text) for b in good if b.main)
+    return any(b.sole for b in good) or inside >= min_share * sum(len(b.text) for b in good)
+
+
 def extract(page: str | None, max_link_density: float = 0.5, min_stop_words: float = 0.05,
-            short_chars: int = 60) -> str:
+            short_chars: int = 60, min_marked_share: float = 0.5) -> str:
     """Main text of one page, blocks joined by a line break; empty if there is none."""
     blocks = blocks_of(page or "")
     labels = settled(first_labels(blocks, max_link_density, min_stop_words, short_chars),
                      [b.main for b in blocks])
     if any(b.main and label == "good" for b, label in zip(blocks, labels)):
-        labels = [label if b.main else "bad" for b, label in zip(blocks, labels)]
+        side = marked_part(blocks, labels, min_marked_share)
+        labels = [label if b.main == side else "bad" for b, label in zip(blocks, labels)]
     return "\n".join(b.text for b, label in zip(blocks, labels) if label == "good")
 
 

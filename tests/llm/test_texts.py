@@ -119,6 +119,8 @@ def test_quality_counts():
     assert quality_rules.Features("a a a a a a").n_repeat_words == 6
     assert quality_rules.Features("a a a a a").n_repeat_words == 0
     assert quality_rules.Features(None).n_words == 0
+    # a no-break space does not end a word; signs below U+00C0 are no letters, letters above are
+    assert quality_rules.Features("a\xa0b \xb2\xbf\x85 \xe9 \u4e2d 1").n_letter_words == 3
 
 
 def test_cascade_order_puts_cheap_rejections_first():
@@ -345,6 +347,95 @@ def test_unclosed_elements_that_are_never_shown(raw):
     assert main_text.extract(f"<article><p>One is the first.</p>{raw}<p>x</p></article>") == "One is the first."
 
 
+LONG = "The cat is on the mat and it was there for a long time with the dog."
+
+
+@pytest.mark.parametrize("name, cut", [
+    ("ad", True), ("post-comments", True), ("entry-comments", True), ("content-sidebar", True),
+    ("main-nav", True), ("mainNav", True), ("post-comments-area", True), ("comment-body", True),
+    ("site_header", True), ("comment-count", True), ("sidebar left", True), ("story-promo-box", True),
+    ("no-sidebar", False), ("with-comments", False), ("article-header", False),
+    ("entry-header-wrapper", False), ("post-content", False), ("main", False), ("mainContent", False),
+    ("list-group", False), ("top", False), ("shadow", False), ("h-entry", False)])
+def test_names_of_furniture(name, cut):
+    page = f"<article><p>{LONG}</p><div class='{name}'><p>{LONG} Again.</p></div></article>"
+    assert main_text.extract(page) == LONG + ("" if cut else f"\n{LONG} Again.")
+
+
+@pytest.mark.parametrize("before, kept", [
+    ("<header><h1>Site</h1><p>{0}</p></header>", False),
+    ("<div id=page><header class=top><p>{0}</p></header></div>", False),
+    ("<header class=entry-header><p>{0}</p></header>", True),
+    ("<div class='blog-post'><header><p>{0}</p></header></div>", True),
+    ("<section><header><p>{0}</p></header></section>", True)])
+def test_site_headers_go_and_headings_of_articles_stay(before, kept):
+    title = "It is a heading that says what the text below is about, and how."
+    page = f"<body>{before.format(title)}<div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert main_text.extract(page) == "\n".join([title] * kept + [LONG] * 2)
+    inside = f"<article><header><h1>{title}</h1></header><p>{LONG}</p></article>"
+    assert main_text.extract(inside) == f"{title}\n{LONG}"
+
+
+def test_a_card_does_not_stand_for_the_text_around_it():
+    body = "".join(f"<p>{LONG} {k}.</p>" for k in range(5))
+    card = "<article><h3>More</h3><p>This is the start of the other story, which you can read on.</p></article>"
+    plain = "\n".join(f"{LONG} {k}." for k in range(5))
+    assert main_text.extract(f"<div>{body}</div>{card}") == plain
+    assert main_text.extract(f"{card}<div>{body}</div>{card}") == plain
+    assert main_text.extract(f"<article>{body}</article><div><p>{LONG}</p></div>") == plain
+    # what stands in <main> is the page's text, however short
+    assert main_text.extract(f"<main><p>{LONG}</p></main><div>{body}</div>") == LONG
+    assert main_text.extract(f"<main class=sidebar-left><p>{LONG}</p></main>") == LONG
+
+
+def plain_main_text(blocks):
+    """Two passes as the docstring says them, by looking at every pair of blocks."""
+    def first(b):
+        words = b.text.lower().split()
+        stops = [w for w in words if w.strip(".,;:!?()\"'") in main_text.STOP_WORDS]
+        if b.cut:
+            return "cut"
+        if 2 * b.linked > len(b.text):
+            return "short" if b.main else "bad"
+        if len(b.text) < 60:
+            return "short"
+        return "good" if b.main or 20 * len(stops) >= len(words) else "bad"
+
+    labels, out = [first(b) for b in blocks], []
+    for k, b in enumerate(blocks):
+        own = [j for j, o in enumerate(blocks) if o.main == b.main and labels[j] != "cut"]
+        near = [(abs(own.index(j) - own.index(k)), j) for j in own if labels[j] != "short"] \
+            if labels[k] == "short" else []
+        out.append(labels[k] if labels[k] != "short" else labels[min(near)[1]] if near
+                   else "good" if b.main else "bad")
+    size = {side: sum(len(b.text) for b, x in zip(blocks, out) if x == "good" and b.main == side)
+            for side in (True, False)}
+    sole = any(b.sole and x == "good" for b, x in zip(blocks, out))
+    side = size[True] > 0 and (sole or size[True] >= size[False])
+    return "\n".join(b.text for b, x in zip(blocks, out) if x == "good" and b.main == side)
+
+
+def test_both_passes_against_all_pairs(spark):
+    draw = np.random.default_rng(7)
+    pieces = ["Short.", LONG, "Zxq vbn mkl " * 8, "<a href=x>" + "read of it and on " * 5 + "</a>",
+              "See <a href=x>it</a>", ""]
+    tags = ["p", "p", "p", "div class=ad", "article", "article", "section", "main"]
+    pages = []
+    for n in range(300):
+        page = ""
+        for _ in range(draw.integers(1, 9)):
+            tag = tags[draw.integers(len(tags) - (n % 2))]
+            body = "".join(f"<p>{pieces[draw.integers(len(pieces))]}</p>" for _ in range(draw.integers(1, 5)))
+            page += f"<{tag}>{body}</{tag.split()[0]}>"
+        pages.append((n, "u", page))
+    pages += [(None, None, None), (5, "again", ""), (7, "u", pages[7][2]), (7, "u", pages[7][2])]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("text", F.lit("mine"))
+    got = main_text.main_text(df).collect()
+    assert sorted((str(r.page_id), str(r.url), r.text) for r in got) == sorted(
+        (str(i), str(u), plain_main_text(main_text.blocks_of(h or ""))) for i, u, h in pages)
+    assert len({r.text for r in got}) > 100
+
+
 def test_main_text_keeps_whole_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in main_text.main_text(pages).collect()}
