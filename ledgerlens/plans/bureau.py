@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..functions.numeric import clean_numeric, ratio, safe_ratio
 from ..operators.joins import at_own_date
+from ..sources.tables import dimension
 
 Tables = Mapping[str, DataFrame]
 
@@ -44,22 +45,22 @@ def _first_payment_terms(t: Tables) -> DataFrame:
 
 
 def _scores(t: Tables) -> DataFrame:
-    return t["credit_score_summary"].withColumnRenamed("application_id", "opportunity_id")
+    return dimension(t, "credit_score_summary").withColumnRenamed("application_id", "opportunity_id")
 
 
 def _funnel(t: Tables) -> DataFrame:
-    return t["funnel_summary"].select(
+    return dimension(t, "funnel_summary").select(
         F.col("loan_application_id").alias("opportunity_id"), "affordability_gross_salary",
         "max_monthly_allowance", *DECISIONS)
 
 
 def _link(t: Tables) -> DataFrame:
-    return t["opportunity_link"].select("opportunity_id", "applicant_id",
+    return dimension(t, "opportunity_link").select("opportunity_id", "applicant_id",
                                         F.col("created_date").alias("app_date"))
 
 
 def _loans(t: Tables) -> DataFrame:
-    return t["loan_agreements"].select("agreement_code", "opportunity_id", "contract_date",
+    return dimension(t, "loan_agreements").select("agreement_code", "opportunity_id", "contract_date",
                                        "total_finance_amount")
 
 
@@ -72,15 +73,15 @@ def bureau_forward(t: Tables, searched_after: dt.date) -> DataFrame:
     responses = t["bureau_response"].withColumnsRenamed(
         {f"public_{f}" if f in PUBLIC_FIELDS else f"partial_{f}": f
          for f in COURT_AND_DEFAULT_FIELDS} | {"score_main_jf": "main_jf"})
-    applicants = t["applicant"].select(F.col("id").alias("applicant_id"), "current_age")
-    opportunities = t["opportunity"].select(F.col("id").alias("opportunity_id"))
+    applicants = dimension(t, "applicant").select(F.col("id").alias("applicant_id"), "current_age")
+    opportunities = dimension(t, "opportunity").select(F.col("id").alias("opportunity_id"))
     loans = at_own_date(_loans(t), _first_payment_terms(t), "agreement_code", "contract_date",
                         "inner")
     rows = (
         loans.join(searches, "opportunity_id").join(_link(t), "opportunity_id")
         .join(_funnel(t), "opportunity_id").join(opportunities, "opportunity_id")
         .join(_scores(t), "opportunity_id")
-        .join(t["credit_search_requests"], "pipeline_uuid")
+        .join(dimension(t, "credit_search_requests"), "pipeline_uuid")
         .join(responses, "credit_search_id")
         .join(applicants, "applicant_id")
         .withColumn("debt", clean_numeric(F.col("full_debt_tm"), V.BUREAU_SENTINELS))
@@ -101,9 +102,9 @@ def bureau_back(t: Tables) -> DataFrame:
     """
     retro = (
         t["global_search"].withColumnRenamed("id", "global_search_id")
-        .join(t["retro_public"], "global_search_id", "left")
-        .join(t["retro_partial"], "global_search_id", "left")
-        .join(t["retro_score"], "global_search_id", "left")
+        .join(dimension(t, "retro_public"), "global_search_id", "left")
+        .join(dimension(t, "retro_partial"), "global_search_id", "left")
+        .join(dimension(t, "retro_score"), "global_search_id", "left")
         .drop("global_search_id")
     )
     loans = at_own_date(_loans(t), _first_payment_terms(t), "agreement_code", "contract_date",

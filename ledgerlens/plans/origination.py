@@ -14,6 +14,7 @@ from ..functions.dates import age_from_dob, months_diff, whole_years
 from ..functions.numeric import bands, floor_to, lookup, ratio
 from ..operators.joins import between_dates, left_join_many
 from ..operators.reshape import with_total
+from ..sources.tables import dimension
 
 Tables = Mapping[str, DataFrame]
 
@@ -64,12 +65,12 @@ def application_funnel(t: Tables, start: dt.date, end: dt.date, by_channel: bool
     keys = ["month_end"]
     if by_channel:
         keys.append("introducer_channel")
-        channel = introducer_channel(t["applications"], t["dealer_dim"])
+        channel = introducer_channel(t["applications"], dimension(t, "dealer_dim"))
         apps = apps.join(channel.withColumnRenamed("application_id", "loan_application_id"),
                          "loan_application_id", "left")
-    loans = t["loan_agreements"].select(
+    loans = dimension(t, "loan_agreements").select(
         F.col("opportunity_id").alias("loan_application_id"), "total_finance_amount")
-    opportunities = t["opportunity"].select(
+    opportunities = dimension(t, "opportunity").select(
         F.col("id").alias("loan_application_id"), "finance_amount")
     rows = (
         apps.join(loans, "loan_application_id", "left")

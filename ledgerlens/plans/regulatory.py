@@ -12,6 +12,7 @@ from .. import values as V
 from ..functions.aggregates import sum_if
 from ..operators.history import top_per_key
 from ..operators.joins import on_date
+from ..operators.newest import advanced_newest, newest_rows
 from ..operators.reshape import side_by_side
 
 Tables = Mapping[str, DataFrame]
@@ -148,6 +149,32 @@ def missed_not_cured(timeline: DataFrame, report_date: dt.date, days: int = WEEK
         F.count("agreement_code").alias("number_of_loans_missing"))
 
 
+MISSED_COLUMNS = ("capital_balance", "arrears", "arrears_yesterday", "days_since_last_payment_date")
+
+
+def arrears_state(timeline: DataFrame, until: dt.date, days: int = WEEK) -> DataFrame:
+    """Newest rows of every loan up to a date, as many as ``missed_not_cured`` looks at."""
+    return newest_rows(timeline.filter(F.col("date") <= F.lit(until)), "agreement_code", "date",
+                       MISSED_COLUMNS, days + 1)
+
+
+def advanced_arrears_state(state: DataFrame, timeline: DataFrame, until: dt.date,
+                           days: int = WEEK) -> DataFrame:
+    """The state of a later date from the last one and the days of the timeline since."""
+    return advanced_newest(state, timeline, "agreement_code", "date", MISSED_COLUMNS, days + 1, until)
+
+
+def missed_from_state(state: DataFrame, report_date: dt.date, days: int = WEEK) -> DataFrame:
+    """``missed_not_cured`` from the arrears state of the report date, without the timeline."""
+    now = F.element_at("newest", 1)
+    since = now["days_since_last_payment_date"]
+    earlier = F.get(F.transform("newest", lambda row: row["arrears_yesterday"]), since.cast("int"))
+    missed = (now["date"] == F.lit(report_date)) & (since <= days) & (now["arrears"] > earlier)
+    return state.filter(missed).agg(
+        F.sum(now["capital_balance"]).alias("value_of_loans_missing"),
+        F.count("agreement_code").alias("number_of_loans_missing"))
+
+
 def declined_applications(applications: DataFrame, report_date: dt.date,
                           lookback_days: int = WEEK) -> DataFrame:
     """Applications declined after the start of the window, up to the date; one row."""
@@ -161,9 +188,13 @@ def declined_applications(applications: DataFrame, report_date: dt.date,
 
 
 def fca_weekly(t: Tables, report_date: dt.date, committed: Sequence[str],
-               lookback_days: int = WEEK) -> DataFrame:
-    """The 32 metrics of the weekly report, side by side in report order."""
+               lookback_days: int = WEEK, state: DataFrame | None = None) -> DataFrame:
+    """The 32 metrics of the weekly report, side by side in report order.
+
+    With the arrears ``state`` of the report date, the timeline is read for that date only.
+    """
     facility = facility_totals(facility_rows(t, report_date, committed, lookback_days))
-    missed = missed_not_cured(t["loan_timeline"], report_date)
+    missed = (missed_not_cured(t["loan_timeline"], report_date) if state is None
+              else missed_from_state(state, report_date))
     declined = declined_applications(t["applications"], report_date, lookback_days)
     return side_by_side(facility, missed, declined).select(*V.WEEKLY_METRICS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..plans import (
-    bureau, forbearance, holidays, matching, origination, provision, regulatory, segments, stock)
+    bureau, checks, forbearance, holidays, matching, origination, provision, regulatory, segments, stock)
 from ..plans.calendar import report_calendar
 from ..sources.tables import materialize
 from . import query
@@ -512,6 +512,18 @@ def stock_position(t):
     return stock.stock_position(t, CALENDAR, INSURANCE_SINCE, BAD_SNAPSHOTS)
 
 
+@query("stock_position_counts", POSITION_ROWS_SQL + "SELECT " + columns(
+    n("count(*)", "rows"), n("count(DISTINCT (agreement_code, report_month))", "keys"),
+    n("count(*) FILTER (WHERE agreement_code IS NULL OR report_month IS NULL)", "null_keys"),
+    n("count(*) - count(type)", "null_type"),
+    n("count(*) - count(crystalised_from)", "null_crystalised_from")) + " FROM stock")
+def stock_position_counts(t):
+    report, watch = checks.watched(stock_rows(t), ["agreement_code", "report_month"],
+                                   nulls_of=["type", "crystalised_from"])
+    materialize(report, "stock_position")
+    return watch.frame(t.spark)
+
+
 # The history as it was known at the closing snapshot
 KNOWN_SQL = "known_history AS (SELECT * FROM status_history WHERE dateat <= '1998-04-01')"
 
@@ -989,6 +1001,17 @@ def missed_not_cured(t):
     return regulatory.missed_not_cured(t["loan_timeline"], MONTH)
 
 
+@query("missed_from_state", "SELECT " + columns(
+    _as_output("value_of_loans_missing"), _as_output("number_of_loans_missing")) + f" FROM ({MISSED_SQL}) m")
+def missed_from_state(t):
+    """Last week's state, stored, and the week since."""
+    timeline = t["loan_timeline"]
+    last_week = materialize(
+        regulatory.arrears_state(timeline, MONTH - dt.timedelta(days=regulatory.WEEK)), "arrears")
+    return regulatory.missed_from_state(
+        regulatory.advanced_arrears_state(last_week, timeline, MONTH), MONTH)
+
+
 @query("declined_applications", "SELECT " + columns(
     x("sum_finance_declined", "sum_finance_declined"), _as_output("number_declined"))
        + f" FROM ({DECLINED_SQL}) d")
@@ -1070,18 +1093,33 @@ def bureau_forward(t):
     return bureau.bureau_forward(t, SEARCHED_AFTER)
 
 
-@query("bureau_back", _bureau_select("""
+BUREAU_BACK_SQL = _bureau_select("""
     LEFT JOIN global_search gs ON gs.opportunity_id = la.opportunity_id
     LEFT JOIN retro_public USING (global_search_id) LEFT JOIN retro_partial USING (global_search_id)
     LEFT JOIN retro_score USING (global_search_id)
     LEFT JOIN opportunity_link k ON k.opportunity_id = la.opportunity_id
     LEFT JOIN funnel_summary fs ON fs.loan_application_id = k.opportunity_id""".replace(
         "global_search gs", "(SELECT id AS global_search_id, opportunity_id FROM global_search) gs"),
-    "", "", "main_jf"))
+    "", "", "main_jf")
+
+
+@query("bureau_back", BUREAU_BACK_SQL)
 def bureau_back(t):
     return bureau.bureau_back(t)
 
 
+@query("bureau_back_counts", "SELECT " + columns(
+    n("count(*)", "rows"), n("count(DISTINCT agreement_code)", "keys"),
+    n("count(*) - count(agreement_code)", "null_keys"), n("count(*) - count(bur_score)", "null_bur_score"),
+    n("count(*) - count(gross_salary)", "null_gross_salary")) + f" FROM ({BUREAU_BACK_SQL}) r")
+def bureau_back_counts(t):
+    """Counts that arrive with the report, which is written once."""
+    report, watch = checks.watched(bureau.bureau_back(t), ["agreement_code"],
+                                   nulls_of=["bur_score", "gross_salary"])
+    materialize(report, "bureau_back")
+    return watch.frame(t.spark)
+
+
 # the join-heavy feature table doubles as the star-join example
 @query("bureau_features", _bureau_select("""
     JOIN opportunity_link k ON k.opportunity_id = la.opportunity_id

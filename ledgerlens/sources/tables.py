@@ -5,8 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # One DDL schema per input table. Delimited files are read with these, never inferred.
 SCHEMAS: dict[str, str] = {
@@ -108,6 +112,7 @@ class Tables(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._open: dict[str, DataFrame] = {}
+        self._small: dict[str, bool] = {}
 
     def _read(self, name: str) -> DataFrame:
         raise NotImplementedError
@@ -128,6 +133,45 @@ class Tables(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(self._names())
 
+    def file_bytes(self, name: str) -> int | None:
+        """Size of a table's files by the file system; None where it has no files of its own."""
+        return None
+
+    def small(self, name: str, file_limit: int = 8 << 20, limit: int = 32 << 20) -> bool:
+        """May a table be broadcast? Asked of the file system first, then of the rows.
+
+        Files can hold far more than their size, so those within ``file_limit`` are read once to
+        add up what their rows take. The answer is kept as long as this object.
+        """
+        if name not in self._small:
+            size = self.file_bytes(name)
+            self._small[name] = (size is not None and size <= file_limit
+                                 and (row_bytes(self[name]) or limit + 1) <= limit)
+        return self._small[name]
+
+
+def row_bytes(df: DataFrame) -> int | None:
+    """What the rows take in memory, about; None if there are columns of nested types."""
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema):
+        return None
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    length = reduce(add, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts], F.lit(0))
+    # a row has a header of 16 bytes and 16 a column, decimals and text padding included
+    return df.agg(F.count(F.lit(1)) * (16 + 16 * len(df.columns))
+                  + F.coalesce(F.sum(length), F.lit(0)) + 1).first()[0]
+
+
+def dimension(t: Mapping[str, DataFrame], name: str) -> DataFrame:
+    """A table for the other side of a join with facts: broadcast if it is measured to be small."""
+    return F.broadcast(t[name]) if isinstance(t, Tables) and t.small(name) else t[name]
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a path, by one request to its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.getContentSummary(target).getLength()
+
 
 class ParquetTables(Tables):
     """Domain tables stored as ``<root>/<name>``, in parquet."""
@@ -139,6 +183,9 @@ class ParquetTables(Tables):
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
+    def file_bytes(self, name: str) -> int | None:
+        return stored_bytes(self.spark, f"{self.root}/{name}")
+
 
 class CatalogTables(Tables):
     """Domain tables registered in a catalog schema."""
@@ -150,6 +197,11 @@ class CatalogTables(Tables):
     def _read(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.schema}.{name}")
 
+    def file_bytes(self, name: str) -> int | None:
+        details = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.schema}.{name}").where(
+            "col_name = 'Location'").first()
+        return stored_bytes(self.spark, details["data_type"]) if details else None
+
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Delimited file with a header line, under an explicit schema; a value that does not fit fails."""
