@@ -7,31 +7,32 @@ hits, the longest unmarked common runs become tiles and are marked, then the nex
 the seed length. The share of an item's words under tiles is its coverage; since tiles may come in
 any order, a passage whose sentences were moved around is found as well.
 
-Test items are read in blocks of a proven size, each sent to the executors whole; documents are
-scanned once a block, nothing is shuffled, and no document ever meets another.
+Different item texts are read in blocks of a proven size, each sent to the executors whole, used
+and released; documents are scanned once a block and never meet each other.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NO_ALNUM, gram_hashes, hashed_words, over_arrow, through_arrow
+from .text import NO_ALNUM, gram_hashes, hashed_words, over_arrow, stored, through_arrow
 
-BLOCK_CHARS = 16_000_000     # characters of test items that are sent to the executors at a time
+BLOCK_CHARS = 8_000_000      # characters of test items that are sent to the executors at a time
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TABLE_BITS = 22              # bits of the table that rules out most words at one look
 
 
 class Seeds:
     """Items of a block, their word hashes, and where each seed stands."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], seed_words: int):
-        items = [(k, t) for k, t in items if t is not None]
+    def __init__(self, items: list[tuple[tuple, str]], seed_words: int):
         hashes, bounds = hashed_words(pa.array([t for _, t in items], pa.string()), NO_ALNUM)
         self.ids = [k for k, _ in items]
         self.words = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -58,79 +59,118 @@ class Seeds:
         return maybe[found]
 
 
-def tiles(text: np.ndarray, item: np.ndarray, starts: list[tuple[int, int]],
-          least: int) -> list[tuple[int, int, int]]:
+def common_runs(places: np.ndarray, found: list[np.ndarray], size: int
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal common runs of a text and an item: place in text less place in item, place in item, length.
+
+    ``places`` are the places of the item at which seeds of ``size`` words stand that the text also
+    holds, ascending; ``found`` has the ascending places in the text for each. Memory grows with the
+    runs, not with the pairs of places.
+    """
+    shifts, starts, done = np.empty(0, np.int64), np.empty(0, np.int64), []
+    last = -2
+    for j, at in zip(places.tolist(), found):
+        now = at - j
+        begun = np.full(len(now), j)
+        if j == last + 1 and len(shifts):
+            near = np.minimum(np.searchsorted(shifts, now), len(shifts) - 1)
+            goes_on = shifts[near] == now
+            begun[goes_on] = starts[near[goes_on]]
+            ends = np.ones(len(shifts), bool)
+            ends[near[goes_on]] = False
+        else:
+            ends = np.ones(len(shifts), bool)
+        done.append((shifts[ends], starts[ends], last + size - starts[ends]))
+        shifts, starts, last = now, begun, j
+    done.append((shifts, starts, last + size - starts))
+    return tuple(np.concatenate(column) for column in zip(*done))
+
+
+def _without(runs, low, high, least: int):
+    """What is left of runs outside [low, high) of the item, in pieces of ``least`` words or more."""
+    shift, start, n = runs
+    after = np.maximum(start, high)
+    before_n, after_n = np.minimum(n, low - start), start + n - after
+    a, b = before_n >= least, after_n >= least
+    return (np.concatenate([shift[a], shift[b]]), np.concatenate([start[a], after[b]]),
+            np.concatenate([before_n[a], after_n[b]]))
+
+
+def tiles(runs: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in text, place in item, length) of each tile.
 
-    ``starts`` has all pairs of places where at least ``least`` words agree. Ties go to the earlier
-    place in the item, then in the text.
+    ``runs`` are all maximal common runs of at least ``least`` words. Ties go to the earlier place
+    in the item, then in the text.
     """
-    marked_text: set[int] = set()
-    marked_item = np.zeros(len(item), bool)
     found = []
-    open_starts = set(starts)
-    while open_starts:
-        longest, best = least, []
-        for i, j in open_starts:
-            before = (i - 1, j - 1)
-            if before in open_starts and not marked_item[j - 1] and i - 1 not in marked_text:
-                continue                        # part of a longer run that starts earlier
-            k = 0
-            while (i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k]
-                   and not marked_item[j + k] and i + k not in marked_text):
-                k += 1
-            if k > longest:
-                longest, best = k, [(j, i)]
-            elif k == longest:
-                best.append((j, i))
-        if not best:
-            break
-        for j, i in sorted(best):
-            if not marked_item[j:j + longest].any() and not any(
-                    p in marked_text for p in range(i, i + longest)):
-                found.append((i, j, longest))
-                marked_item[j:j + longest] = True
-                marked_text.update(range(i, i + longest))
-        if marked_item.all():
-            break
-        open_starts = {(i, j) for i, j in open_starts
-                       if not marked_item[j] and i not in marked_text}
+    while len(runs[0]):
+        shift, start, n = runs
+        longest = int(n.max())
+        at = np.flatnonzero(n == longest)
+        j, i = start[at], start[at] + shift[at]
+        order = np.lexsort((i, j))
+        j, i = j[order], i[order]
+        while len(j):
+            tile_j, tile_i = int(j[0]), int(i[0])
+            found.append((tile_i, tile_j, longest))
+            apart = (np.abs(j - tile_j) >= longest) & (np.abs(i - tile_i) >= longest)
+            j, i = j[apart], i[apart]
+            runs = _without(runs, tile_j, tile_j + longest, least)
+            low = tile_i - runs[0]
+            runs = _without(runs, low, low + longest, least)
     return found
 
 
-def _compared(seeds: Seeds, words: np.ndarray, grams: np.ndarray, at: np.ndarray,
-              coverage: float) -> list[tuple]:
-    """Items whose words are covered enough by tiles in one text."""
-    starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    low = np.searchsorted(seeds.grams, grams[at], "left")
-    high = np.searchsorted(seeds.grams, grams[at], "right")
-    for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
-        for n, j in zip(seeds.item[a:b].tolist(), seeds.place[a:b].tolist()):
-            starts[n].append((i, j))
-    out = []
-    for n, pairs in starts.items():
-        item = seeds.words[n]
-        reach = np.zeros(len(item), bool)       # no tiling covers more than all seeds do
-        for _, j in pairs:
-            reach[j:j + seeds.seed_words] = True
-        if reach.sum() < coverage * len(item):
+def _compared(seeds: Seeds, grams: np.ndarray, at: np.ndarray, coverage: float) -> list[tuple]:
+    """Items whose words are covered enough by tiles in one text; ``at`` are its seeds' places."""
+    order = np.argsort(grams[at], kind="stable")
+    held, held_at = grams[at][order], at[order]
+    distinct = np.unique(held)
+    low = np.searchsorted(seeds.grams, distinct, "left")
+    count = np.searchsorted(seeds.grams, distinct, "right") - low
+    entry = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+    entry = entry[np.lexsort((seeds.place[entry], seeds.item[entry]))]
+    item, first = np.unique(seeds.item[entry], return_index=True)
+    size, out = seeds.seed_words, []
+    for n, own in zip(item.tolist(), np.split(entry, first[1:])):
+        words, places = len(seeds.words[n]), seeds.place[own]
+        reach = np.minimum(np.diff(places), size).sum() + size
+        if reach < coverage * words:            # no tiling covers more than all seeds do
             continue
-        found = tiles(words, item, pairs, seeds.seed_words)
+        a = np.searchsorted(held, seeds.grams[own], "left").tolist()
+        b = np.searchsorted(held, seeds.grams[own], "right").tolist()
+        found = tiles(common_runs(places, [held_at[x:y] for x, y in zip(a, b)], size), size)
         covered = sum(length for _, _, length in found)
-        if covered >= coverage * len(item):
-            out.append((seeds.ids[n], len(item), covered, covered / len(item), len(found),
+        if covered >= coverage * words:
+            out.append((*seeds.ids[n], words, covered, covered / words, len(found),
                         max(length for _, _, length in found)))
     return out
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block_chars: int):
-    """Lists of items, each of about ``block_chars`` characters at most."""
-    rows = bench.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // (block_chars // 2)))  # half, as hashing deals unevenly
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+def _items(bench: DataFrame, id_col: str, text_col: str, seed_words: int) -> DataFrame:
+    """Rows of test items that have a seed: item_id and text."""
+    return bench.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")) \
+        .where(F.regexp_count("text", F.lit(ITEM_WORD)) >= seed_words)
+
+
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list, bool]]:
+    """Different texts as ((item_id, key), text), at most ``block_chars`` characters at a time.
+
+    A longer text is a block of its own. Texts of several rows carry a key in place of their id. The
+    flag tells whether a block is the last. One partition is fetched at a time, so neither the
+    driver nor a worker ever holds all items.
+    """
+    texts = stored(items.groupBy("text").agg(
+        F.min("item_id").alias("item_id"), F.count("*").alias("n")), "items")
+    rows = texts.select("item_id", F.when(F.col("n") > 1, F.md5("text")).alias("key"), "text")
+    block, size = [], 0
+    for item_id, key, text in rows.toLocalIterator():
+        if block and size + len(text) > block_chars:
+            yield block, False
+            block, size = [], 0
+        block.append(((item_id, key), text))
+        size += len(text)
+    yield block, True
 
 
 def _found(seeds: Seeds, column: pa.Array, coverage: float) -> dict[int, list[tuple]]:
@@ -144,15 +184,25 @@ def _found(seeds: Seeds, column: pa.Array, coverage: float) -> dict[int, list[tu
     at, text = at[inside], text[inside]
     out = {}
     for k in np.unique(text).tolist():
-        a, b = bounds[k], bounds[k + 1]
-        out[k] = _compared(seeds, hashes[a:b], grams[a:], at[text == k] - a, coverage)
+        out[k] = _compared(seeds, grams[bounds[k]:], at[text == k] - bounds[k], coverage)
     return out
 
 
-def _sent(docs: DataFrame, bench: DataFrame, item_id_col: str, item_text_col: str,
-          seed_words: int, block_chars: int) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(Seeds(items, seed_words))
-            for items in _blocks(bench, item_id_col, item_text_col, block_chars)]
+def _in_blocks(docs: DataFrame, items: DataFrame, seed_words: int, block_chars: int,
+               apply: Callable[[DataFrame, Broadcast], DataFrame], chained: bool) -> list[DataFrame]:
+    """Results of ``apply`` for each block of items; with more than one, each is stored.
+
+    A block is sent, used and released before the next. ``chained`` passes each result on.
+    """
+    out = []
+    for block, last in _blocks(items, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(Seeds(block, seed_words))
+        result = apply(out[-1] if chained and out else docs, sent)
+        if last and not out:
+            return [result]
+        out.append(stored(result, "tiles"))
+        sent.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -162,22 +212,33 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
     One row per row of ``docs`` and such item: id, item_id, item_words, matched_words, coverage,
     n_tiles, longest_tile. Null and empty texts match nothing, nor do items of fewer than
-    ``seed_words`` words; repeated rows and items give repeated results.
+    ``seed_words`` words; repeated rows and items give repeated results. Items of one text are
+    compared once, and their ids joined to the result. Item ids are whole numbers.
     """
-    schema = (f"`{id_col}` {dict(docs.dtypes)[id_col]}, item_id bigint, item_words bigint, "
-              "matched_words bigint, coverage double, n_tiles bigint, longest_tile bigint")
+    schema = (f"`{id_col}` {dict(docs.dtypes)[id_col]}, item_id bigint, item_key string, "
+              "item_words bigint, matched_words bigint, coverage double, n_tiles bigint, "
+              "longest_tile bigint")
+    items = _items(bench, item_id_col, item_text_col, seed_words)
 
-    def pairs(sent):
+    def pairs(frame, sent):
         def run(batch):
             found = _found(sent.value, batch.column(1), coverage)
             rows = [k for k, v in found.items() for _ in v]
-            columns = list(zip(*(r for v in found.values() for r in v))) or [[] for _ in range(6)]
+            columns = list(zip(*(r for v in found.values() for r in v))) or [[] for _ in range(7)]
             return [batch.column(0).take(pa.array(rows, pa.int64())), *columns]
 
-        return over_arrow(docs.select(id_col, F.col(text_col).alias("text")), schema, run)
+        return over_arrow(frame, schema, run)
 
-    sent = _sent(docs, bench, item_id_col, item_text_col, seed_words, block_chars)
-    return reduce(DataFrame.union, map(pairs, sent))
+    found = reduce(DataFrame.union, _in_blocks(docs.select(id_col, F.col(text_col).alias("text")),
+                                               items, seed_words, block_chars, pairs, False))
+    repeated = stored(items.groupBy(F.md5("text").alias("item_key"), "item_id").agg(
+        F.count("*").alias("n")), "item-ids")
+    if not repeated.groupBy("item_key").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+        found = stored(found, "tiles")
+        several = found.where("item_key is not null").drop("item_id").join(
+            repeated.withColumn("again", F.explode(F.sequence(F.lit(1), "n"))), "item_key")
+        found = found.where("item_key is null").union(several.select(found.columns))
+    return found.drop("item_key")
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
@@ -192,5 +253,5 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
 
         return through_arrow(frame, run)
 
-    return reduce(without, _sent(docs, bench, item_id_col, item_text_col, seed_words, block_chars),
-                  docs)
+    items = _items(bench, item_id_col, item_text_col, seed_words)
+    return _in_blocks(docs, items, seed_words, block_chars, without, True)[-1]

@@ -140,9 +140,12 @@ def test_tiling_against_plain():
         if rng.random() < 0.6:
             cut = len(item) // 2
             text = np.concatenate([text[:9], item[cut:], text[9:15], item[:cut]])
-        starts = [(i, j) for i in range(len(text) - 2) for j in range(len(item) - 2)
-                  if (text[i:i + 3] == item[j:j + 3]).all()]
-        assert string_tiling.tiles(text, item, starts, 3) == plain_tiling(
+        starts = {j: np.array([i for i in range(len(text) - 2)
+                               if (text[i:i + 3] == item[j:j + 3]).all()], np.int64)
+                  for j in range(len(item) - 2)}
+        starts = {j: at for j, at in starts.items() if len(at)}
+        runs = string_tiling.common_runs(np.array(list(starts), np.int64), list(starts.values()), 3)
+        assert string_tiling.tiles(runs, 3) == plain_tiling(
             text.tolist(), item.tolist(), 3)
 
 
@@ -178,6 +181,32 @@ def test_contamination(spark):
     assert string_tiling.decontaminated(docs, bench.where("false")).count() == len(rows)
 
 
+def test_contamination_by_repeated_items_and_words(spark):
+    passage = " ".join(f"p{n}" for n in range(12))
+    rows = [(1, f"before {passage} after"), (2, "same " * 1_000_000), (3, "clean words " * 3), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit(passage).alias("text")).union(
+        spark.createDataFrame([(20_000, "same " * 200), (20_001, "short"), (None, "same " * 100),
+                               (None, "same " * 100)], "item_id bigint, text string"))
+    for block_chars in (8_000_000, 300):
+        found = string_tiling.contaminated(docs, bench, block_chars=block_chars).collect()
+        assert sorted(r.item_id for r in found if r.doc_id == 1) == list(range(10_000))
+        assert sorted(map(str, (r.item_id for r in found if r.doc_id != 1))) == ["20000", "None", "None"]
+        assert {(r.item_words, r.matched_words, r.n_tiles) for r in found} == {
+            (12, 12, 1), (200, 200, 1), (100, 100, 1)}
+        kept = string_tiling.decontaminated(docs, bench, block_chars=block_chars)
+        assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
+def test_blocks_of_items_are_bounded(spark):
+    texts = [f"one two three four item{k} " * (k % 3 + 1) for k in range(40)]
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 50, "item_id bigint, text string")
+    blocks = list(string_tiling._blocks(string_tiling._items(bench, "item_id", "text", 5), 200))
+    assert sorted(t for block, _ in blocks for _, t in block) == sorted(texts)
+    assert all(sum(len(t) for _, t in block) <= 200 for block, _ in blocks)
+    assert [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
+
+
 def test_contamination_against_plain(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {(r.doc_id, r.item_id): r.matched_words
