@@ -113,6 +113,7 @@ def _near_size(percent: int):
     return 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
 
 
+SALTS = 16              # parts into which the copies of one text are dealt for their last look-up
 LENGTH_STEP = 1.03      # sets are compared between classes of sizes, each larger by this factor
 
 
@@ -185,11 +186,11 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one shingle, one without words (or null) has none and is linked with nothing. Links join
     documents whose sets reach ``percent``; the component is the smallest id reachable. Rows that
     repeat an id are one document; if their texts differ, they tie these texts together. A row
-    without id is not linked and its component is null.
+    without id is not linked and its component is null. Ids are whole numbers.
     """
     signed = stored(_signatures(docs, id_col, text_col, size, bands, rows), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    copies = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    copies = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     nodes = full.join(copies.withColumnRenamed("node", "doc_id"), ["doc_id", "d1", "d2"],
                       "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "a", "b")
 
@@ -221,12 +222,16 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         extra = _verified(more, sets, percent)
         joined = stored(components(links.union(extra)), "components")
 
-    classes = copies.join(joined, "node", "left").select(
-        "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    return signed.join(classes, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id"))
-        .otherwise(F.col("doc_id")).alias("component_id"))
+    # only texts with copies or links need a look-up, which copies of one text share among salts
+    classes = copies.join(joined, "node", "left").where("n > 1 or component is not null").select(
+        "d1", "d2", F.coalesce("component", "node").alias("component_id"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    linked = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(
+        classes, ["d1", "d2", "salt"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone)
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -108,6 +108,18 @@ def test_duplicates_odd_rows(spark):
     assert near_duplicates.duplicate_classes(df.where("false")).count() == 0
 
 
+def test_near_duplicates_of_hot_and_empty_texts(spark):
+    hot = " ".join(f"hot{n}" for n in range(30))
+    rows = [(k, hot) for k in range(100, 700)] + [(k, None if k % 2 else " \n") for k in range(700, 1300)] + [
+        (99, hot + " more"), (98, " ".join(f"own{n}" for n in range(30))), (None, hot), (None, None), (98, hot)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id)
+           for r in near_duplicates.duplicate_classes(df).collect()]
+    want = [(k, 26, 98) for k in range(100, 700)] + [(k, 0, k) for k in range(700, 1300)] + [
+        (99, 27, 98), (98, 26, 98), (98, 26, 98), (None, 26, None), (None, 0, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def plain_tiling(text, item, least):
     """Greedy string tiling as first described: compare everything in every round."""
     mt, mi, tiles = [False] * len(text), [False] * len(item), []
