@@ -104,3 +104,15 @@ def test_watched_reports_are_sorted_in_the_stated_number_of_parts(spark):
     assert report.rdd.getNumPartitions() == 13
     assert values(report) == values(spark.createDataFrame(rows, "k int, v string"))
     assert watch.counts() == {"rows": 205, "keys": 40, "null_keys": 5, "null_v": 67}
+
+
+def test_an_advanced_state_is_merged_in_the_stated_number_of_parts(spark, folder):
+    history = driver_tables.DriverTables(spark, folder)["status_history"]
+    bad, last = [dt.date(1996, 6, 1)], "1997-01-01"
+    state = stock.position_state(history.filter(history["dateat"] < last), bad, DAY)
+    later = history.filter(history["dateat"] == last)
+    dealt = stock.advanced_state(state, later, bad, DAY, parts=13)
+    assert len(re.findall(r"hashpartitioning\(agreement_code#\w+, 13\), REPARTITION", plan(dealt))) == 2
+    assert not re.search(r"hashpartitioning\(agreement_code#\w+, \d+\), ENSURE", plan(dealt))
+    plain = stock.advanced_state(state, later, bad, DAY)
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.select(dealt.columns).collect()))
