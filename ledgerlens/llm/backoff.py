@@ -7,12 +7,13 @@ occurrences are taken off first, so a text is judged by all others and not by it
 
 Most n-grams of two words or more stand in one block only, whose own count is the total. Blocks
 first send the leading bits of the hashes, just enough to tell nearly all n-grams apart, and learn
-which bits another block sent too; hashes and counts follow for those alone. No total changes.
+which bits another block sent too; the other bits of the hashes and the counts follow for those
+alone, and meet the leading bits in the table. No total changes.
 
 Blocks and table partitions hold a fixed amount of text each, so their number, and what is
 shuffled, grow with the input; an n-gram enters a table once per block, however frequent it is. The
-n-grams travel as packed arrays, since rows of their own take twice the disk; their sorted hashes
-are delta-coded to about six bytes each.
+n-grams travel as packed arrays, since rows of their own take twice the disk; sorted leading bits
+are delta-coded.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ TABLE_WORDS = 1_500_000
 SPARE_BITS = 3               # leading bits beyond those that number all words
 LEADING = "block bigint, size int, part int, leading binary"
 SHARED = "block bigint, size int, part int, shared binary"
-REQUEST = "block bigint, size int, part int, shared binary, grams binary, counts binary"
+REQUEST = "block bigint, size int, part int, shared binary, again binary, rest binary, counts binary"
 ANSWER = "block bigint, size int, part int, shared binary, totals binary"
 SCORE = "n_words bigint, log_score double, mean_log_score double, n_backed_off bigint"
 
@@ -80,6 +81,37 @@ def _sorted_numbers(raw: bytes) -> np.ndarray:
     return (high.astype(np.uint64) << np.uint64(low)) + steps.view(np.uint64)[:, 0] + np.uint64(first)
 
 
+def _low_bytes(x: np.ndarray, bits: int) -> bytes:
+    """The last ``bits`` bits of the numbers: whole bytes in planes, then the bits that are left."""
+    whole, odd = divmod(bits, 8)
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
+    left = np.unpackbits(raw[:, whole, None], axis=1, bitorder="little")[:, :odd] if odd else raw[:, :0]
+    return raw[:, :whole].T.tobytes() + np.packbits(left).tobytes()
+
+
+def _low_numbers(raw: bytes, n: int, bits: int) -> np.ndarray:
+    whole, odd = divmod(bits, 8)
+    data, out = np.frombuffer(raw, np.uint8), np.zeros((n, 8), np.uint8)
+    out[:, :whole] = data[:n * whole].reshape(whole, n).T
+    if odd:
+        left = np.unpackbits(data[n * whole:], count=n * odd).reshape(n, odd)
+        out[:, whole] = np.packbits(left, axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64)[:, 0]
+
+
+def _count_bytes(x: np.ndarray) -> bytes:
+    """Counts from 1 on: a bit each tells which are above 1, and these follow."""
+    more = x > 1
+    return np.packbits(more).tobytes() + _planes(x[more].astype(np.uint32))
+
+
+def _count_numbers(raw: bytes, n: int) -> np.ndarray:
+    out, flags = np.ones(n, np.uint32), -(-n // 8)
+    more = np.unpackbits(np.frombuffer(raw[:flags], np.uint8), count=n).astype(bool)
+    out[more] = _numbers(raw[flags:], np.uint32)
+    return out
+
+
 def _grams(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of a block, and the place of the last word of each."""
     grams = gram_hashes(hashes, size)
@@ -89,6 +121,12 @@ def _grams(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
     return grams[inside], starts[inside] + size - 1
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; ``np.unique`` hashes them first, which is slow where most differ."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=~x[:1]) != 0]
+
+
 def _part(grams: np.ndarray, parts: int) -> np.ndarray:
     """Table partition of each hash: ascending, as the hashes are."""
     return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -111,7 +149,7 @@ def _announced(block: int, table: pa.Table, order: int, parts: int, bits: int) -
     hashes, bounds = hashed_words(table.column("text").combine_chunks())
     rows = []
     for size in range(1, order + 1):
-        leading, which, part = _leading(np.unique(_grams(hashes, bounds, size)[0]), parts, bits)
+        leading, which, part = _leading(_distinct(_grams(hashes, bounds, size)[0]), parts, bits)
         first = np.flatnonzero(np.diff(which, prepend=-1))
         rows += [(block, size, p, _sorted_bytes(leading[some]))
                  for p, some in _cuts(part[first], parts)]
@@ -154,16 +192,34 @@ def _requests(table: pa.Table, told: pa.Table, order: int, parts: int, bits: int
         shared, part = _shared(grams, raw[size], parts, bits)
         block = told.column("block")[0].as_py()
         for p, some in _cuts(part, parts):
-            mine = shared[some]
-            rows.append((block, size, p, raw[size][p], _sorted_bytes(grams[some][mine]),
-                         _planes(counts[some][mine].astype(np.uint32))))
+            mine = grams[some][shared[some]]
+            first = mine >> np.uint64(64 - bits)
+            again = np.flatnonzero(first[1:] == first[:-1]) + 1
+            rows.append((block, size, p, raw[size][p], _sorted_bytes(again.astype(np.uint64)),
+                         _low_bytes(mine, 64 - bits), _count_bytes(counts[some][shared[some]])))
     return _table(rows, REQUEST)
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def _asked(leading: bytes, shared: bytes, again: bytes, rest: bytes, bits: int) -> np.ndarray:
+    """Hashes of a request: the leading bits that another block sent too, each with its other bits.
+
+    ``again`` are the places of hashes that have the same leading bits as the one before.
+    """
+    known = _sorted_numbers(leading)
+    known = known[np.unpackbits(np.frombuffer(shared, np.uint8), count=len(known)).astype(bool)]
+    repeated = _sorted_numbers(again).astype(np.int64)
+    new = np.ones(len(known) + len(repeated), bool)
+    new[repeated] = False
+    known = known[np.cumsum(new) - 1] << np.uint64(64 - bits)
+    return known | _low_numbers(rest, len(new), 64 - bits)
+
+
+def _answers(table: pa.Table, leading: pa.Table, bits: int) -> pa.Table:
     """Sum one partition of a count table and answer each block in its own order."""
-    grams = [_sorted_numbers(g) for g in table.column("grams").to_pylist()]
-    counts = [_numbers(c, np.uint32) for c in table.column("counts").to_pylist()]
+    sent = dict(zip(leading.column("block").to_pylist(), leading.column("leading").to_pylist()))
+    grams = [_asked(sent[block], shared, again, rest, bits) for block, shared, again, rest in zip(
+        *(table.column(c).to_pylist() for c in ("block", "shared", "again", "rest")))]
+    counts = [_count_numbers(c, len(g)) for c, g in zip(table.column("counts").to_pylist(), grams)]
     distinct, where = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.bincount(where, np.concatenate(counts), len(distinct)).astype(np.uint64)[where]
     ends = np.cumsum([len(g) for g in grams])[:-1]
@@ -202,11 +258,15 @@ def _scores(hashes: np.ndarray, bounds: np.ndarray, totals, order: int, words: i
     score = backed = before = None
     for size in range(1, order + 1):
         grams, last = _grams(hashes, bounds, size)
-        distinct, where = np.unique(grams, return_inverse=True)
-        own, which = np.unique(text[last] * np.int64(len(distinct)) + where, return_inverse=True)
+        # sorted by n-gram, then by place: rows of one text stand together
+        order_of = np.argsort(grams, kind="stable")
+        sorted_grams, places = grams[order_of], last[order_of]
+        new = np.diff(sorted_grams, prepend=~sorted_grams[:1]) != 0
+        own = new | (np.diff(text[places], prepend=-1) != 0)
+        where, which = np.cumsum(new) - 1, np.cumsum(own) - 1
         left = np.zeros(len(hashes))
-        total = totals(size, distinct, np.bincount(where, minlength=len(distinct)))
-        left[last] = total[where] - np.bincount(which, minlength=len(own))[which]
+        total = totals(size, sorted_grams[new], np.bincount(where))
+        left[places] = total[where] - np.bincount(which)[which]
         if size == 1:
             seen = left > 0
             score = np.where(seen, left, 0.5) / others
@@ -253,8 +313,8 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(table, told):
         return _requests(table, told, order, parts, bits)
 
-    def answer(table):
-        return _answers(table)
+    def answer(table, leading):
+        return _answers(table, leading, bits)
 
     def score(table, answers):
         hashes, bounds = hashed_words(table.column("text").combine_chunks()) if len(table) else (
@@ -276,6 +336,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leading = dealt.groupBy("block").applyInArrow(announce, LEADING)
     told = leading.groupBy("size", "part").applyInArrow(tell, SHARED)
     asked = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, REQUEST)
-    answered = asked.groupBy("size", "part").applyInArrow(answer, ANSWER)
+    answered = asked.groupBy("size", "part").cogroup(leading.groupBy("size", "part")).applyInArrow(
+        answer, ANSWER)
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         score, f"`{id_col}` {kind}, {SCORE}")

@@ -286,6 +286,31 @@ def test_backoff_against_plain(spark, docs, order, monkeypatch):
         assert (none.n_words, none.log_score, none.mean_log_score) == (0, 0.0, None)
 
 
+@pytest.mark.parametrize("bits", [3, 13, 24, 61, 64])
+def test_requests_carry_the_bits_that_the_table_does_not_know(bits):
+    text = " ".join(str(k * k % 701) for k in range(3000))
+    block = pa.table({"text": pa.array([text, "", "1 2 1 2"], pa.large_string())})
+    announced = backoff._announced(5, block, 2, 3, bits)
+    shared = [np.packbits(np.arange(len(backoff._sorted_numbers(x))) % 3 != 1).tobytes()
+              for x in announced.column("leading").to_pylist()]
+    told = announced.drop_columns(["leading"]).append_column("shared", pa.array(shared))
+    asked = backoff._requests(block, told, 2, 3, bits)
+    assert asked.num_rows == announced.num_rows
+    grams = {}
+    hashes = backoff.hashed_words(block.column("text").combine_chunks())
+    for size in (1, 2):
+        every, n = np.unique(backoff._grams(*hashes, size)[0], return_counts=True)
+        grams[size] = dict(zip(every.tolist(), n.tolist()))
+    for row, lead in zip(asked.to_pylist(), announced.column("leading").to_pylist()):
+        kept = set(backoff._sorted_numbers(lead)[np.arange(len(backoff._sorted_numbers(lead))) % 3 != 1].tolist())
+        wanted = {g: n for g, n in grams[row["size"]].items()
+                  if g >> (64 - bits) in kept and backoff._part(np.array([g], np.uint64), 3)[0] == row["part"]}
+        found = backoff._asked(lead, row["shared"], row["again"], row["rest"], bits)
+        assert found.tolist() == sorted(wanted)
+        assert backoff._count_numbers(row["counts"], len(found)).tolist() == [wanted[g] for g in found.tolist()]
+        assert len(row["rest"]) <= len(found) * (64 - bits) / 8 + 1
+
+
 def test_registered_backoff_counts_two_words_of_context(spark, docs):
     want = plain_scores([(r.doc_id, r.text) for r in docs.collect()], 3)
     got = {r.doc_id: (r.n_words, r.n_backed_off) for r in queries.op7(spark, SF).collect()}
